@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brightloom.llm import exact_dedup
+from brightloom.llm import exact_dedup, quality, simhash
 
-MODULES = (exact_dedup,)
+MODULES = (exact_dedup, simhash, quality)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
