@@ -13,7 +13,9 @@ mass goes is drawn so that every fraction keeps its expectation. The other
 document goes on to the next pair. A bounded bucket of a source leaves one open
 document at most; the leftovers of many buckets meet in the next level of a
 reduction tree until a source has one, which is rounded by a draw of its own.
-A source's words therefore miss the target by less than one document.
+The largest documents of a bucket are rounded before that, each against the
+bucket's other documents together, so the one that stays open is small: a
+source's words miss the target by less than that document.
 
 Buckets come from a hash of id and text, and draws from a hash of the seed and
 that key, so a rerun decides alike. Within a bucket, documents pair in
@@ -82,6 +84,30 @@ def _draw(key: int, level: int, seed: int) -> float:
     return ((mixed ^ (mixed >> 31)) >> 11) / (1 << 53)
 
 
+def settle_large(p: np.ndarray, sizes: np.ndarray, keys: np.ndarray, level: int, seed: int = SEED, largest: int = 64) -> np.ndarray:
+    """Round the largest documents first, each against all others of its bucket at once.
+
+    Sizes descend. The others move by ``min(p, 1 - p)`` in proportion, up or
+    down, so that words and every expectation stay. Were a large document left
+    to small partners, it would stay open to the end and miss the target by
+    its own size. A document that the others can't make up for is left open.
+    """
+    p = p.astype(float).copy()
+    for i in range(min(largest, len(p) - 1)):
+        room = np.minimum(p, 1 - p)
+        room[: i + 1] = 0
+        words, own, a = float(room @ sizes), float(sizes[i]), p[i]
+        if not 1e-9 < a < 1 - 1e-9 or max(a, 1 - a) * own > words / 2:
+            continue
+        if _draw(int(keys[i]), level + 1000, seed) < a:
+            p = p - room * ((1 - a) * own / words)
+            p[i] = 1.0
+        else:
+            p = p + room * (a * own / words)
+            p[i] = 0.0
+    return p
+
+
 def pivot(p: np.ndarray, sizes: np.ndarray, keys: np.ndarray, level: int, seed: int = SEED) -> np.ndarray:
     """Round the fractions in order until at most one is open; the sum of ``p * sizes`` stays."""
     p = p.astype(float).copy()
@@ -113,7 +139,8 @@ def _rounding(level: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         # Largest first, so that what stays open to the end is a small document.
         rows = rows.sort_values(["size", "key", "nth"], ascending=False, kind="stable")
-        rows["p"] = pivot(rows["p"].to_numpy(), rows["size"].to_numpy(), rows["key"].to_numpy(), level, seed)
+        sizes, keys = rows["size"].to_numpy(), rows["key"].to_numpy()
+        rows["p"] = pivot(settle_large(rows["p"].to_numpy(), sizes, keys, level, seed), sizes, keys, level, seed)
         return rows
 
     return run
