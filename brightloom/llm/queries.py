@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brightloom.llm import exact_dedup, mixing, quality, simhash
+from brightloom.llm import exact_dedup, mixing, packing, quality, simhash, token_store
 
-MODULES = (exact_dedup, mixing, simhash, quality)
+MODULES = (exact_dedup, mixing, packing, simhash, token_store, quality)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
