@@ -197,10 +197,14 @@ def span_list(spans) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _number_of(kind: str) -> F.Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
     """Counts, digest and list of the secrets in every document."""
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    counts = [_number_of(k).alias(f"n_{k}") for k in BASE_KINDS]
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     return found.select("doc_id", *counts, F.sha2(F.encode(span_list(base), "UTF-8"), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
 

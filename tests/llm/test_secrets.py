@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import json
 import re
 import struct
@@ -67,3 +68,16 @@ def test_nulls_empty_long_and_extra_columns(spark):
     assert len(rows) == 4
     assert [len(r.spans) for r in sorted(rows, key=lambda r: r.doc_id or 0)] == [1, 0, 0, 0]
     assert S.scan_secrets(docs.limit(0)).collect() == []
+
+
+def test_query_against_the_plain_patterns(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = S.op3_secrets(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = brute_base(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(b[0] == k for b in base) for k in S.BASE_KINDS)
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
