@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from brightloom.queries import rollups, search, stats
+
+MODULES = (search, stats, rollups)
+
+QUERIES = {name: f for m in MODULES for name, f in m.registry.queries.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.registry.sql.items()}
