@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brightloom.queries import rollups, search, stats
+from brightloom.queries import corpus, rollups, search, stats
 
-MODULES = (search, stats, rollups)
+MODULES = (search, stats, rollups, corpus)
 
 QUERIES = {name: f for m in MODULES for name, f in m.registry.queries.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.registry.sql.items()}
