@@ -21,7 +21,7 @@ def _tree(spark, sf_dir):
     return top.unionByName(low)
 
 
-_TREE = "tree AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation)"
+_TREE = "tree AS (SELECT 'r' || r_regionkey AS id, NULL::VARCHAR AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation)"
 
 
 @registry.query(f"""WITH RECURSIVE {_TREE}, up(id, above, path, depth) AS (SELECT id, parent, name, 1 FROM tree UNION ALL SELECT up.id, t.parent, t.name || ' > ' || path, depth + 1 FROM up JOIN tree t ON t.id = up.above WHERE depth < 6)
