@@ -43,6 +43,7 @@ from brightloom.plans.shared import Scratch
 SHINGLE_WORDS = 3
 SEED = 42
 BITS = 64
+EMITTERS = 20_000  # fingerprints that one task emits variants of
 AT_ONCE = 1 << 16  # shingles hashed before their bits are counted
 BLOCKS = ((0, 21), (21, 42), (42, 64))
 
@@ -88,15 +89,25 @@ def _ball() -> list[int]:
     return [0] + [_signed(1 << i) for i in range(BITS)]
 
 
+def _spread(fps: DataFrame) -> DataFrame:
+    """Fingerprints over enough tasks: each becomes over a hundred rows in the task that emits its variants."""
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() // EMITTERS))
+    return fps.repartition(tasks, "fp")
+
+
 def _near_links(fps: DataFrame) -> DataFrame:
     """Edges that connect all fingerprints at distance 2 or less."""
     flips = F.array(*[F.lit(x).cast("long") for x in _ball()])
-    variants = fps.select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("key"))
+    variants = _spread(fps).select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("key"))
     # A key's bucket has 65 members at most, whatever the data.
     least = variants.select(F.col("fp").alias("a"), F.min("fp").over(Window.partitionBy("key")).alias("b"))
     return least.where("a <> b").distinct()
 
 
+def _xor_with(base):
+    return lambda x: base.bitwiseXOR(x)
+
+
 def _masked(fp) -> F.Column:
     """Keys of a fingerprint with each block masked in turn and one of the other bits flipped, or none."""
     parts = []
@@ -104,13 +115,13 @@ def _masked(fp) -> F.Column:
         mask = ((1 << high) - 1) ^ ((1 << low) - 1)
         base = fp.bitwiseAND(F.lit(_signed(~mask & (1 << 64) - 1))).bitwiseOR(F.lit(tag << low))
         flips = F.array(*[F.lit(_signed(x)).cast("long") for x in [0] + [1 << i for i in range(BITS) if not low <= i < high]])
-        parts.append(F.transform(flips, lambda x, base=base: base.bitwiseXOR(x)))
+        parts.append(F.transform(flips, _xor_with(base)))
     return F.concat(*parts)
 
 
 def _far_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges between components ``comp`` of ``fps(fp, comp)`` that a pair at distance 3 joins."""
-    keyed = fps.select("fp", "comp", F.explode(_masked(F.col("fp"))).alias("key"))
+    keyed = _spread(fps).select("fp", "comp", F.explode(_masked(F.col("fp"))).alias("key"))
     mixed = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     mixed = scratch.keep(mixed, "mixed")
     met = scratch.keep(keyed.join(mixed, "key", "left_semi"), "met")
