@@ -11,9 +11,11 @@ three Parquet tables:
              within each.
 ``manifest`` the Merkle tree over the recipes' roots: level, node, count, root.
 
-Reading rebuilds each distinct recipe once from its chunks, verifies every
-chunk's address and the recipe's root, and gives the result to all documents
-with that root.
+``read_store`` rebuilds each distinct recipe once from its chunks, verifies
+every chunk's address and the recipe's root, and gives the ids to all documents
+with that root. ``checksums`` verifies the same without moving ids: each stored
+chunk is read once where it lies, and the checksums of a recipe's chunks are
+combined into the one of the document's ids.
 
 Defined cases: a null text counts as empty; an empty text has the closing id
 alone; null ids come first in order; rows with the same id are ordered by root
@@ -23,7 +25,9 @@ and stored each; an empty table gives empty tables; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -185,14 +189,84 @@ def read_store(spark: SparkSession, out: str, tokenizer: str | None = None) -> D
     return recipes.join(read_distinct(spark, out, tokenizer), "root").select("doc_id", "start", "n_tokens", "ids")
 
 
+_CRC_POLY = 0xEDB88320
+
+
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials modulo the CRC-32 polynomial, bits reflected."""
+    product = 0
+    for bit in range(31, -1, -1):
+        if a >> bit & 1:
+            product ^= b
+        b = b >> 1 ^ (_CRC_POLY if b & 1 else 0)
+    return product
+
+
+@lru_cache(maxsize=1 << 16)
+def _shift(n_bytes: int) -> int:
+    """``x ** (8 * n_bytes)`` modulo the polynomial."""
+    power, square = 1 << 31, 1 << 23
+    while n_bytes:
+        if n_bytes & 1:
+            power = _times(square, power)
+        square = _times(square, square)
+        n_bytes >>= 1
+    return power
+
+
+def combined_crc(parts: list[tuple[int, int]]) -> int:
+    """CRC-32 of a concatenation, from the checksum and the bytes of each part."""
+    total = 0
+    for crc, n_bytes in parts:
+        total = _times(_shift(n_bytes), total) ^ crc
+    return total
+
+
+def _chunk_sums(wide: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for name, payload in zip(batch.column(0), batch.column(1)):
+                raw = payload.as_buffer()
+                if hashlib.sha256(raw).digest() != name.as_py():
+                    raise ValueError("a stored chunk doesn't match its address")
+                sums.append(zlib.crc32(np.frombuffer(raw, wide).astype("<u4").tobytes()))
+            ids = [p.as_buffer().size // np.dtype(wide).itemsize for p in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sums, pa.int64())], ["chunk_id", "n_ids", "crc"])
+
+    return run
+
+
+def _recipe_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        totals, sums = [], []
+        for root, parts in zip(batch.column(0), batch.column(1)):
+            parts = sorted(parts.as_py(), key=lambda x: x["pos"])
+            if any(p["crc"] is None for p in parts) or merkle_root([p["chunk_id"] for p in parts]) != root.as_py():
+                raise ValueError("a recipe doesn't match its root or lacks a chunk")
+            totals.append(sum(p["n_ids"] for p in parts))
+            sums.append(combined_crc([(p["crc"], 4 * p["n_ids"]) for p in parts]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(sums, pa.int64())], ["root", "n_tokens", "ids_crc32"])
+
+
+def checksums(spark: SparkSession, out: str, tokenizer: str | None = None) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every document of a store, its chunks and recipes verified."""
+    scratch = Scratch(spark, "checksums")
+    wide = id_width(encoder(tokenizer or default_tokenizer()).vocabulary)
+    recipes = spark.read.parquet(f"{out}/recipes")
+    chunks = spark.read.parquet(f"{out}/chunks").select("chunk_id", "payload").mapInArrow(_chunk_sums(wide), "chunk_id binary, n_ids long, crc long")
+    chunks = scratch.keep(chunks, "chunks")
+    places = recipes.groupBy("root").agg(F.first("chunk_ids").alias("chunk_ids")).select("root", F.posexplode("chunk_ids").alias("pos", "chunk_id"))
+    parts = places.join(chunks, "chunk_id", "left").groupBy("root").agg(F.collect_list(F.struct("pos", "chunk_id", "n_ids", "crc")).alias("parts"))  # one document's chunks
+    sums = scratch.keep(parts.mapInArrow(_recipe_sums, "root binary, n_tokens long, ids_crc32 long"), "sums")
+    return recipes.select("doc_id", "start", "root").join(sums, "root").select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op9_token_store(spark, sf_dir: str) -> DataFrame:
-    """Place, number and checksum of every document's ids, as read back from the store."""
-    scratch = Scratch(spark, "op9")
-    out = scratch.path("store")
+    """Place, number and checksum of every document's ids, from the files of the store."""
+    out = Scratch(spark, "op9").path("store")
     write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), out)
-    sums = read_distinct(spark, out).select("root", F.crc32("ids").alias("ids_crc32"), (F.length("ids") / 4).cast("long").alias("n_tokens"))
-    sums = scratch.keep(sums, "sums")
-    return spark.read.parquet(f"{out}/recipes").select("doc_id", "start", "root").join(sums, "root").select("doc_id", "start", "n_tokens", "ids_crc32")
+    return checksums(spark, out)
 
 
 QUERIES = {"op9_token_store": op9_token_store}
