@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from brightloom.llm.tokens import default_tokenizer, encoder, id_width
+from brightloom.llm.tokens import default_tokenizer, encoder, id_width, text_slices
 from brightloom.plans.shared import Scratch
 
 WINDOW = 4096
@@ -45,7 +45,7 @@ def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         width = id_width(coder.vocabulary)
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
             ids = [np.append(coder.encode(t.as_py()), np.uint32(end_id)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(width).tobytes() for x in ids], pa.binary())], ["doc_id", "n", "ids"]

@@ -122,9 +122,10 @@ def _masked(fp) -> F.Column:
 def _far_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges between components ``comp`` of ``fps(fp, comp)`` that a pair at distance 3 joins."""
     keyed = _spread(fps).select("fp", "comp", F.explode(_masked(F.col("fp"))).alias("key"))
-    mixed = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    mixed = scratch.keep(mixed, "mixed")
-    met = scratch.keep(keyed.join(mixed, "key", "left_semi"), "met")
+    # One shuffle serves both to find the buckets of several components and to keep their rows.
+    bucket = Window.partitionBy("key")
+    mixed = keyed.select("key", "fp", "comp", F.min("comp").over(bucket).alias("lo"), F.max("comp").over(bucket).alias("hi")).where("lo <> hi")
+    met = scratch.keep(mixed.select("key", "fp", "comp"), "met")
     left, right = met.alias("x"), met.alias("y")
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= 3
     return left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & near).select(F.col("y.comp").alias("a"), F.col("x.comp").alias("b")).distinct()

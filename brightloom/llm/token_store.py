@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.llm.tokens import default_tokenizer, encoder, id_width
+from brightloom.llm.tokens import default_tokenizer, encoder, id_width, text_slices
 from brightloom.plans.shared import Scratch
 
 END_ID = 1
@@ -80,7 +80,7 @@ def _chunked(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         width = id_width(coder.vocabulary)
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
             totals, recipes, roots, stored = [], [], [], []
             sent: set[bytes] = set()  # a chunk leaves a batch once
             for text in batch.column(1):

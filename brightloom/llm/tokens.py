@@ -14,10 +14,13 @@ import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-CACHED_PIECES = 500_000
+CACHED_PIECES = 250_000
+TEXT_AT_ONCE = 1 << 22  # bytes of text encoded into one batch of results
 LATIN = range(0x250)
 _PLAIN = re.compile("[\t\n\r -;=-~\u00a1-\u024f]*")  # no "<": it may begin an added token
 
@@ -117,6 +120,18 @@ class Encoder:
         return np.concatenate(parts)
 
 
+def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``TEXT_AT_ONCE`` bytes of text, so that results stay small."""
+    begin, held = 0, 0
+    for i, text in enumerate(batch.column(column)):
+        held += text.as_buffer().size
+        if held >= TEXT_AT_ONCE:
+            yield batch.slice(begin, i + 1 - begin)
+            begin, held = i + 1, 0
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 _encoders: dict[str, Encoder] = {}
 
 
