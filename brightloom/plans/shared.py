@@ -35,10 +35,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Write ``df`` as Parquet and return a scan of the files."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         old, self.paths[name] = self.paths.get(name), path
         if old:
             self.remove(old)
