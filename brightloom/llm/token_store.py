@@ -51,9 +51,11 @@ def cut_points(ids: np.ndarray, mask_bits: int = MASK_BITS, max_chunk: int = MAX
         mixed = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
         mixed ^= mixed >> np.uint32(15)
         mixed *= np.uint32(0x85EBCA77)
-        rolling = mixed.copy()
-        for back in range(1, min(WINDOW, len(ids))):
-            rolling[back:] += mixed[:-back] << np.uint32(back)
+        rolling, back = mixed, 1
+        while back < min(WINDOW, len(ids)):  # each round looks back twice as far
+            wider = rolling.copy()
+            wider[back:] += rolling[:-back] << np.uint32(back)
+            rolling, back = wider, 2 * back
     ends, last = [], 0
     for cut in (np.flatnonzero(rolling >> np.uint32(32 - mask_bits) == 0) + 1).tolist() + [len(ids)]:
         while cut - last > max_chunk:
@@ -121,9 +123,9 @@ def write_store(docs: DataFrame, out: str, tokenizer: str | None = None, end_id:
             T.StructField("chunks", T.ArrayType(chunk)),
         ]
     )
-    staged = scratch.keep(rows.mapInArrow(_chunked(tokenizer or default_tokenizer(), end_id), schema), "staged")
+    staged = scratch.keep(rows.mapInArrow(_chunked(tokenizer or default_tokenizer(), end_id), schema), "staged", "zstd")
     chunks = staged.select(F.explode("chunks").alias("c")).select("c.*")
-    chunks.groupBy("chunk_id").agg(F.first("n_ids").alias("n_ids"), F.first("payload").alias("payload")).write.parquet(f"{out}/chunks")
+    chunks.groupBy("chunk_id").agg(F.first("n_ids").alias("n_ids"), F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{out}/chunks")
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("root").asc()]
     parts = staged.select("doc_id", "n_tokens", "chunk_ids", "root").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
@@ -214,12 +216,26 @@ def _shift(n_bytes: int) -> int:
     return power
 
 
-def combined_crc(parts: list[tuple[int, int]]) -> int:
-    """CRC-32 of a concatenation, from the checksum and the bytes of each part."""
-    total = 0
-    for crc, n_bytes in parts:
-        total = _times(_shift(n_bytes), total) ^ crc
-    return total
+def _times_each(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``_times`` of each pair."""
+    a, b, product = a.astype(np.uint32), b.astype(np.uint32), np.zeros(len(a), np.uint32)
+    one, poly = np.uint32(1), np.uint32(_CRC_POLY)
+    for bit in range(31, -1, -1):
+        product ^= b * (a >> np.uint32(bit) & one)
+        b = b >> one ^ poly * (b & one)
+    return product
+
+
+def combined_crcs(crcs: np.ndarray, n_bytes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """CRC-32 of each concatenation, from its parts' checksums and bytes; ``starts`` bounds the parts of each."""
+    shifts = np.fromiter(map(_shift, n_bytes.tolist()), np.uint32, len(n_bytes))
+    counts = np.diff(starts)
+    totals = np.zeros(len(counts), np.uint32)
+    for turn in range(counts.max(initial=0)):
+        which = np.flatnonzero(counts > turn)
+        at = starts[which] + turn
+        totals[which] = _times_each(shifts[at], totals[which]) ^ crcs[at].astype(np.uint32)
+    return totals
 
 
 def _chunk_sums(wide: str):
@@ -239,14 +255,21 @@ def _chunk_sums(wide: str):
 
 def _recipe_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        totals, sums = [], []
-        for root, parts in zip(batch.column(0), batch.column(1)):
-            parts = sorted(parts.as_py(), key=lambda x: x["pos"])
-            if any(p["crc"] is None for p in parts) or merkle_root([p["chunk_id"] for p in parts]) != root.as_py():
-                raise ValueError("a recipe doesn't match its root or lacks a chunk")
-            totals.append(sum(p["n_ids"] for p in parts))
-            sums.append(combined_crc([(p["crc"], 4 * p["n_ids"]) for p in parts]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(sums, pa.int64())], ["root", "n_tokens", "ids_crc32"])
+        lists = batch.column(1)
+        parts = lists.flatten()
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        starts = np.concatenate([[0], ends]).astype(np.int64)
+        owner = np.repeat(np.arange(len(ends)), np.diff(starts))
+        order = np.lexsort((parts.field("pos").to_numpy(), owner))
+        names = parts.field("chunk_id").to_pylist()
+        names = [names[i] for i in order.tolist()]
+        roots = batch.column(0).to_pylist()
+        if parts.field("crc").null_count or any(merkle_root(names[a:b]) != root for root, a, b in zip(roots, starts[:-1].tolist(), starts[1:].tolist())):
+            raise ValueError("a recipe doesn't match its root or lacks a chunk")
+        n_ids = parts.field("n_ids").to_numpy()[order]
+        totals = np.bincount(owner, n_ids, len(ends)).astype(np.int64)
+        sums = combined_crcs(parts.field("crc").to_numpy()[order], 4 * n_ids, starts).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals), pa.array(sums)], ["root", "n_tokens", "ids_crc32"])
 
 
 def checksums(spark: SparkSession, out: str, tokenizer: str | None = None) -> DataFrame:

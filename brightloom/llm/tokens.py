@@ -13,13 +13,13 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from array import array
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 
-CACHED_PIECES = 250_000
+CACHED_PIECES = 1 << 17
 TEXT_AT_ONCE = 1 << 22  # bytes of text encoded into one batch of results
 LATIN = range(0x250)
 _PLAIN = re.compile("[\t\n\r -;=-~\u00a1-\u024f]*")  # no "<": it may begin an added token
@@ -51,18 +51,14 @@ def _latin(pattern: str) -> re.Pattern:
 
 
 class _Pieces(dict):
-    """Slot of each piece met so far; a new piece gets the next slot."""
+    """Ids of each piece met so far, as little-endian uint32."""
 
     def __init__(self, encode):
         self.encode = encode
-        self.ids = array("I")
-        self.ends = array("q", [0])
 
-    def __missing__(self, piece: str) -> int:
-        self.ids.extend(self.encode(piece))
-        self.ends.append(len(self.ids))
-        self[piece] = slot = len(self.ends) - 2
-        return slot
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = ids = pack(f"<{len(found := self.encode(piece))}I", *found)
+        return ids
 
 
 class Encoder:
@@ -88,17 +84,8 @@ class Encoder:
         return [t.id for t in self.tokenizer.model.tokenize(letters)]
 
     def _latin_ids(self, text: str) -> np.ndarray:
-        pieces = self.pieces
         found = self.split.findall(text.lower())
-        if not found:
-            return np.zeros(0, np.uint32)
-        slots = np.fromiter(map(pieces.__getitem__, found), np.int64, len(found))
-        ends = np.frombuffer(pieces.ends, np.int64)
-        starts = ends[slots]
-        lengths = ends[slots + 1] - starts
-        where = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-        where += np.arange(len(where))
-        return np.frombuffer(pieces.ids, np.uint32)[where]
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, found)), "<u4")
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text as uint32."""
