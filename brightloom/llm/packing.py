@@ -61,12 +61,21 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: st
     return rows.mapInArrow(_encoded(tokenizer, end_id), schema)
 
 
+def term_counts(ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and how often each occurs, by last occurrence; ``last`` is a work array with a place for every id."""
+    places = np.arange(len(ids))
+    last[ids] = places
+    at = last[ids]
+    own = at == places
+    return ids[own], np.bincount(at, minlength=len(ids))[own]
+
+
 def _frequencies(width: str, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(vocabulary, np.int64)
+        counts, last = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                counts[np.unique(np.frombuffer(ids.as_buffer(), width))] += 1
+            for raw in batch.column(0):
+                counts[term_counts(np.frombuffer(raw.as_buffer(), width), last)[0]] += 1
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(counts[seen])], ["token", "docs"])
 
@@ -83,12 +92,15 @@ def inverse_frequencies(rows: DataFrame, width: str, vocabulary: int, total: int
 
 def _routed(idf: np.ndarray, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros(len(idf), np.int64)
         for batch in batches:
             heavy = np.zeros((batch.num_rows, 2), np.int32)
-            for row, ids in enumerate(batch.column(1)):
-                terms, tf = np.unique(np.frombuffer(ids.as_buffer(), width), return_counts=True)
-                best = np.argsort(-idf[terms] * tf / (tf + K1), kind="stable")[:2]
-                heavy[row, : len(best)] = terms[best]
+            for row, raw in enumerate(batch.column(1)):
+                terms, tf = term_counts(np.frombuffer(raw.as_buffer(), width), last)
+                weight = idf[terms] * tf / (tf + K1)
+                for place in range(min(2, len(terms))):
+                    best = weight.argmax()
+                    heavy[row, place], weight[best] = terms[best], -np.inf
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(heavy[:, 0]), pa.array(heavy[:, 1])], ["row_no", "ids", "doc_id", "term1", "term2"])
 
     return run
