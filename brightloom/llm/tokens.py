@@ -22,7 +22,9 @@ import pyarrow as pa
 CACHED_PIECES = 1 << 17
 TEXT_AT_ONCE = 1 << 22  # bytes of text encoded into one batch of results
 LATIN = range(0x250)
-_PLAIN = re.compile("[\t\n\r -;=-~\u00a1-\u024f]*")  # no "<": it may begin an added token
+#: Only characters whose lower case is Latin as well: the split's classes know no others.
+_CASED = "".join(chr(c) for c in LATIN[0xA1:] if all(ord(x) in LATIN for x in chr(c).lower()))
+_PLAIN = re.compile(f"[\t\n\r -;=-~{_CASED}]*")  # no "<": it may begin an added token
 
 
 def default_tokenizer() -> str:

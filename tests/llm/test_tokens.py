@@ -22,6 +22,13 @@ def test_encoder_equals_the_library(spark):
         assert own.encode(t or "").tolist() == plain(t), t[:50]
 
 
+def test_every_latin_character_in_a_word():
+    own = Encoder(default_tokenizer())
+    for c in map(chr, range(0xA1, 0x250)):
+        for t in (f"{c}li", f"a{c}b", f"so {c}{c} x{c} 1{c}"):
+            assert own.encode(t).tolist() == plain(t), hex(ord(c))
+
+
 def test_store_round_trip(spark):
     texts = [(i, t) for i, t in enumerate(HARD)] + [(50, None), (51, HARD[-1]), (52, "word " * 30_000), (None, "null id"), (52, "word " * 30_000)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, root string").repartition(3)
