@@ -233,8 +233,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     raw = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
-    # The row number is that of a plain scan, the same each time the files are read.
+    # Numbered once and stored: another scan may split the input elsewhere and number its rows otherwise.
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("doc_id"), raw.alias("raw"))
+    rows = scratch.keep(rows, "rows", "zstd")
     found = rows.select("row_no", "raw").mapInArrow(_emit_anchors, "h long, row_no long, at long")
     shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     shared = scratch.keep(shared, "shared")

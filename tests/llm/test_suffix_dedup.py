@@ -119,3 +119,27 @@ def test_query_against_brute_force(spark):
     want = {i: expected(raw, gone) for (i, raw), gone in zip(order, brute(order))}
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in D.op6_suffix_dedup(spark, sf).collect()}
     assert got == want
+
+
+def test_scans_that_split_the_input_elsewhere(spark, monkeypatch):
+    from brightloom.plans.shared import Scratch
+
+    docs = list(enumerate(texts()))
+    random.Random(2).shuffle(docs)
+    order = sorted((i, (t or "").encode()) for i, t in docs)
+    want = {i: expected(raw, gone) for (i, raw), gone in zip(order, brute(order))}
+    setting, keep, sizes = "spark.sql.files.maxPartitionBytes", Scratch.keep, ["3000", "128m", "5000", "9000", "64m"] * 9
+    before = spark.conf.get(setting)
+
+    def moved(self, df, name, *a):
+        out = keep(self, df, name, *a)
+        spark.conf.set(setting, sizes.pop())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", moved)
+    try:
+        table = keep(Scratch(spark, "test"), spark.createDataFrame(docs, "doc_id long, text string").repartition(7), "docs")
+        rows = D.remove_repeats(table).collect()
+    finally:
+        spark.conf.set(setting, before)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in rows} == want
