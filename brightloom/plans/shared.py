@@ -2,7 +2,8 @@
 
 ``spark.checkpoint.dir`` names that folder on a cluster. A table written there
 survives lost executors, cuts lineage, and gives adaptive execution a plain
-scan on both sides of a join, so that skewed keys can be split.
+scan on both sides of a join, so that skewed keys can be split. Once a table
+is written, the shuffle files that led to it are of no more use and go.
 """
 
 from __future__ import annotations
@@ -13,14 +14,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_own: dict[str, str] = {}  # folders made for applications that name none
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set."""
+    """The cluster's shared folder; where none is set, a temporary one in local mode and one in the warehouse elsewhere."""
     root = spark.conf.get(SETTING, None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="brightloom-")
-        spark.conf.set(SETTING, root)
+        context = spark.sparkContext
+        app = context.applicationId
+        if app not in _own:
+            local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="brightloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        root = _own[app]
     return root.rstrip("/")
 
 
@@ -35,10 +43,20 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
 
+    def write(self, df: DataFrame, path: str, compression: str = "snappy", mode: str = "errorifexists") -> None:
+        """Write ``df`` as Parquet; its shuffle files go when the files stand."""
+        conf = self.spark.conf
+        before = conf.get(CLEANUP)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode(mode).option("compression", compression).parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
+
     def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Write ``df`` as Parquet and return a scan of the files."""
         path = self.path(name)
-        df.write.option("compression", compression).parquet(path)
+        self.write(df, path, compression)
         old, self.paths[name] = self.paths.get(name), path
         if old:
             self.remove(old)
@@ -49,6 +67,10 @@ class Scratch:
             if name in self.paths:
                 self.remove(self.paths.pop(name))
 
+    def drop_all_but(self, *names: str) -> None:
+        """Remove what the job's result doesn't read."""
+        self.drop(*(set(self.paths) - set(names)))
+
     def remove(self, path: str) -> None:
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
