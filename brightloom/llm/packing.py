@@ -44,11 +44,10 @@ K1, B = 1.2, 0.75
 def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        width = id_width(coder.vocabulary)
         for batch in (part for whole in batches for part in text_slices(whole, 1)):
-            ids = [np.append(coder.encode(t.as_py()), np.uint32(end_id)) for t in batch.column(1)]
+            ids = [np.append(coder.encode(t.as_py()), np.array(end_id, coder.width)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(width).tobytes() for x in ids], pa.binary())], ["doc_id", "n", "ids"]
+                [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n", "ids"]
             )
 
     return run

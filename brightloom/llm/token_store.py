@@ -6,16 +6,16 @@ three Parquet tables:
 
 ``chunks``   chunk_id (SHA-256 of the payload), n_ids, payload (little-endian
              ids); every distinct chunk once.
-``recipes``  doc_id, part, start, n_tokens, chunk_ids in order and the Merkle
-             root over them; in ascending doc_id order from part to part and
-             within each.
-``manifest`` the Merkle tree over the recipes' roots: level, node, count, root.
+``recipes``  doc_id, start, n_tokens, chunk_ids in order and the Merkle root
+             over them; in ascending doc_id order from file to file and within
+             each.
+``manifest`` the Merkle tree over the recipes: level, node, count, root. A leaf
+             is the digest of a recipe's id, place, size and root.
 
-``read_store`` rebuilds each distinct recipe once from its chunks, verifies
-every chunk's address and the recipe's root, and gives the ids to all documents
-with that root. ``checksums`` verifies the same without moving ids: each stored
-chunk is read once where it lies, and the checksums of a recipe's chunks are
-combined into the one of the document's ids.
+``read_store`` computes the tree anew from the recipes and compares it with the
+manifest, rebuilds each distinct recipe once from its chunks, verifies every
+chunk's address and the recipe's root, and gives the ids to all documents with
+that root. Anything that doesn't match raises.
 
 Defined cases: a null text counts as empty; an empty text has the closing id
 alone; null ids come first in order; rows with the same id are ordered by root
@@ -25,9 +25,7 @@ and stored each; an empty table gives empty tables; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,12 +79,11 @@ _CHUNK = pa.struct([("chunk_id", pa.binary()), ("n_ids", pa.int32()), ("payload"
 def _chunked(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        width = id_width(coder.vocabulary)
         for batch in (part for whole in batches for part in text_slices(whole, 1)):
             totals, recipes, roots, stored = [], [], [], []
             sent: set[bytes] = set()  # a chunk leaves a batch once
             for text in batch.column(1):
-                ids = np.append(coder.encode(text.as_py()), np.uint32(end_id)).astype(width)
+                ids = np.append(coder.encode(text.as_py()), np.array(end_id, coder.width))
                 recipe, chunks, last = [], [], 0
                 for end in cut_points(ids):
                     payload = ids[last:end].tobytes()
@@ -125,7 +122,7 @@ def write_store(docs: DataFrame, out: str, tokenizer: str | None = None, end_id:
     )
     staged = scratch.keep(rows.mapInArrow(_chunked(tokenizer or default_tokenizer(), end_id), schema), "staged", "zstd")
     chunks = staged.select(F.explode("chunks").alias("c")).select("c.*")
-    chunks.groupBy("chunk_id").agg(F.first("n_ids").alias("n_ids"), F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{out}/chunks")
+    scratch.write(chunks.groupBy("chunk_id").agg(F.first("n_ids").alias("n_ids"), F.first("payload").alias("payload")), f"{out}/chunks", "zstd")
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("root").asc()]
     parts = staged.select("doc_id", "n_tokens", "chunk_ids", "root").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
@@ -136,153 +133,103 @@ def write_store(docs: DataFrame, out: str, tokenizer: str | None = None, end_id:
     before = before.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     recipes = parts.withColumn("own", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(F.broadcast(before), "part")  # one row per part
-    recipes = recipes.select("doc_id", "part", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "chunk_ids", "root")
-    recipes.write.parquet(f"{out}/recipes")
+    recipes = scratch.keep(recipes.select("doc_id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "chunk_ids", "root"), "recipes")
     scratch.drop("parts")
-    _write_manifest(spark, out, scratch)
-
-
-def _write_manifest(spark: SparkSession, out: str, scratch: Scratch) -> None:
-    """Levels of a Merkle tree over the recipes in order, up to one node."""
-    recipes = spark.read.parquet(f"{out}/recipes")
-    nodes = recipes.select(F.floor(F.col("start") / (FAN_IN * 256)).alias("node"), F.col("start").alias("place"), F.lit(1).cast("long").alias("count"), "root")
+    # The window dealt the parts out by hash; places put the files in order again.
+    scratch.write(recipes.repartitionByRange("start").sortWithinPartitions("start"), f"{out}/recipes")
+    scratch.drop("recipes")
+    scratch.write(_tree(spark.read.parquet(f"{out}/recipes"), scratch), f"{out}/manifest")
+    scratch.drop_all_but()
+
+
+def _tree(recipes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``level, node, count, root`` of a Merkle tree over the recipes in order, up to one node."""
+    told = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "n_tokens", F.hex("root"))
+    # A document has one id at least, so a node holds a bounded number of leaves.
+    nodes = recipes.select(F.floor(F.col("start") / (FAN_IN * 256)).alias("node"), F.col("start").alias("place"), F.lit(1).cast("long").alias("count"), F.unhex(F.sha2(told, 256)).alias("root"))
+    levels: DataFrame | None = None
     level = 0
     while True:
         gathered = nodes.groupBy("node").agg(F.sum("count").alias("count"), F.sort_array(F.collect_list(F.struct("place", "root"))).alias("under"))
         named = gathered.select(F.lit(level).alias("level"), "node", "count", F.unhex(F.sha2(F.concat_ws("", F.transform("under", lambda x: F.hex(x["root"]))), 256)).alias("root"))
-        named = scratch.keep(named, "manifest")
-        named.write.mode("append").parquet(f"{out}/manifest")
+        named = scratch.keep(named, f"level{level}")
+        levels = named if levels is None else levels.unionByName(named)
         if named.limit(2).count() < 2:
-            break
+            return levels
         nodes = named.select(F.floor(F.col("node") / FAN_IN).alias("node"), F.col("node").alias("place"), "count", "root")
-        nodes = scratch.keep(nodes, f"nodes{level}")
         level += 1
 
 
-def _verified(wide: str):
+def verify_manifest(spark: SparkSession, out: str) -> None:
+    """Raise if the recipes of a store are not those that its manifest was made of."""
+    scratch = Scratch(spark, "manifest")
+    told, found = spark.read.parquet(f"{out}/manifest"), _tree(spark.read.parquet(f"{out}/recipes"), scratch)
+    keys = ["level", "node", "count", "root"]
+    odd = told.select(*keys).withColumn("told", F.lit(1)).unionByName(found.select(*keys).withColumn("told", F.lit(-1)))
+    if not odd.groupBy(*keys).agg(F.sum("told").alias("n")).where("n <> 0").isEmpty():
+        raise ValueError("the recipes don't match the manifest")
+    scratch.drop_all_but()
+
+
+def _rebuilt(width: str):
+    """Chunks sorted by recipe and position -> the ids of each recipe, verified."""
+
+    def whole(root: bytes, names: list[bytes], payloads: list[bytes | None]) -> bytes:
+        if None in payloads or names != [hashlib.sha256(p).digest() for p in payloads] or merkle_root(names) != root:
+            raise ValueError("a stored chunk or recipe doesn't match its address")
+        return np.frombuffer(b"".join(payloads), width).astype("<u4").tobytes()
+
+    def batch_of(done: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.binary()) for i in (0, 1)], ["root", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, names, payloads = None, [], []
         for batch in batches:
-            roots, payloads = [], []
-            for root, parts in zip(batch.column(0), batch.column(1)):
-                parts = sorted(parts.as_py(), key=lambda x: x["pos"])
-                names = [hashlib.sha256(x["payload"]).digest() for x in parts]
-                if [x["chunk_id"] for x in parts] != names or merkle_root(names) != root.as_py():
-                    raise ValueError("a stored chunk or recipe doesn't match its address")
-                ids = np.concatenate([np.frombuffer(x["payload"], wide) for x in parts])
-                roots.append(root.as_py())
-                payloads.append(ids.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.array(payloads, pa.binary())], ["root", "ids"])
+            done, held = [], 0
+            for key, name, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if key != root and names:
+                    done.append((root, whole(root, names, payloads)))
+                    held += len(done[-1][1])
+                    names, payloads = [], []
+                    if held > 1 << 24:
+                        yield batch_of(done)
+                        done, held = [], 0
+                root = key
+                names.append(name)
+                payloads.append(payload)
+            yield batch_of(done)
+        if names:
+            yield batch_of([(root, whole(root, names, payloads))])
 
     return run
 
 
 def read_distinct(spark: SparkSession, out: str, tokenizer: str | None = None) -> DataFrame:
     """``root, ids`` (little-endian uint32) of each distinct recipe, rebuilt from the chunks and verified."""
-    wide = id_width(encoder(tokenizer or default_tokenizer()).vocabulary)
+    width = id_width(encoder(tokenizer or default_tokenizer()).vocabulary)
     recipes, chunks = spark.read.parquet(f"{out}/recipes"), spark.read.parquet(f"{out}/chunks")
     places = recipes.groupBy("root").agg(F.first("chunk_ids").alias("chunk_ids")).select("root", F.posexplode("chunk_ids").alias("pos", "chunk_id"))
-    parts = places.join(chunks, "chunk_id").groupBy("root").agg(F.collect_list(F.struct("pos", "chunk_id", "payload")).alias("parts"))  # one document's chunks
-    return parts.mapInArrow(_verified(wide), "root binary, ids binary")
+    # A chunk that many recipes share is a skewed key: plain scans on both sides let it be split.
+    places = Scratch(spark, "places").keep(places, "places")
+    parts = places.join(chunks.select("chunk_id", "payload"), "chunk_id", "left")
+    parts = parts.repartition("root").sortWithinPartitions("root", "pos").select("root", "chunk_id", "payload")
+    return parts.mapInArrow(_rebuilt(width), "root binary, ids binary")
 
 
 def read_store(spark: SparkSession, out: str, tokenizer: str | None = None) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` of every document of a store."""
+    """``doc_id, start, n_tokens, ids`` of every document of a store, its manifest verified."""
+    verify_manifest(spark, out)
     recipes = spark.read.parquet(f"{out}/recipes").select("doc_id", "start", "n_tokens", "root")
     return recipes.join(read_distinct(spark, out, tokenizer), "root").select("doc_id", "start", "n_tokens", "ids")
 
 
-_CRC_POLY = 0xEDB88320
-
-
-def _times(a: int, b: int) -> int:
-    """Product of two polynomials modulo the CRC-32 polynomial, bits reflected."""
-    product = 0
-    for bit in range(31, -1, -1):
-        if a >> bit & 1:
-            product ^= b
-        b = b >> 1 ^ (_CRC_POLY if b & 1 else 0)
-    return product
-
-
-@lru_cache(maxsize=1 << 16)
-def _shift(n_bytes: int) -> int:
-    """``x ** (8 * n_bytes)`` modulo the polynomial."""
-    power, square = 1 << 31, 1 << 23
-    while n_bytes:
-        if n_bytes & 1:
-            power = _times(square, power)
-        square = _times(square, square)
-        n_bytes >>= 1
-    return power
-
-
-def _times_each(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``_times`` of each pair."""
-    a, b, product = a.astype(np.uint32), b.astype(np.uint32), np.zeros(len(a), np.uint32)
-    one, poly = np.uint32(1), np.uint32(_CRC_POLY)
-    for bit in range(31, -1, -1):
-        product ^= b * (a >> np.uint32(bit) & one)
-        b = b >> one ^ poly * (b & one)
-    return product
-
-
-def combined_crcs(crcs: np.ndarray, n_bytes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """CRC-32 of each concatenation, from its parts' checksums and bytes; ``starts`` bounds the parts of each."""
-    shifts = np.fromiter(map(_shift, n_bytes.tolist()), np.uint32, len(n_bytes))
-    counts = np.diff(starts)
-    totals = np.zeros(len(counts), np.uint32)
-    for turn in range(counts.max(initial=0)):
-        which = np.flatnonzero(counts > turn)
-        at = starts[which] + turn
-        totals[which] = _times_each(shifts[at], totals[which]) ^ crcs[at].astype(np.uint32)
-    return totals
-
-
-def _chunk_sums(wide: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = []
-            for name, payload in zip(batch.column(0), batch.column(1)):
-                raw = payload.as_buffer()
-                if hashlib.sha256(raw).digest() != name.as_py():
-                    raise ValueError("a stored chunk doesn't match its address")
-                sums.append(zlib.crc32(np.frombuffer(raw, wide).astype("<u4").tobytes()))
-            ids = [p.as_buffer().size // np.dtype(wide).itemsize for p in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sums, pa.int64())], ["chunk_id", "n_ids", "crc"])
-
-    return run
-
-
-def _recipe_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column(1)
-        parts = lists.flatten()
-        ends = np.cumsum(lists.value_lengths().to_numpy())
-        starts = np.concatenate([[0], ends]).astype(np.int64)
-        owner = np.repeat(np.arange(len(ends)), np.diff(starts))
-        order = np.lexsort((parts.field("pos").to_numpy(), owner))
-        names = parts.field("chunk_id").to_pylist()
-        names = [names[i] for i in order.tolist()]
-        roots = batch.column(0).to_pylist()
-        if parts.field("crc").null_count or any(merkle_root(names[a:b]) != root for root, a, b in zip(roots, starts[:-1].tolist(), starts[1:].tolist())):
-            raise ValueError("a recipe doesn't match its root or lacks a chunk")
-        n_ids = parts.field("n_ids").to_numpy()[order]
-        totals = np.bincount(owner, n_ids, len(ends)).astype(np.int64)
-        sums = combined_crcs(parts.field("crc").to_numpy()[order], 4 * n_ids, starts).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals), pa.array(sums)], ["root", "n_tokens", "ids_crc32"])
-
-
 def checksums(spark: SparkSession, out: str, tokenizer: str | None = None) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document of a store, its chunks and recipes verified."""
+    """``doc_id, start, n_tokens, ids_crc32`` of every document of a store, from its rebuilt ids."""
+    verify_manifest(spark, out)
     scratch = Scratch(spark, "checksums")
-    wide = id_width(encoder(tokenizer or default_tokenizer()).vocabulary)
-    recipes = spark.read.parquet(f"{out}/recipes")
-    chunks = spark.read.parquet(f"{out}/chunks").select("chunk_id", "payload").mapInArrow(_chunk_sums(wide), "chunk_id binary, n_ids long, crc long")
-    chunks = scratch.keep(chunks, "chunks")
-    places = recipes.groupBy("root").agg(F.first("chunk_ids").alias("chunk_ids")).select("root", F.posexplode("chunk_ids").alias("pos", "chunk_id"))
-    parts = places.join(chunks, "chunk_id", "left").groupBy("root").agg(F.collect_list(F.struct("pos", "chunk_id", "n_ids", "crc")).alias("parts"))  # one document's chunks
-    sums = scratch.keep(parts.mapInArrow(_recipe_sums, "root binary, n_tokens long, ids_crc32 long"), "sums")
-    return recipes.select("doc_id", "start", "root").join(sums, "root").select("doc_id", "start", "n_tokens", "ids_crc32")
+    sums = read_distinct(spark, out, tokenizer).select("root", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    recipes = spark.read.parquet(f"{out}/recipes").select("doc_id", "start", "root")
+    return recipes.join(scratch.keep(sums, "sums"), "root").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op9_token_store(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from struct import pack
 import numpy as np
 import pyarrow as pa
 
-CACHED_PIECES = 1 << 17
+CACHED_PIECES = 1 << 19
 TEXT_AT_ONCE = 1 << 22  # bytes of text encoded into one batch of results
 LATIN = range(0x250)
 #: Only characters whose lower case is Latin as well: the split's classes know no others.
@@ -53,13 +53,13 @@ def _latin(pattern: str) -> re.Pattern:
 
 
 class _Pieces(dict):
-    """Ids of each piece met so far, as little-endian uint32."""
+    """Ids of each piece met so far, in the narrowest little-endian type."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, width: str):
+        self.encode, self.kind = encode, "H" if width == "<u2" else "I"
 
     def __missing__(self, piece: str) -> bytes:
-        self[piece] = ids = pack(f"<{len(found := self.encode(piece))}I", *found)
+        self[piece] = ids = pack(f"<{len(found := self.encode(piece))}{self.kind}", *found)
         return ids
 
 
@@ -73,28 +73,30 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.width = id_width(self.vocabulary)
+        self.model = self.tokenizer.model
         self.split: re.Pattern | None = None
         normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         if normal == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in before] == ["Split", "ByteLevel"] and before[0]["invert"] and not before[1]["use_regex"]:
             self.split = _latin(before[0]["pattern"]["Regex"])
             self.letters = _byte_letters()
-            self.pieces = _Pieces(self._piece)
+            self.pieces = _Pieces(self._piece, self.width)
 
     def _piece(self, piece: str) -> list[int]:
         letters = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-        return [t.id for t in self.tokenizer.model.tokenize(letters)]
+        return [t.id for t in self.model.tokenize(letters)]
 
     def _latin_ids(self, text: str) -> np.ndarray:
         found = self.split.findall(text.lower())
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, found)), "<u4")
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, found)), self.width)
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text as uint32."""
+        """Ids of a text in the narrowest type that holds them."""
         if self.split is None:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width)
         if len(self.pieces) > CACHED_PIECES:
-            self.pieces = _Pieces(self._piece)
+            self.pieces = _Pieces(self._piece, self.width)
         if _PLAIN.fullmatch(text):
             return self._latin_ids(text)
         parts, run = [], []
@@ -103,7 +105,7 @@ class Encoder:
                 run.append(word)
                 continue
             parts.append(self._latin_ids(" ".join(run)))
-            parts.append(np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32))
+            parts.append(np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.width))
             run = []
         parts.append(self._latin_ids(" ".join(run)))
         return np.concatenate(parts)

@@ -1,7 +1,9 @@
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from brightloom.llm import packing as K
 from brightloom.llm import token_store as S
@@ -63,9 +65,87 @@ def test_a_damaged_chunk_is_noticed(spark):
     chunks = spark.read.parquet(f"{out}/chunks")
     bad = Scratch(spark, "test").path("bad")
     chunks.selectExpr("chunk_id", "n_ids", "unhex('00000000') AS payload").write.parquet(f"{bad}/chunks")
-    spark.read.parquet(f"{out}/recipes").write.parquet(f"{bad}/recipes")
+    for table in ("recipes", "manifest"):
+        spark.read.parquet(f"{out}/{table}").write.parquet(f"{bad}/{table}")
     with pytest.raises(Exception, match="address"):
         S.checksums(spark, bad)
+    gone = Scratch(spark, "test").path("gone")
+    chunks.limit(0).write.parquet(f"{gone}/chunks")
+    for table in ("recipes", "manifest"):
+        spark.read.parquet(f"{out}/{table}").write.parquet(f"{gone}/{table}")
+    with pytest.raises(Exception, match="address"):
+        S.checksums(spark, gone)
+
+
+def test_a_recipe_that_was_changed_or_removed_is_noticed(spark):
+    out = Scratch(spark, "test").path("store")
+    S.write_store(spark.createDataFrame([(i, f"text {i}") for i in range(5)], "doc_id long, text string"), out)
+    S.verify_manifest(spark, out)
+    recipes = spark.read.parquet(f"{out}/recipes")
+    for change in (recipes.where("doc_id <> 3"), recipes.withColumn("doc_id", F.col("doc_id") + 1), recipes.withColumn("start", F.col("start") + 1), recipes.unionByName(recipes.where("doc_id = 1"))):
+        bad = Scratch(spark, "test").path("bad")
+        change.write.parquet(f"{bad}/recipes")
+        spark.read.parquet(f"{out}/manifest").write.parquet(f"{bad}/manifest")
+        spark.read.parquet(f"{out}/chunks").write.parquet(f"{bad}/chunks")
+        with pytest.raises(ValueError, match="manifest"):
+            S.read_store(spark, bad)
+
+
+def test_recipes_stand_in_order_over_files(spark):
+    out = Scratch(spark, "test").path("store")
+    docs = spark.createDataFrame([((i * 7919) % 4001, f"text {i}") for i in range(4000)], "doc_id long, text string").repartition(7)
+    size = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        S.write_store(docs, out)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", size)
+    files = sorted({r.f for r in spark.read.parquet(f"{out}/recipes").select(F.input_file_name().alias("f")).collect()})
+    assert len(files) > 1
+    ids = [i for f in files for i in pq.read_table(f.removeprefix("file://"), columns=["doc_id"]).column(0).to_pylist()]
+    assert ids == sorted(ids) and len(ids) == 4000
+
+
+def whole_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    return sorted((r.doc_id, r.text) for r in rows)
+
+
+def test_op9_equals_the_library_over_the_table(spark):
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in S.op9_token_store(spark, "/root/testdata/sf0.001").collect()}
+    start = 0
+    for doc, text in whole_table(spark):
+        want = np.array(plain(text) + [1], "<u4")
+        assert got.pop(doc) == (start, len(want), zlib.crc32(want.tobytes()))
+        start += len(want)
+    assert not got
+
+
+def test_op5_pieces_make_up_the_librarys_ids(spark):
+    pieces = {}
+    rows = K.op5_packing(spark, "/root/testdata/sf0.001").collect()
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append(r)
+    for doc, text in whole_table(spark):
+        ids, at = np.array(plain(text) + [2], "<u4"), 0
+        for r in sorted(pieces.pop(doc), key=lambda r: r.start):
+            part = ids[at : at + r.length]
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(part.tobytes())
+            at += r.length
+        assert at == len(ids)
+    assert not pieces
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    padding = 0
+    for spans in sequences.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 4096
+        padding += 0 if at & (at - 1) == 0 else 4096 - at
+    assert padding == 0
 
 
 def test_empty_tables(spark):
