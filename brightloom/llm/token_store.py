@@ -210,8 +210,11 @@ def read_distinct(spark: SparkSession, out: str, tokenizer: str | None = None) -
     recipes, chunks = spark.read.parquet(f"{out}/recipes"), spark.read.parquet(f"{out}/chunks")
     places = recipes.groupBy("root").agg(F.first("chunk_ids").alias("chunk_ids")).select("root", F.posexplode("chunk_ids").alias("pos", "chunk_id"))
     # A chunk that many recipes share is a skewed key: plain scans on both sides let it be split.
-    places = Scratch(spark, "places").keep(places, "places")
-    parts = places.join(chunks.select("chunk_id", "payload"), "chunk_id", "left")
+    scratch = Scratch(spark, "places")
+    places = scratch.keep(places, "places")
+    # Written, so that payloads do not lie in two shuffles at once.
+    parts = scratch.keep(places.join(chunks.select("chunk_id", "payload"), "chunk_id", "left"), "parts", "zstd")
+    scratch.drop("places")
     parts = parts.repartition("root").sortWithinPartitions("root", "pos").select("root", "chunk_id", "payload")
     return parts.mapInArrow(_rebuilt(width), "root binary, ids binary")
 
