@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brightloom.queries import corpus, crawl, evidence, graph, rollups, search, stats, surface
+from brightloom.queries import corpus, crawl, evidence, graph, review, rollups, search, stats, surface
 
-MODULES = (search, stats, rollups, corpus, graph, crawl, evidence, surface)
+MODULES = (search, stats, rollups, corpus, graph, crawl, evidence, review, surface)
 
 QUERIES = {name: f for m in MODULES for name, f in m.registry.queries.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.registry.sql.items()}

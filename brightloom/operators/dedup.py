@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,23 +11,39 @@ from brightloom.functions import text as X
 from brightloom.functions import vectors as V
 
 
-def banded_pairs(rows: DataFrame, id_col: str, hash_col: str, limit: int = 4) -> DataFrame:
-    """``left, right, distance`` of all pairs within ``limit`` differing bits of 64.
+AGREE = 3  # bands that a key is made of
+
+
+def hash_links(rows: DataFrame, id_col: str, hash_col: str, limit: int = 4) -> DataFrame:
+    """``a, b, distance`` of all pairs of different 64-bit hashes within ``limit`` differing bits; ``a < b``.
 
-    With one band more than differing bits, a close pair agrees on a whole band;
-    pairs meet on equal bands, and the distance is checked on all bits. Equal
-    hashes are one representative here, so copies do not multiply.
+    The bits are cut into ``limit + AGREE`` bands. A close pair differs in
+    ``limit`` bands at most, so it agrees on ``AGREE`` of them: pairs meet on any
+    such bands together, some 27 bits, and are checked on all. Equal hashes are
+    one here, so copies do not multiply.
     """
-    heads = rows.groupBy(hash_col).agg(F.min(id_col).alias("id"))
-    bits = F.lpad(F.conv(F.substring(hash_col, 1, 8), 16, 2), 32, "0")
-    bits = F.concat(bits, F.lpad(F.conv(F.substring(hash_col, 9, 8), 16, 2), 32, "0"))
-    width = -(-64 // (limit + 1))
-    bands = F.array(*[F.concat(F.lit(f"{i}:"), F.substring(bits, 1 + i * width, width)) for i in range(limit + 1)])
-    keyed = heads.select("id", hash_col, F.explode(bands).alias("band"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    distance = V.hamming_hex(F.col(f"a.{hash_col}"), F.col(f"b.{hash_col}"))
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")))
-    return pairs.select(F.col("a.id").alias("left"), F.col("b.id").alias("right"), distance.alias("distance")).where(F.col("distance") <= limit).distinct()
+    bands = limit + AGREE
+    hashes = rows.select(F.col(hash_col).alias("h")).where("h IS NOT NULL").distinct()
+    halves = [F.lpad(F.conv(F.substring("h", at, 8), 16, 2), 32, "0") for at in (1, 9)]
+    edges = [64 * i // bands for i in range(bands + 1)]
+    cut = [F.substring("bits", edges[i] + 1, edges[i + 1] - edges[i]) for i in range(bands)]
+    keys = F.array(*[F.concat(F.lit(f"{','.join(map(str, some))}:"), *[cut[i] for i in some]) for some in combinations(range(bands), AGREE)])
+    keyed = hashes.withColumn("bits", F.concat(*halves)).select("h", F.explode(keys).alias("key"))
+    x, y = keyed.alias("x"), keyed.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h"))).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"), V.hamming_hex(F.col("x.h"), F.col("y.h")).alias("distance"))
+    return pairs.where(F.col("distance") <= limit).distinct()
+
+
+def hash_classes(rows: DataFrame, id_col: str, hash_col: str, limit: int = 4) -> DataFrame:
+    """``id, class_id, links`` of every row: the least id with its hash, and how many other hashes are close to it.
+
+    A row without a hash is in no class.
+    """
+    links = hash_links(rows, id_col, hash_col, limit)
+    ends = links.select(F.col("a").alias("h")).unionAll(links.select(F.col("b").alias("h"))).groupBy("h").agg(F.count(F.lit(1)).alias("links"))
+    classes = rows.groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("class_id")).join(ends, "h", "left")
+    out = rows.select(id_col, F.col(hash_col).alias("h")).join(classes, "h", "left")
+    return out.select(id_col, F.when(F.col("h").isNotNull(), F.col("class_id")).alias("class_id"), F.when(F.col("h").isNotNull(), F.coalesce("links", F.lit(0)).cast("long")).alias("links"))
 
 
 def signature(words):
@@ -35,16 +53,31 @@ def signature(words):
     return F.array_distinct(F.filter(words, lambda w: F.regexp_like(w, F.lit("[0-9]")) | w.isin(*terms)))
 
 
-def text_pairs(docs: DataFrame, block: str, tolerance: int = 20) -> DataFrame:
-    """Pairs in a block whose lengths are close, with bigram and signature similarity."""
+def text_pairs(docs: DataFrame, block: str, tolerance: int = 20, least: tuple[int, int] = (9, 10)) -> DataFrame:
+    """Pairs in a block whose lengths are close and whose bigrams have a similarity of ``least`` or more.
+
+    Two sets that similar have a bigram in common among the first of either, in
+    any one order: as many as may be missing, and one more. So only these meet,
+    by block, length and bigram, instead of all pairs of a block.
+    """
+    over, under = least
     # Tokens first, as a column: inside a lambda an expression would run for every member.
     words = docs.select("doc_id", block, "n_chars", X.tokens(F.col("text")).alias("w"))
     rows = words.select("doc_id", block, "n_chars", X.ngrams(F.col("w")).alias("grams"), signature(F.col("w")).alias("sig"))
+    n = F.size("grams")
+    first = n - F.ceil(n * over / under).cast("int") + 1
+    ordered = F.array_sort(F.transform("grams", lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    # No bigrams on either side is a similarity of one.
+    keys = F.when(n == 0, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.slice(ordered, F.lit(1), F.greatest(first, F.lit(1))), lambda x: x["h"]))
+    keyed = rows.select("doc_id", block, "n_chars", F.explode(keys).alias("key"))
     # Lengths within the tolerance fall into the same bucket or into neighbouring ones.
-    left = rows.select("*", F.explode(F.array(*[F.floor(F.col("n_chars") / tolerance) + d for d in (-1, 0, 1)])).alias("bucket")).alias("l")
-    right = rows.select("*", F.floor(F.col("n_chars") / tolerance).alias("bucket")).alias("r")
-    near = (F.col(f"l.{block}") == F.col(f"r.{block}")) & (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.doc_id") < F.col("r.doc_id")) & (F.abs(F.col("l.n_chars") - F.col("r.n_chars")) <= tolerance)
-    return left.join(right, near).select(
-        F.col("l.doc_id").alias("left"), F.col("r.doc_id").alias("right"),
-        X.jaccard(F.col("l.grams"), F.col("r.grams")).alias("text_similarity"), X.jaccard(F.col("l.sig"), F.col("r.sig")).alias("signature_similarity"),
-    )
+    left = keyed.select("*", F.explode(F.array(*[F.floor(F.col("n_chars") / tolerance) + d for d in (-1, 0, 1)])).alias("bucket")).alias("l")
+    right = keyed.select("*", F.floor(F.col("n_chars") / tolerance).alias("bucket")).alias("r")
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (block, "key", "bucket")]
+    near = (F.col("l.doc_id") < F.col("r.doc_id")) & (F.abs(F.col("l.n_chars") - F.col("r.n_chars")) <= tolerance)
+    met = left.join(right, [*same, near]).select(F.col("l.doc_id").alias("left"), F.col("r.doc_id").alias("right")).distinct()
+    # Only pairs that met carry their bigrams.
+    side = lambda p, c: rows.select(F.col("doc_id").alias(c), F.col("grams").alias(f"{p}_grams"), F.col("sig").alias(f"{p}_sig"))
+    pairs = met.join(side("l", "left"), "left").join(side("r", "right"), "right")
+    pairs = pairs.select("left", "right", X.jaccard(F.col("l_grams"), F.col("r_grams")).alias("text_similarity"), X.jaccard(F.col("l_sig"), F.col("r_sig")).alias("signature_similarity"))
+    return pairs.where(F.col("text_similarity") >= over / under)

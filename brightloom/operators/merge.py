@@ -53,3 +53,8 @@ def replace_children(rows: DataFrame, new: DataFrame, parent: str) -> DataFrame:
 def insert_missing(rows: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows and those new ones whose key is not there yet, once each."""
     return rows.unionByName(new.join(rows, keys, "left_anti").dropDuplicates(keys))
+
+
+def delete_keys(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key is not among those deleted; a null key is never deleted."""
+    return rows.join(gone.select(*keys).distinct(), keys, "left_anti")

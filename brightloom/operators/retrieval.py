@@ -1,13 +1,15 @@
 """Lexical and vector retrieval, rank fusion and evidence reranking.
 
-All queries here are narrow scans followed by a top-k: a text is tokenised
-where it lies and only the query's terms are counted, so nothing but one row of
-corpus statistics and the top rows of each task is moved.
+Queries over plain tables are narrow scans followed by a top-k: a text is
+tokenised where it lies and only the query's terms are counted, so nothing but
+one row of corpus statistics and the top rows of each task is moved. Where many
+queries are asked, ``write_postings`` writes an inverted index once, and
+``bm25_indexed`` reads the parts of it that hold the query's terms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions import text as X
@@ -35,6 +37,54 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: st
     return counts.where(hit).crossJoin(F.broadcast(stats)).select(id_col, score.alias("score"))  # stats is one row
 
 
+POSTING_PARTS = 64
+
+
+def write_postings(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """An inverted index: ``postings`` by part of the term's hash, sorted by term, and one row of ``stats``.
+
+    A posting has the document's length, so a score takes no join. A document's
+    words are counted where its text lies; what is shuffled is its distinct words.
+    """
+    spark = docs.sparkSession
+    words = docs.select(F.col(id_col).alias("id"), X.tokens(F.col(text_col)).alias("w"))
+    counted = words.select("id", F.size("w").cast("long").alias("len"), F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    part = F.pmod(F.xxhash64("term"), F.lit(POSTING_PARTS)).cast("int")
+    # A term that most documents have is spread over tasks by id; a part then has several files.
+    spread = counted.withColumn("part", part).repartition("part", F.pmod(F.xxhash64("id"), F.lit(8)))
+    spread.sortWithinPartitions("part", "term", "id").write.partitionBy("part").parquet(f"{out}/postings")
+    words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean")).write.parquet(f"{out}/stats")
+
+
+def replace_postings(spark: SparkSession, index: str, changed: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """The index with the documents in ``changed`` as they are now; a null text takes a document out.
+
+    ``changed`` holds one row an id. Written anew to ``out``: Parquet has no updates.
+    """
+    new = f"{out}/new"
+    write_postings(changed.where(F.col(text_col).isNotNull()), new, id_col, text_col)
+    old = spark.read.parquet(f"{index}/postings")
+    ids = changed.select(F.col(id_col).alias("id"))
+    kept = old.join(ids, "id", "left_anti").unionByName(spark.read.parquet(f"{new}/postings"))
+    kept.repartition("part", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("part", "term", "id").write.partitionBy("part").parquet(f"{out}/postings")
+    # Documents without a word have no postings; the statistics come from the old ones and the change.
+    gone = old.join(ids, "id", "left_semi").select("id", "len").distinct().agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("len"))
+    stats = [spark.read.parquet(f"{x}/stats").select("n", (F.col("n") * F.coalesce("mean", F.lit(0.0))).alias("len")) for x in (index, new)]
+    total = stats[0].unionByName(stats[1]).unionByName(gone.select((-F.col("n")).alias("n"), (-F.col("len")).cast("double").alias("len")))
+    total.agg(F.sum("n").alias("n"), F.sum("len").alias("len")).select("n", F.when(F.col("n") > 0, F.col("len") / F.col("n")).alias("mean")).write.parquet(f"{out}/stats")
+
+
+def bm25_indexed(spark: SparkSession, index: str, terms: list[str]) -> DataFrame:
+    """``id, score`` of every document that has one of the terms, from the index alone."""
+    parts = [r.p for r in spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(POSTING_PARTS)).cast("int").alias("p")).distinct().collect()]  # one a term
+    hits = spark.read.parquet(f"{index}/postings").where(F.col("part").isin(parts) & F.col("term").isin(terms))
+    frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row a term
+    rows = hits.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(spark.read.parquet(f"{index}/stats")))  # one row
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    return rows.groupBy("id").agg(F.sum(score).alias("score"))
+
+
 def _equals(term: str):
     return lambda w: w == term
 

@@ -17,6 +17,7 @@ from brightloom.sources.pages import page_text_links
 
 registry = Registry()
 DIM = 64
+BROADCAST_GRAMS = 500_000  # shingles of reference items that are sent to every task
 
 
 @registry.query("""
@@ -31,19 +32,23 @@ def exact_dup_hash(spark, sf_dir):
 _HAM = "bit_count(xor(('0x' || substr(a.h, 1, 8))::BIGINT, ('0x' || substr(b.h, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr(a.h, 9, 8))::BIGINT, ('0x' || substr(b.h, 9, 8))::BIGINT))"
 
 
-def _short_hashes(spark, sf_dir):
-    # The high byte of each quarter, so that some pairs are close.
+_BITS = "substr(md5(text), 1, 15) || lower(hex(xor(('0x' || substr(md5(text), 16, 1))::INTEGER, (doc_id % 8)::INTEGER))[-1:])"
+
+
+def _hashes(spark, sf_dir):
+    # 64 bits of the content; the last three also depend on the id, so copies are near and not equal.
     m = F.md5(F.col("text").cast("binary"))
-    h = F.concat(*[F.concat(F.lit("000"), F.substring(m, 1 + i, 1)) for i in range(4)])
-    return table(spark, sf_dir, "documents").select("doc_id", h.alias("h"))
+    last = F.conv(F.substring(m, 16, 1), 16, 10).cast("int").bitwiseXOR((F.col("doc_id") % 8).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring(m, 1, 15), F.lower(F.hex(last.cast("long")))).alias("h"))
 
 
 @registry.query(f"""
-    WITH d AS (SELECT min(doc_id) AS id, '000' || substr(md5(text), 1, 1) || '000' || substr(md5(text), 2, 1) || '000' || substr(md5(text), 3, 1) || '000' || substr(md5(text), 4, 1) AS h FROM documents GROUP BY 2)
-    SELECT a.id AS "left", b.id AS "right", ({_HAM})::BIGINT AS distance FROM d a JOIN d b ON a.id < b.id WHERE {_HAM} <= 2""")
+    WITH r AS (SELECT doc_id, {_BITS} AS h FROM documents), d AS (SELECT h, min(doc_id) AS class_id FROM r GROUP BY h),
+    n AS (SELECT a.h, count(*) AS links FROM d a JOIN d b ON substr(a.h, 1, 15) = substr(b.h, 1, 15) AND a.h <> b.h AND {_HAM} <= 4 GROUP BY a.h)
+    SELECT doc_id, class_id, coalesce(links, 0) AS links FROM r JOIN d USING (h) LEFT JOIN n USING (h)""")
 def near_dup_phash(spark, sf_dir):
-    """Pairs of bit strings within two differing bits, by bands."""
-    return dedup.banded_pairs(_short_hashes(spark, sf_dir), "doc_id", "h", 2).select("left", "right", F.col("distance").cast("long").alias("distance"))
+    """Each document's class of equal hashes and the number of classes within four differing bits, by bands."""
+    return dedup.hash_classes(_hashes(spark, sf_dir), "doc_id", "h", 4)
 
 
 @registry.query(f"""
@@ -79,12 +84,12 @@ _SIG = "list_distinct(list_filter(w, lambda x: regexp_matches(x, '[0-9]') OR x I
     p AS (SELECT l.doc_id AS "left", r.doc_id AS "right", {_JAC.format('l.grams', 'r.grams')} AS a, {_JAC.format('l.sig', 'r.sig')} AS b
           FROM g l JOIN g r ON l.source = r.source AND l.doc_id < r.doc_id AND abs(l.n_chars - r.n_chars) <= 20)
     SELECT "left", "right", round(a, 6) AS text_similarity, round(b, 6) AS signature_similarity,
-           CASE WHEN a >= 0.9 AND b >= 0.82 THEN 'exact_duplicate' WHEN a >= 0.9 THEN 'same_campaign_different_offer' ELSE 'different' END AS verdict FROM p""")
+           CASE WHEN b >= 0.82 THEN 'exact_duplicate' ELSE 'same_campaign_different_offer' END AS verdict FROM p WHERE a >= 0.9""")
 def post_text_dup(spark, sf_dir):
-    """Pairs of close length in a source, by bigrams and by the words that carry terms, with a verdict."""
+    """Duplicates of close length in a source, by bigrams and by the words that carry terms, with a verdict."""
     p = dedup.text_pairs(table(spark, sf_dir, "documents"), "source")
     a, b = F.col("text_similarity"), F.col("signature_similarity")
-    verdict = F.when((a >= 0.9) & (b >= 0.82), F.lit("exact_duplicate")).when(a >= 0.9, F.lit("same_campaign_different_offer")).otherwise(F.lit("different"))
+    verdict = F.when(b >= 0.82, F.lit("exact_duplicate")).otherwise(F.lit("same_campaign_different_offer"))
     return p.select("left", "right", F.round(a, 6).alias("text_similarity"), F.round(b, 6).alias("signature_similarity"), verdict.alias("verdict"))
 
 
@@ -96,9 +101,9 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @registry.query()
 def post_text_dup_difflib(spark, sf_dir):
-    """Pairs with half their bigrams in common, compared by matching sequences of whole texts."""
+    """Pairs with four fifths of their bigrams in common, compared by matching sequences of whole texts."""
     docs = table(spark, sf_dir, "documents")
-    pairs = dedup.text_pairs(docs, "source").where("text_similarity >= 0.5")
+    pairs = dedup.text_pairs(docs, "source", least=(4, 5))
     text = docs.select("doc_id", "text")
     l, r = text.withColumnsRenamed({"doc_id": "left", "text": "lt"}), text.withColumnsRenamed({"doc_id": "right", "text": "rt"})
     rows = pairs.join(l, "left").join(r, "right")
@@ -118,7 +123,9 @@ def benchmark_overlap(spark, sf_dir):
 
     d, b = grams("documents", "doc_id"), grams("benchmark", "item_id")
     total = b.groupBy("item_id").agg(F.count(F.lit(1)).alias("total"))
-    common = d.join(b, "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("common"))
+    # A set of items that is small goes to the documents, whose counts then combine where they lie.
+    small = b.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    common = d.join(F.broadcast(b) if small else b, "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("common"))
     return common.join(total, "item_id").select("doc_id", "item_id", "common", F.round(F.col("common") / F.col("total"), 6).alias("share"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brightloom.functions import text as X
 from brightloom.functions import vectors as V
 from brightloom.operators import retrieval as R
+from brightloom.plans.shared import Scratch
 from brightloom.queries.registry import Registry, table
 
 registry = Registry()
@@ -36,6 +37,14 @@ def keyword_bm25_topk(spark, sf_dir):
     return R.top_k(hits, 20, F.col("score").desc(), "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
+@registry.query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm")
+def keyword_bm25_indexed(spark, sf_dir):
+    """Scores of all documents that have one of the terms, from a written index."""
+    index = Scratch(spark, "postings").path("index")
+    R.write_postings(table(spark, sf_dir, "documents"), index)
+    return R.bm25_indexed(spark, index, TERMS).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @registry.query("""
     WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
     h AS (SELECT doc_id, contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AS phrase_hit,

@@ -81,6 +81,12 @@ def watermarks(items: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def iso_duration_ms(x) -> F.Column:
-    """Milliseconds of an ISO 8601 duration such as ``PT1H2M3S``."""
-    part = lambda unit: F.coalesce(F.regexp_extract(x, f"([0-9]+){unit}", 1).try_cast("long"), F.lit(0))
-    return F.when(F.regexp_like(x, F.lit("^P")), (part("H") * 3600 + part("M") * 60 + part("S")) * 1000)
+    """Milliseconds of an ISO 8601 duration such as ``P1DT2H3M4.5S``.
+
+    Null for anything else, and for years and months, which have no fixed length.
+    """
+    number = lambda unit, zone: F.coalesce(F.regexp_extract(F.regexp_extract(x, zone, 0), f"([0-9.]+){unit}", 1).try_cast("double"), F.lit(0.0))
+    day, time = "^P[^T]*", "T.*$"
+    seconds = number("W", day) * 604_800 + number("D", day) * 86_400 + number("H", time) * 3600 + number("M", time) * 60 + number("S", time)
+    form = r"^P(?=[0-9T])(?:[0-9]+W)?(?:[0-9]+D)?(?:T(?=[0-9])(?:[0-9]+H)?(?:[0-9]+M)?(?:[0-9]+(?:\.[0-9]+)?S)?)?$"
+    return F.when(F.regexp_like(x, F.lit(form)), F.round(seconds * 1000).cast("long"))

@@ -8,6 +8,7 @@ from brightloom.functions import text as X
 from brightloom.functions import vectors as V
 from brightloom.functions.embed import HashEmbedder, embed_column
 from brightloom.operators import cluster, dedup, frames, merge
+from brightloom.operators import retrieval as R
 from brightloom.operators.components import connected_components
 from brightloom.operators.polls import is_live
 from brightloom.plans.sqlguard import NotReadOnly, check, guarded
@@ -53,8 +54,10 @@ def test_scores(spark):
 
 
 def test_average_linkage():
-    v = np.array([[1, 0], [0.999, 0.001], [0.998, 0.002], [0, 1]])
-    assert cluster.average_linkage(v, 0.95, 3).tolist() == [0, 0, 0, -1]
+    angles = np.radians([10.0, 200.0, 14.0, 205.0, 12.0, 90.0, 7.0])
+    v = np.stack([np.cos(angles), np.sin(angles)], axis=1) * np.arange(1, 8)[:, None]
+    assert cluster.average_linkage(v, 0.9, 3).tolist() == [0, -1, 0, -1, 0, -1, 0]
+    assert cluster.average_linkage(v, 0.9, 2).tolist() == [0, 1, 0, 1, 0, -1, 0]
 
 
 def test_mean_similarity_equals_pairs(spark):
@@ -67,15 +70,6 @@ def test_mean_similarity_equals_pairs(spark):
         assert abs(r.similarity - np.mean(rest)) < 1e-6
 
 
-def test_banded_pairs_equal_all_pairs(spark):
-    rng = np.random.default_rng(2)
-    base = [int(x) for x in rng.integers(0, 1 << 62, 6)]
-    values = [b ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for b in base for n in (0, 1, 3, 4, 6)]
-    rows = spark.createDataFrame([(i, f"{v:016x}") for i, v in enumerate(values)], "id long, h string")
-    got = {(r.left, r.right) for r in dedup.banded_pairs(rows, "id", "h", 4).collect()}
-    assert got == {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= 4}
-
-
 def test_frames(spark):
     assert frames.farthest_points(np.array([0, 1, 2, 10, 11]), 3) == [0, 3, 4] or frames.farthest_points(np.array([0, 1, 2, 10, 11]), 3)[0] == 0
     rows = spark.createDataFrame([("a", i, b) for i, b in enumerate([0, 1, 255, 254, 0])], "item string, frame long, bits long")
@@ -100,15 +94,28 @@ def test_merge(spark):
     assert merge.replace_children(old, new.where("k = 1"), "k").where("k = 1").first().name == "A"
 
 
-@pytest.mark.parametrize("bad", ["DROP TABLE x", "SELECT 1; SELECT 2", "", "WITH a AS (SELECT 1) DELETE FROM a", "EXPLAIN SELECT 1"])
-def test_guard_refuses(bad):
+@pytest.mark.parametrize(
+    "bad",
+    [
+        "DROP TABLE x", "SELECT 1; SELECT 2", "", "WITH a AS (SELECT 1) DELETE FROM a", "EXPLAIN SELECT 1", "SET x = 1",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT reflect('java.lang.System', 'lineSeparator')", "SELECT input_file_name()",
+        "SELECT * FROM parquet.`/tmp`", "SELECT * FROM nowhere", "SELECT * FROM default.t", "SELECT (SELECT max(x) FROM csv.`/etc/passwd`) AS y", "SELECT 1 WHERE EXISTS (SELECT * FROM text.`/etc/passwd`)",
+        "SELECT 1 WHERE 1 IN (SELECT id FROM json.`/tmp/x`)", "WITH a AS (SELECT * FROM text.`/etc/passwd`) SELECT * FROM a", "SELECT * FROM range(3) ORDER BY java_method('a', 'b')",
+        "SELECT transform(array(1), x -> reflect('a', 'b', x))", "INSERT INTO t SELECT 1", "SELECT * FROM a_table_function(1)",
+    ],
+)
+def test_guard_refuses(spark, bad):
     with pytest.raises(NotReadOnly):
-        check(bad)
+        check(spark, bad)
 
 
 def test_guard_allows(spark):
     assert guarded(spark, "SELECT 'drop; it' AS x, replace('a', 'a', 'b') AS y;").first().y == "b"
     assert guarded(spark, "SELECT * FROM range(100)", 10).count() == 11
+    spark.range(5).createOrReplaceTempView("t_five")
+    assert guarded(spark, "SELECT id FROM t_five ORDER BY id DESC -- the last").first().id == 4
+    nested = "WITH a AS (SELECT id, id % 2 AS k FROM T_Five), b AS (SELECT k, count(*) AS n FROM a GROUP BY k HAVING n > 1) SELECT b.k, n, row_number() OVER (ORDER BY n) AS r FROM b JOIN a USING (k) WHERE n IN (SELECT n FROM b) AND EXISTS (SELECT 1 FROM a) UNION ALL SELECT 1, (SELECT max(id) FROM a), 0"
+    assert guarded(spark, nested).count() == 6
 
 
 def test_tools_and_embeddings(spark):
@@ -121,3 +128,27 @@ def test_tools_and_embeddings(spark):
     assert vectors.where(F.size("embedding") == 16).count() == 3
     same = vectors.collect()
     assert HashEmbedder(16).embed(["tree"])[0] == pytest.approx(same[2].embedding, abs=1e-6)
+
+
+def test_an_index_that_documents_changed_in(spark, tmp_path):
+    docs = [(1, "red car car"), (2, "blue car"), (3, "red red tree"), (4, "")]
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    R.write_postings(table(docs), f"{tmp_path}/a")
+    changed = [(2, "red boat"), (3, None), (9, "car")]
+    R.replace_postings(spark, f"{tmp_path}/a", table(changed), f"{tmp_path}/b")
+    now = [(i, t) for i, t in {**dict(docs), **dict(changed)}.items() if t is not None]
+    for terms in (["red", "car"], ["boat"], ["none"]):
+        want = {r.doc_id: pytest.approx(r.score, rel=1e-9) for r in R.bm25(table(now), terms).collect()}
+        assert {r.id: r.score for r in R.bm25_indexed(spark, f"{tmp_path}/b", terms).collect()} == want
+
+
+def test_close_hashes_meet_in_any_bands(spark):
+    rng = np.random.default_rng(3)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 60)]
+    hashes = base + [b ^ sum(1 << int(i) for i in rng.choice(63, size=n, replace=False)) for b, n in zip(base, [1, 2, 3, 4, 5, 6] * 10)] + base[:5]
+    rows = spark.createDataFrame([(i, f"{h:016x}") for i, h in enumerate(hashes)] + [(900, None)], "id long, h string")
+    got = {r.id: (r.class_id, r.links) for r in dedup.hash_classes(rows, "id", "h", 4).collect()}
+    kinds = set(hashes)
+    for i, h in enumerate(hashes):
+        assert got[i] == (hashes.index(h), sum(0 < (h ^ o).bit_count() <= 4 for o in kinds))
+    assert got[900] == (None, None)

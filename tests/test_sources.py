@@ -15,25 +15,25 @@ def test_taxonomy(spark, tmp_path):
 
 def test_transcripts_in_three_shapes(spark, tmp_path):
     shapes = [
-        [{"start_ms": 200, "end_ms": 1700, "text": " hello "}],
-        {"segments": [{"start": 0.2, "end": 1.7, "text": "hello"}]},
-        {"transcription": [{"offsets": {"from": 200, "to": 1700}, "text": "hello"}]},
+        [{"start_ms": 4250, "end_ms": 9125, "text": " two for one "}],
+        {"segments": [{"start": 4.25, "end": 9.125, "text": "two for one"}]},
+        {"transcription": [{"offsets": {"from": 4250, "to": 9125}, "text": "two for one"}]},
     ]
     for i, s in enumerate(shapes):
         (tmp_path / f"{i}.json").write_text(json.dumps(s))
     rows = readers.read_transcripts(spark, str(tmp_path)).collect()
-    assert {(r.start_ms, r.end_ms, r.text) for r in rows} == {(200, 1700, "hello")} and len(rows) == 3
+    assert {(r.start_ms, r.end_ms, r.text) for r in rows} == {(4250, 9125, "two for one")} and len(rows) == 3
     (tmp_path / "3.json").write_text('"just words"')
     with pytest.raises(Exception, match="known shape"):
         readers.read_transcripts(spark, str(tmp_path)).collect()
 
 
 def test_frames(spark, tmp_path):
-    for name in ("frame_001_t500ms.png", "frame_002_t1000ms.png", "frame_002_t1500ms.jpg", "notes.txt"):
+    for name in ("frame_17_t8040ms.png", "frame_18_t8560ms.png", "frame_18_t9080ms.jpg", "notes.txt"):
         (tmp_path / name).write_bytes(b"x")
     frames = readers.read_frames(spark, str(tmp_path))
     assert frames.count() == 3
-    assert [(r.field, r.value, r.n) for r in readers.duplicate_frames(frames).collect()] == [("frame_index", 2, 2)]
+    assert [(r.field, r.value, r.n) for r in readers.duplicate_frames(frames).collect()] == [("frame_index", 18, 2)]
 
 
 def test_feeds_and_watermarks(spark):
@@ -45,7 +45,9 @@ def test_feeds_and_watermarks(spark):
     assert got["b"][:2] == ("B", "http://x/b") and got["b"][2].startswith("2026-06-10")
     state = spark.createDataFrame([("r", None), ("z", None)], "source_id string, watermark timestamp")
     assert {r.source_id: r.watermark is not None for r in readers.watermarks(items, state).collect()} == {"r": True, "f": True, "z": False}
-    assert spark.range(1).select(readers.iso_duration_ms(F.lit("PT1H2M3S")).alias("x")).first().x == 3_723_000
+    said = {"PT1H2M3S": 3_723_000, "P1DT2H": 93_600_000, "P2W": 1_209_600_000, "P1M": None, "P1Y2M": None, "PT0.5S": 500, "PT": None, "x": None}
+    rows = spark.createDataFrame(list(said.items()), "said string, want long").select("want", readers.iso_duration_ms(F.col("said")).alias("got"))
+    assert all(r.want == r.got for r in rows.collect())
 
 
 def test_pages(spark):
