@@ -237,6 +237,12 @@ def seek_points(stream: bytes) -> list[tuple[int, int, int]]:
     return [(s, first + o, n) for s, o, n in points if s != (1 << 64) - 1]
 
 
+def block_size(stream: bytes) -> int:
+    """Samples of every frame but the last."""
+    _, info, _ = _metadata(stream)[0]
+    return int.from_bytes(stream[info : info + 2], "big")
+
+
 def _metadata(stream: bytes) -> list[tuple[int, int, int]]:
     if stream[:4] != b"fLaC":
         raise ValueError("no FLAC stream")
@@ -248,7 +254,7 @@ def _metadata(stream: bytes) -> list[tuple[int, int, int]]:
     return blocks
 
 
-def _parse_header(raw: bytes, at: int) -> tuple[int, int, int] | None:
+def frame_at(raw: bytes, at: int) -> tuple[int, int, int] | None:
     """``(frame number, samples, header size)``; None if no valid header stands there."""
     head = raw[at : at + 16]
     if len(head) < 6 or head[0] != 0xFF or head[1] != 0xF8 or head[3] >> 4 or head[3] & 1 or head[3] >> 1 & 7 not in (0, 1):
@@ -274,7 +280,7 @@ def find_frames(stream: bytes) -> list[tuple[int, int, int]]:
     _, at, size = _metadata(stream)[-1]
     frames, at = [], at + size
     while at >= 0:
-        found = _parse_header(stream, at)
+        found = frame_at(stream, at)
         if found and found[0] == len(frames):
             frames.append((at, found[2], found[1]))
         at = stream.find(b"\xff\xf8", at + 1)

@@ -1,11 +1,12 @@
 """Media columns: FLAC streams in a binary column, decoded into PCM blocks.
 
 ``with_media`` stores a payload losslessly as 8-bit samples in a FLAC stream.
-``read_media`` decodes a column of streams: Rice residuals and linear
-predictors are undone, both checksums of every frame and the stream's MD5 are
-verified, and a wrong one stops the job. ``pcm_blocks`` gives a row for each
-seek point: the first sample, the byte offset from which a reader can start,
-and the block's samples.
+Decoding undoes Rice residuals and linear predictors and verifies both checksums
+of every frame, the stream's MD5, and that every seek point leads to the frame
+it names; a wrong one stops the job. It yields PCM blocks, one for each seek
+point: the first sample, the byte offset from which a reader can start, and the
+block's samples. ``pcm_blocks`` gives them as rows; ``read_media`` puts a
+stream's blocks together where they are decoded and takes digests and features.
 
 Defined cases: a null text counts as empty, which is stored as 192 blanks; a
 null stream has no samples and null features; repeated rows give equal
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightloom.llm import flac
+from brightloom.plans.shared import Scratch
 
 UNIT = 192
 PAD = b" "
@@ -66,17 +68,32 @@ def features(samples: np.ndarray) -> str:
     return f"{len(x)}:{x.sum()}:{(x * x).sum()}:{np.abs(x).max(initial=0)}:{np.count_nonzero(np.diff(x < 0))}"
 
 
+def stream_blocks(media: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
+    """Each stream's PCM blocks: first sample, byte offset, samples; verified."""
+    out = []
+    for m, samples in zip(media, flac.decode(media) if media else ()):
+        points, block = flac.seek_points(m), flac.block_size(m)
+        for first, offset, n in points:
+            found = flac.frame_at(m, offset)
+            if found is None or found[0] * block != first or found[1] != n:
+                raise ValueError("a seek point doesn't lead to its frame")
+        starts = [first for first, _, _ in points]
+        if starts[:1] != [0] and len(samples):
+            raise ValueError("no seek point at the stream's start")
+        out.append([(first, offset, samples[first:last]) for (first, offset, _), last in zip(points, [*starts[1:], len(samples)])])
+    return out
+
+
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, media in _groups(batch, 2):
-            there = [m for m in media if m is not None]
-            samples = iter(flac.decode(there)) if there else iter(())
+            streams = iter(stream_blocks([m for m in media if m is not None]))
             out = []
             for m in media:
                 if m is None:
                     out.append((None,) * 6)
                     continue
-                x = next(samples)
+                x = np.concatenate([pcm for _, _, pcm in next(streams)] or [np.zeros(0, np.uint8)])
                 payload = x.tobytes()
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), features(x)))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -104,13 +121,10 @@ def read_media(media: DataFrame) -> DataFrame:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, media in _groups(batch, 1):
-            there = [(key.as_py(), m) for key, m in zip(rows.column(0), media) if m is not None]
+            keys = [key.as_py() for key, m in zip(rows.column(0), media) if m is not None]
             out = []
-            for (key, m), samples in zip(there, flac.decode([m for _, m in there]) if there else ()):
-                points = flac.seek_points(m)
-                for i, (first, offset, _) in enumerate(points):
-                    last = points[i + 1][0] if i + 1 < len(points) else len(samples)
-                    out.append((key, i, first, offset, last - first, samples[first:last].tobytes()))
+            for key, blocks in zip(keys, stream_blocks([m for m in media if m is not None])):
+                out += [(key, i, first, offset, len(pcm), pcm.tobytes()) for i, (first, offset, pcm) in enumerate(blocks)]
             columns = list(zip(*out)) or [()] * 6
             kinds = (rows.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "block_no", "first_sample", "byte_offset", "n_samples", "pcm"])
@@ -124,7 +138,8 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
 
 def op2_media(spark, sf_dir: str) -> DataFrame:
     """Sizes, digests and features of every document as stored in FLAC and read back."""
-    return read_media(with_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    media = with_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return read_media(Scratch(spark, "media").keep(media, "media", "zstd"))
 
 
 QUERIES = {"op2_media": op2_media}

@@ -94,3 +94,31 @@ def test_query_columns(spark):
     blocks = media.pcm_blocks(media.with_media(docs.where("doc_id = 3").limit(1))).orderBy("block_no").collect()
     assert b"".join(b.pcm for b in blocks).rstrip() == long.encode().rstrip()
     assert media.read_media(media.with_media(docs.limit(0))).collect() == []
+
+
+def test_a_seek_point_that_leads_elsewhere_is_noticed():
+    (stream,) = flac.encode([media.padded(b"some text " * 5000)])
+    kinds = {k: at for k, at, _ in flac._metadata(stream)}
+    points = flac.seek_points(stream)
+    assert len(points) > 2 and len(media.stream_blocks([stream])[0]) == len(points)
+    at = kinds[3] + 18 + 8  # the second point's offset
+    moved = stream[:at] + (int.from_bytes(stream[at : at + 8], "big") + 1).to_bytes(8, "big") + stream[at + 8 :]
+    with pytest.raises(ValueError, match="seek point"):
+        media.stream_blocks([moved])
+
+
+def test_query_against_payloads(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in media.op2_media(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    equal = {}
+    for r in rows:
+        raw = (r.text or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        g = got[r.doc_id]
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        x = [b - 128 for b in payload]
+        signs = [v < 0 for v in x]
+        assert g.feature == f"{len(x)}:{sum(x)}:{sum(v * v for v in x)}:{max(map(abs, x))}:{sum(a != b for a, b in zip(signs, signs[1:]))}"
+        assert equal.setdefault(r.text or "", (g.media_bytes, g.media_sha256)) == (g.media_bytes, g.media_sha256)
