@@ -1,16 +1,17 @@
 """Exact deduplication by deterministic block naming.
 
-A text is cut into blocks of fixed size. Distinct blocks are sorted and the
-sort position becomes the block's integer name. Adjacent names are then paired
-and the distinct pairs named the same way, level by level, until each document
-has a single name. Names come from grouping whole contents (and, above that,
-pairs of names), so two documents share an identity if and only if they are
-equal byte for byte; no digest decides equality.
-
-Contents are shuffled once, after partial aggregation on the map side, so a
-block that a third of all rows hold leaves each task once. The digest only
-carries a finished name back to its blocks; were two different blocks ever to
-share a digest, the job stops instead of merging them.
+A text is cut into blocks of fixed size. The distinct blocks are sorted by
+their bytes and the sort position, counted from 0 over all partitions, becomes
+the block's integer name. Adjacent names are then paired and the distinct pairs
+sorted and named the same way, level by level, until each document has a single
+name. Two documents share an identity if and only if they are equal byte for
+byte, and names depend on the texts alone, not on how rows are dealt out.
+
+Contents are shuffled to be told apart, after partial aggregation on the map
+side, so a block that a third of all rows hold leaves each task once, and again
+to be sorted. A digest only carries a finished name back to the block's places.
+Where different blocks share a digest, their names are carried back by the
+blocks themselves.
 
 Defined cases: a null text counts as empty, and all empty texts are equal; a
 null id sorts below every other; of rows with the same text and the same id,
@@ -21,7 +22,9 @@ their names, are left out of the result of ``exact_groups`` and untouched by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightloom.plans.shared import Scratch
@@ -29,14 +32,20 @@ from brightloom.plans.shared import Scratch
 BLOCK_BYTES = 2048
 
 
-def _integer_names(distinct: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
-    """Sort the distinct rows by ``keys``; each gets its position in that order as ``name``.
+def sha256(block: Column) -> Column:
+    return F.sha2(block, 256)
 
-    The partition number sits in the upper bits of the generated number, so
-    names ascend over range-sorted partitions without a global counter.
-    """
+
+def _integer_names(distinct: DataFrame, keys: list[str], kept: list[Column], scratch: Scratch, name: str) -> DataFrame:
+    """Sort distinct rows by ``keys``; ``kept`` columns and each row's position in that order as ``name``."""
     ordered = distinct.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return scratch.keep(ordered.withColumn("name", F.monotonically_increasing_id()), name)
+    part = F.spark_partition_id().cast("long")
+    placed = scratch.keep(ordered.select(*kept, part.alias("part"), (F.monotonically_increasing_id() - F.shiftleft(part, 33)).alias("within")), name)
+    # One row per partition: their running total is a small window.
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return placed.join(F.broadcast(base), "part").withColumn("name", F.col("base") + F.col("within")).drop("part", "base", "within")
 
 
 def _blocks(raw: Column, size: int) -> Column:
@@ -45,11 +54,34 @@ def _blocks(raw: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * size + 1, F.lit(size)))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256, n_blocks, name``.
-
-    ``name`` with ``n_blocks`` is the document's collision-free identity. Of
-    equal texts the row with the largest id is kept.
+def _named_blocks(rows: DataFrame, digest: Callable[[Column], Column], scratch: Scratch) -> DataFrame:
+    """``row_no, doc_id, text_sha256, n, pos, name`` of every block of ``rows``."""
+    contents = scratch.keep(rows.select("block").distinct().select(digest(F.col("block")).alias("digest"), "block"), "contents", "zstd")
+    clash = scratch.keep(contents.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("digest"), "clash")
+    spine = rows.withColumn("digest", digest(F.col("block")))
+    out = ["row_no", "doc_id", "text_sha256", "n", "pos", "name"]
+    if clash.isEmpty():
+        names = _integer_names(contents, ["block"], [F.col("digest")], scratch, "names")
+        return scratch.keep(spine.drop("block").join(names, "digest").select(*out), "level0")
+    # Blocks of a shared digest keep their bytes on either side.
+    clash = clash.withColumn("shared", F.lit(True))
+    bytes_of = F.when(F.col("shared"), F.col("block")).alias("bytes")
+    names = _integer_names(contents.join(clash, "digest", "left"), ["block"], [F.col("digest"), bytes_of], scratch, "names")
+    spine = spine.join(clash, "digest", "left").select("row_no", "doc_id", "text_sha256", "n", "pos", "digest", bytes_of).withColumnsRenamed({"digest": "d", "bytes": "b"})
+    return scratch.keep(spine.join(names, (F.col("d") == F.col("digest")) & F.col("b").eqNullSafe(F.col("bytes"))).select(*out), "level0")
+
+
+def exact_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+    digest: Callable[[Column], Column] = sha256,
+) -> DataFrame:
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256, height, name``.
+
+    ``name`` with ``height``, the number of pairings, is the document's
+    collision-free identity. Of equal texts the row with the largest id is kept.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
@@ -57,47 +89,40 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = (
         docs.select(F.col(id_col).alias("doc_id"), F.encode(text, "UTF-8").alias("raw"))
         .withColumn("row_no", F.monotonically_increasing_id())
-        .select("row_no", "doc_id", F.sha2("raw", 256).alias("text_sha256"), F.posexplode(_blocks(F.col("raw"), block_bytes)).alias("pos", "block"))
+        .withColumn("blocks", _blocks(F.col("raw"), block_bytes))
+        .select("row_no", "doc_id", F.sha2("raw", 256).alias("text_sha256"), F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block"))
     )
-    # Level 0: whole contents are grouped; the digest carries the name back.
-    contents = rows.select("block").distinct().select(F.sha2("block", 256).alias("digest"))
-    contents = contents.groupBy("digest").agg(F.count(F.lit(1)).alias("contents"))
-    contents = contents.select(F.when(F.col("contents") == 1, F.col("digest")).otherwise(F.raise_error(F.lit("two blocks share a digest"))).alias("digest"))
-    names = _integer_names(contents, ["digest"], scratch, "names")
-    spine = rows.select("row_no", "doc_id", "text_sha256", "pos", F.sha2("block", 256).alias("digest"))
-    level = scratch.keep(spine.join(names, "digest").select("row_no", "doc_id", "text_sha256", "pos", "name"), "level")
-
+    level = _named_blocks(rows, digest, scratch)
+    scratch.drop("contents", "clash", "names")
+    longest = level.agg(F.max("n")).first()[0] or 1
     done: DataFrame | None = None
     height = 0
     while True:
         # A document that is down to one name is finished; its height tells levels apart.
-        tops = level.groupBy("row_no").agg(F.max("pos").alias("last"))
-        longest = tops.agg(F.max("last")).first()[0]
-        if not longest:
-            part = level.select("doc_id", "text_sha256", "name", F.lit(height).alias("height"))
-            done = part if done is None else done.unionByName(part)
-            break
-        single = tops.where("last = 0").select("row_no")
-        finished = scratch.keep(level.where("pos = 0").join(single, "row_no", "left_semi").select("doc_id", "text_sha256", "name", F.lit(height).alias("height")), f"done{height}")
+        finished = level.where("n = 1").select("doc_id", "text_sha256", "name", F.lit(height).alias("height"))
         done = finished if done is None else done.unionByName(finished)
+        if longest == 1:
+            break
         pairs = (
-            level.join(tops.where("last > 0").select("row_no"), "row_no", "left_semi")
+            level.where("n > 1")
             .groupBy("row_no", F.shiftright("pos", 1).alias("pos"))
             .agg(
                 F.first("doc_id").alias("doc_id"),
                 F.first("text_sha256").alias("text_sha256"),
+                F.shiftright(F.first("n") + 1, 1).alias("n"),
                 F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"),
                 F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"),
             )
         )
         pairs = scratch.keep(pairs, "pairs")
-        names = _integer_names(pairs.select("left", "right").distinct(), ["left", "right"], scratch, "names")
-        level = scratch.keep(pairs.join(names, ["left", "right"]).select("row_no", "doc_id", "text_sha256", "pos", "name"), "level")
-        height += 1
+        height, longest = height + 1, (longest + 1) // 2
+        names = _integer_names(pairs.select("left", "right").distinct(), ["left", "right"], [F.col("left"), F.col("right")], scratch, "names")
+        level = scratch.keep(pairs.join(names, ["left", "right"]).select("row_no", "doc_id", "text_sha256", "n", "pos", "name"), f"level{height}")
 
     done = scratch.keep(done, "identity")
     # The larger id wins; the digest column is equal within a group.
     groups = scratch.keep(done.groupBy("height", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    scratch.drop_all_but("identity", "groups")
     rivals = scratch.keep(done.groupBy("height", "name", "doc_id").agg(F.first("text_sha256").alias("text_sha256"), F.count(F.lit(1)).alias("rows")), "rivals")
     return (
         rivals.join(groups, ["height", "name"])

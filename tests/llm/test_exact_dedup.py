@@ -1,7 +1,12 @@
 import hashlib
 import random
 
-from brightloom.llm.exact_dedup import exact_dedup, exact_groups
+import duckdb
+from pyspark.sql import functions as F
+
+from brightloom.llm.exact_dedup import ORACLE_SQL, exact_dedup, exact_groups, op1_exact_dedup
+
+SF = "/root/testdata/sf0.001"
 
 
 def check(docs, rows):
@@ -48,3 +53,30 @@ def test_a_text_of_many_blocks(spark):
     long = "x" * 100_001
     rows = exact_groups(spark.createDataFrame([(1, long), (2, long), (3, long[:-1] + "y")], "doc_id long, text string"), block_bytes=64).collect()
     assert {r.doc_id: (r.keep_id, r.group_size) for r in rows} == {1: (2, 2), 2: (2, 2), 3: (3, 1)}
+
+
+def test_names_are_sort_positions_however_rows_are_dealt(spark):
+    texts = ["".join(random.Random(i).choice("ab") for _ in range(i % 23)) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    named = lambda df: {(r.doc_id, r.height, r.name) for r in exact_groups(df, block_bytes=8).collect()}
+    first = named(docs.coalesce(1))
+    assert named(docs.repartition(5)) == first
+    blocks = sorted({t[i : i + 8] for t in texts for i in range(0, max(1, len(t)), 8)})
+    assert {(d, n) for d, h, n in first if h == 0} == {(i, blocks.index(t)) for i, t in enumerate(texts) if len(t) <= 8}
+
+
+def test_blocks_that_share_a_digest_stay_apart(spark):
+    texts = ["".join(random.Random(i).choice("abc") for _ in range(i % 31)) for i in range(90)] * 2
+    docs = list(enumerate(texts))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    clashing = lambda block: F.substring(F.sha2(block, 256), 1, 1)  # noqa: E731  one of 16
+    rows = exact_groups(table, block_bytes=8, digest=clashing)
+    check(docs, rows.collect())
+    assert {(r.doc_id, r.height, r.name) for r in rows.collect()} == {(r.doc_id, r.height, r.name) for r in exact_groups(table, block_bytes=8).collect()}
+
+
+def test_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({ORACLE_SQL['op1_exact_dedup']}) ORDER BY ALL").fetchall()
+    assert sorted(tuple(r) for r in op1_exact_dedup(spark, SF).collect()) == want
