@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brightloom.functions import scoring as S
@@ -74,8 +75,11 @@ def campaign_group_week(spark, sf_dir):
 def digest(spark, sf_dir):
     """Groups of signals with their headline and five best."""
     rows = _signals(spark, sf_dir)
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "event_id"))), 1, 5)
-    d = rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("signals"), best.alias("best"))
+    keys = ["user_id", "event_type"]
+    # The five best are told before anything is collected, and on the map side first.
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("confidence").desc(), "event_id"))
+    top = rows.select(*keys, "event_id", nth.alias("n")).where("n <= 5").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("n", "event_id"))).alias("best"))
+    d = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("signals")).join(top, keys)
     return d.select("user_id", "event_type", "signals", F.col("best")[0]["event_id"].alias("headline"), F.array_join(F.transform("best", lambda b: b["event_id"].cast("string")), ",").alias("top_ids"))
 
 

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_LINKS = 500
-MAX_TEXT = 20_000
 _HIDDEN = {"script", "style", "noscript"}
 
 
@@ -23,7 +21,7 @@ class _Page(HTMLParser):
         attrs = dict(attrs)
         self.hidden += tag in _HIDDEN
         self.in_title = self.in_title or tag == "title"
-        if tag == "a" and attrs.get("href") and len(self.links) < MAX_LINKS:
+        if tag == "a" and attrs.get("href"):
             self.links.append(attrs["href"])
         if tag == "meta" and (attrs.get("name") or "").lower() == "description":
             self.description = attrs.get("content") or ""
@@ -50,10 +48,18 @@ def parse_html(html: pd.Series) -> pd.DataFrame:
         page = _Page()
         page.feed(source or "")
         page.close()
-        out.append((page.title.strip(), page.description, " ".join(page.text)[:MAX_TEXT], page.links))
+        out.append((page.title.strip(), page.description, " ".join(page.text), page.links))
     return pd.DataFrame(out, columns=["title", "description", "text", "links"])
 
 
-def page_text_links(pages: DataFrame) -> DataFrame:
-    """``page_id, url, title, description, text, links`` of ``pages(page_id, url, html)``."""
-    return pages.select("page_id", "url", parse_html("html").alias("p")).select("page_id", "url", "p.*")
+def page_text_links(pages: DataFrame, max_text: int | None = None, max_links: int | None = None) -> DataFrame:
+    """``page_id, url, title, description, text, links`` of ``pages(page_id, url, html)``.
+
+    Everything unless a caller sets how many characters and links it wants.
+    """
+    found = pages.select("page_id", "url", parse_html("html").alias("p")).select("page_id", "url", "p.*")
+    if max_text is not None:
+        found = found.withColumn("text", F.left("text", F.lit(max_text)))
+    if max_links is not None:
+        found = found.withColumn("links", F.slice("links", 1, max_links))
+    return found

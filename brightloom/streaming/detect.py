@@ -20,14 +20,22 @@ def run_to_end(stream: DataFrame, spark: SparkSession, mode: str = "append") ->
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def live_stream(items: DataFrame, activated: DataFrame, now: str, lookback_days: int = 30) -> DataFrame:
+def live_stream(items: DataFrame, activated: DataFrame, now: str, lookback_days: int = 30, forget_after: str | None = None) -> DataFrame:
     """Items of a stream marked live or backfill by their source's activation; an id counts once.
 
-    Late items are kept, so there is no watermark to drop them: they are backfill.
+    Late items are kept: they are backfill. Unless ``forget_after`` is set, the
+    state has every id ever seen, as the batch query has. With it, an id is
+    forgotten once items are that much later, and one that comes again after
+    that counts again.
     """
     from brightloom.operators.polls import is_live
 
-    rows = items.dropDuplicates(["event_id"]).join(activated, "user_id")
+    if forget_after is None:
+        once = items.dropDuplicates(["event_id"])
+    else:
+        clock = items.withColumn("__at", F.col("ts").cast("timestamp")).withWatermark("__at", forget_after)
+        once = clock.dropDuplicatesWithinWatermark(["event_id"]).drop("__at")
+    rows = once.join(activated, "user_id")
     live = is_live(F.col("ts"), F.col("activated_at"), F.lit(now).cast("timestamp_ntz"), lookback_days)
     return rows.select("event_id", "user_id", F.when(live, F.lit("live")).otherwise(F.lit("backfill")).alias("status"))
 
@@ -36,17 +44,24 @@ def change_stream(items: DataFrame) -> DataFrame:
     """``user_id, event_id, change_type`` where a user's event type differs from the one before, state kept by user.
 
     Within a batch, a user's items are put in order before the state sees them.
+    An item that comes in a later batch than a later item of its user is
+    reported as ``late`` and leaves the state as it is: what was told about the
+    items after it cannot be taken back.
     """
 
     def step(key, batches, state: GroupState):
-        last = state.get[0] if state.exists else None
+        last, at, seen = state.get if state.exists else (None, pd.Timestamp.min, -1)
         rows = pd.concat(batches).sort_values(["ts", "event_id"])
         out = []
-        for event, kind in zip(rows["event_id"], rows["event_type"]):
+        for event, kind, ts in zip(rows["event_id"], rows["event_type"], rows["ts"]):
+            if (ts, event) <= (at, seen):
+                out.append((key[0], event, "late"))
+                continue
             if kind != last:
                 out.append((key[0], event, "created" if last is None else "updated"))
-            last = kind
-        state.update((last,))
+            last, at, seen = kind, ts, event
+        state.update((last, at, seen))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "change_type"])
 
-    return items.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, change_type string", "last string", "append", GroupStateTimeout.NoTimeout)
+    kind = dict(items.dtypes)["ts"]
+    return items.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, change_type string", f"last string, at {kind}, seen long", "append", GroupStateTimeout.NoTimeout)

@@ -42,10 +42,10 @@ def test_query_equals_sql(spark, oracle, name):
     assert rows_of(df.columns, df.collect()) == rows_of(columns, got.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_query_without_sql_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).columns
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+def test_queries_without_sql_have_a_test_of_their_own():
+    with open(__file__.replace("test_catalog", "test_no_sql")) as f:
+        told = f.read()
+    assert all(f"def test_{name}(" in told for name in set(catalog.QUERIES) - set(catalog.ORACLE_SQL))
 
 
 def test_no_pair_query_is_a_cartesian_product(spark):
