@@ -76,26 +76,49 @@ def test_against_brute_force(spark, monkeypatch):
     assert run(spark, docs) == want
 
 
-def test_members_of_an_anchor_in_several_turns():
+def test_collections_are_sorted_whole_in_any_batches():
+    import pyarrow as pa
+
     rows = []
     for n, t in enumerate(t.encode() for t in texts() if len(t) > 200):
         at, h = D.anchors(t)
         for a, x in zip(at.tolist(), h.tolist()):
             begin = a - D.SIDE
             low, high = max(0, -begin), min(D.COLUMNS, len(t) - begin)
-            rows.append((x, b"\0" * low + t[begin + low : begin + high] + b"\0" * (D.COLUMNS - high), low, high, n, a))
-    rows.sort(key=lambda r: (r[0], r[4], r[5]))
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], ["h", "around", "low", "high", "row_no", "at"])
-    solve = lambda: [(r["row_no"], r["at"], r["bits"]) for b in D._resolve(iter([batch])) for r in b.to_pylist()]
-    whole, D.AT_ONCE = solve(), 7
+            rows.append((x, -1, 0, b"\0" * low + t[begin + low : begin + high] + b"\0" * (D.COLUMNS - high), low, high, n, a))
+    rows.sort(key=lambda r: (r[0], r[6], r[7]))
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], ["h", "part", "route", "around", "low", "high", "row_no", "at"])
+    solve = lambda *some: [tuple(r.values()) for b in D._resolve(iter(some)) for r in b.to_pylist()]
+    whole, D.AT_ONCE = solve(batch), 7
     try:
-        assert solve() == whole
+        assert solve(batch) == whole
+        assert solve(*(batch.slice(i, 5) for i in range(0, len(batch), 5))) == whole
     finally:
         D.AT_ONCE = 8192
 
 
+def test_hot_anchors_are_split(spark, monkeypatch):
+    docs = list(enumerate(texts() * 2))
+    order = [(i, (t or "").encode()) for i, t in docs]
+    want = {i: expected(raw, gone) for (i, raw), gone in zip(order, brute(order))}
+    monkeypatch.setattr(D, "HOT", 3)
+    assert run(spark, docs) == want
+
+
+def test_one_anchor_in_very_many_surroundings(spark):
+    # A line of 130 bytes between words that no two documents share, and for some a longer passage.
+    line = "".join(random.Random(6).choices("klmnopqrst", k=130))
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=60))
+    docs = [(i, f"{word()} {line} {word()}") for i in range(100_000)]
+    docs[77_777] = (77_777, f"{word()} {docs[5][1]}")
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n) for r in D.remove_repeats(table).selectExpr("doc_id", "n_removed", "size(spans) AS n").collect()}
+    assert got.pop(0) == (0, 0) and got[77_777][0] >= len(docs[5][1])
+    # The line with a blank on either side, and letters next to it where an earlier document has the same.
+    assert all(n == 1 and removed >= 132 for removed, n in got.values())
+
+
 def test_long_texts_have_the_same_anchors():
     text = bytes(np.random.default_rng(3).integers(97, 103, 9000, dtype=np.uint8))
     whole, D.PIECE = D.anchors(text), 1000
