@@ -100,3 +100,44 @@ def visual_variants(query: Column, limit: int = 6) -> Column:
     said = lambda p: F.array(F.concat_ws(" ", p["colour"], p["noun"]), F.concat_ws(" ", p["colour"], F.lit("colored"), p["noun"]), F.concat_ws(" ", p["noun"], F.lit("in"), p["colour"]))
     found.append(F.flatten(F.transform(pairs, said)))
     return F.slice(F.array_distinct(F.flatten(F.array(*found))), 1, limit)
+
+
+#: Short words of a product's name that stay in capitals.
+KEPT_CAPITALS = ["LE", "AWD", "FWD", "RWD", "PHEV", "EV"]
+MERGED_MODELS = r"(?i)(?:AND|OR|MODELS?|SERIES)[A-Z]{3,}"
+
+
+def _title(word: Column) -> Column:
+    whole = F.array_join(F.transform(F.split(word, "-"), lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substr(p, F.lit(2))))), "-")
+    return F.when(F.upper(word).isin(KEPT_CAPITALS), F.upper(word)).otherwise(whole)
+
+
+def _repaired_product(product: Column, brand: Column) -> Column:
+    t = F.trim(F.regexp_replace(entity_text(product), r"(?i)^\s*20[A-Z]{1,4}[0-9]{1,4}\s+", ""))
+    lead = F.concat(F.lower(brand), F.lit(" "))
+    t = F.when(F.startswith(F.lower(t), lead), F.trim(F.substr(t, F.length(brand) + 2))).otherwise(t)
+    year, rest = F.regexp_extract(t, r"^(20[0-9]{2}) +(.*)$", 1), F.regexp_extract(t, r"^(20[0-9]{2}) +(.*)$", 2)
+    rest = F.when(F.startswith(F.lower(rest), lead), F.trim(F.substr(rest, F.length(brand) + 2))).otherwise(rest)
+    rest = F.when(F.regexp_like(t, F.lit(r"^[A-Z\s0-9/()-]+$")), F.array_join(F.transform(F.split(rest, " +"), _title), " ")).otherwise(rest)
+    return F.btrim(F.when(year != "", F.concat_ws(" ", year, rest)).otherwise(t), F.lit(" ,-"))
+
+
+def repaired_products(products: Column, brand: Column, makes: list[str]) -> Column:
+    """Products without a garbled year and the brand, in title case, each once.
+
+    Names of makes alone are dropped where the brand says them or another
+    product is a specific one: two words or more, one of them a number.
+    """
+    key = lambda p: F.regexp_replace(F.lower(p), "[^a-z0-9]+", "")
+    good = F.filter(F.transform(products, lambda p: _repaired_product(p, brand)), lambda p: (F.length(p) >= 2) & ~F.regexp_like(p, F.lit(MERGED_MODELS)))
+    specific = F.exists(good, lambda p: F.regexp_like(F.lower(p), F.lit(r"[a-z0-9]+[^a-z0-9]+[a-z0-9]")) & F.regexp_like(F.lower(p), F.lit(r"(^|[^a-z0-9])[0-9]+($|[^a-z0-9])")))
+    bare = F.filter(good, lambda p: ~(key(p).isin(makes) & (specific | F.contains(key(brand), key(p)))))
+    first = lambda seen, p: F.when(F.exists(seen, lambda q: key(q) == key(p)), seen).otherwise(F.concat(seen, F.array(p)))
+    return F.aggregate(bare, F.array().cast("array<string>"), first)
+
+
+def salvaged_pairs(text: Column) -> Column:
+    """``key, value`` pairs of broken JSON: what reads as a quoted key with a plain value, in order."""
+    pattern = r'"([A-Za-z_]+)"\s*:\s*("[^"]*"|-?[0-9.]+|true|false|null)'
+    keys, values = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2))
+    return F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), F.btrim(v, F.lit('"')).alias("value")))

@@ -58,3 +58,8 @@ def insert_missing(rows: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
 def delete_keys(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not among those deleted; a null key is never deleted."""
     return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def replace_rows(rows: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with those of the same key replaced by the new ones; of several new ones of a key, one."""
+    return rows.join(new, keys, "left_anti").unionByName(new.dropDuplicates(keys))

@@ -90,3 +90,33 @@ def iso_duration_ms(x) -> F.Column:
     seconds = number("W", day) * 604_800 + number("D", day) * 86_400 + number("H", time) * 3600 + number("M", time) * 60 + number("S", time)
     form = r"^P(?=[0-9T])(?:[0-9]+W)?(?:[0-9]+D)?(?:T(?=[0-9])(?:[0-9]+H)?(?:[0-9]+M)?(?:[0-9]+(?:\.[0-9]+)?S)?)?$"
     return F.when(F.regexp_like(x, F.lit(form)), F.round(seconds * 1000).cast("long"))
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """``rule_id, kind, pattern, label, severity`` of rule files: YAML lists where a YAML reader is installed, else JSON lists.
+
+    Rules are configuration: a file is small and is read whole. A rule without
+    a pattern, or of an unknown kind, stops the read.
+    """
+    schema = "array<struct<rule_id:string,kind:string,pattern:string,label:string,severity:string>>"
+    files = spark.read.option("wholetext", True).text(path)
+    try:
+        import yaml
+    except ImportError:
+        yaml = None
+    if yaml is not None:
+        import json
+
+        texts = [json.dumps(yaml.safe_load(r.value)) for r in files.collect()]  # configuration
+        files = spark.createDataFrame([(t,) for t in texts], "value string")
+    rules = files.select(F.inline(F.coalesce(F.from_json("value", schema), F.raise_error(F.lit("no list of rules")).cast(schema))))
+    known = F.col("pattern").isNotNull() & F.col("kind").isin("keyword", "regex")
+    checked = F.when(known, F.col("pattern")).otherwise(F.raise_error(F.concat(F.lit("a rule without a pattern or of an unknown kind: "), F.coalesce("rule_id", F.lit("?")))))
+    return rules.select("rule_id", "kind", checked.alias("pattern"), "label", F.coalesce("severity", F.lit("medium")).alias("severity"))
+
+
+def apply_rules(docs: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, rule_id, label, severity`` of every rule that a text meets; keywords in any case."""
+    low = F.lower(F.col(text_col))
+    hit = F.when(F.col("kind") == "keyword", F.contains(low, F.lower("pattern"))).otherwise(F.expr(f"`{text_col}` RLIKE pattern"))
+    return docs.select(id_col, text_col).join(F.broadcast(rules), hit).select(id_col, "rule_id", "label", "severity")  # rules are configuration

@@ -23,3 +23,11 @@ def evidence_bundles(parents: DataFrame, children: DataFrame, key: str, order: s
 def replace_partitions(rows: DataFrame, path: str, partition: str) -> None:
     """Overwrite the partitions that the rows name and leave the others."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def write_manifests(frames: DataFrame, transcripts: DataFrame, key: str, path: str) -> None:
+    """One JSON manifest an item: its frames in order of time and its transcript in order of start."""
+    f = frames.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("time_ms", "frame_index", "path"))).alias("frames"))  # one item's frames
+    t = transcripts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", "text"))).alias("transcript"))
+    empty = lambda c, of: F.coalesce(c, F.array().cast(of.schema[c].dataType)).alias(c)
+    f.join(t, key, "full").select(key, empty("frames", f), empty("transcript", t)).write.mode("errorifexists").json(path)

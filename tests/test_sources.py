@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from brightloom.operators import merge
 from brightloom.sources import readers, replay, sinks
 from brightloom.sources.pages import page_text_links
 
@@ -81,3 +82,25 @@ def test_sinks(spark, tmp_path):
     assert {r.name for r in spark.read.parquet(out).collect()} == {"c", "b"}
     sinks.export_lines(parents, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
+
+
+def test_rules_from_a_file(spark, tmp_path):
+    rules = [{"rule_id": "a", "kind": "keyword", "pattern": "Free", "label": "offer", "severity": "low"}, {"rule_id": "b", "kind": "regex", "pattern": "[0-9]{3}", "label": "number"}]
+    (tmp_path / "rules.json").write_text(json.dumps(rules))
+    read = readers.read_rules(spark, str(tmp_path / "rules.json"))
+    docs = spark.createDataFrame([(1, "it is FREE"), (2, "call 555"), (3, None)], "doc_id long, text string")
+    assert {tuple(r) for r in readers.apply_rules(docs, read).collect()} == {(1, "a", "offer", "low"), (2, "b", "number", "medium")}
+    (tmp_path / "bad.json").write_text(json.dumps([{"rule_id": "c", "kind": "magic", "pattern": "x"}]))
+    with pytest.raises(Exception, match="unknown kind"):
+        readers.read_rules(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_manifests_and_replaced_rows(spark, tmp_path):
+    frames = spark.createDataFrame([(1, 500, 2, "b"), (1, 0, 1, "a")], "item long, time_ms long, frame_index long, path string")
+    said = spark.createDataFrame([(1, 10, 20, "hi"), (2, 0, 5, "only words")], "item long, start_ms long, end_ms long, text string")
+    sinks.write_manifests(frames, said, "item", str(tmp_path / "m"))
+    got = {r["item"]: r for r in spark.read.json(str(tmp_path / "m")).collect()}
+    assert [f.path for f in got[1].frames] == ["a", "b"] and got[2].frames == [] and got[2].transcript[0].text == "only words"
+    old = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
+    new = spark.createDataFrame([(2, "z"), (3, "w")], "k long, v string")
+    assert {tuple(r) for r in merge.replace_rows(old, new, ["k"]).collect()} == {(1, "x"), (2, "z"), (3, "w")}
