@@ -34,7 +34,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightloom.plans.shared import Scratch
@@ -62,18 +62,32 @@ def water_fill(sizes: list[int], weights: list[float], max_copies: int = MAX_COP
     return targets
 
 
-def source_targets(sizes: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
-    """``source, source_size, target, place`` from ``sizes(source, source_size)``.
+def source_targets(sizes: DataFrame, scratch: Scratch, max_copies: int = MAX_COPIES) -> DataFrame:
+    """``source, source_size, target, place`` from ``sizes(source, source_size)``, one row per source.
 
-    One row per source: the table is as small as the list of sources, which is
-    a matter of configuration and not of the corpus.
+    Sources may be many, such as hosts: they are put in order and counted over
+    sorted partitions, and the share of a unit of weight is found in rounds that
+    take a row of sums each. Whoever is above its limit at some unit stays above
+    it, since what it leaves makes the unit larger.
     """
-    rows = sizes.orderBy(F.col("source").asc_nulls_last()).collect()
-    targets = water_fill([r["source_size"] for r in rows], [1 + i % 3 for i in range(len(rows))], max_copies)
-    return sizes.sparkSession.createDataFrame(
-        [(r["source"], r["source_size"], t, i) for i, (r, t) in enumerate(zip(rows, targets))],
-        "source string, source_size long, target double, place long",
-    )
+    keys = [F.col("source").isNull().alias("last"), "source"]
+    ordered = sizes.select("source", "source_size", keys[0]).repartitionByRange("last", "source").sortWithinPartitions("last", "source")
+    part = F.spark_partition_id().cast("long")
+    placed = scratch.keep(ordered.select("source", "source_size", part.alias("part"), (F.monotonically_increasing_id() - F.shiftleft(part, 33)).alias("within")), "placed")
+    # One row per partition: their running total is a small window.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rows = placed.join(F.broadcast(base), "part").withColumn("place", F.col("base") + F.col("within"))
+    rows = rows.select("source", "source_size", "place", (F.col("place") % 3 + 1).alias("weight"), (F.col("source_size") * max_copies).alias("most"))
+    unit = 0.0
+    while True:
+        full = F.col("weight") * F.lit(unit) > F.col("most")
+        words, capped, weight = rows.agg(F.sum("source_size"), F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("weight")))).first()
+        share = ((words or 0) - (capped or 0)) / weight if weight else unit
+        if share <= unit:
+            break
+        unit = share
+    return scratch.keep(rows.select("source", "source_size", F.least(F.col("weight") * F.lit(unit), F.col("most").cast("double")).alias("target"), "place"), "targets")
 
 
 def _draw(key: int, level: int, seed: int) -> float:
@@ -163,7 +177,7 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = scratch.keep(rows.withColumn("key", F.xxhash64("doc_id", "text_sha256", "nth")), "rows")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     total = rows.count()
-    places = F.broadcast(source_targets(totals.select("source", "source_size"), max_copies))  # one row per source
+    places = source_targets(totals.select("source", "source_size"), scratch, max_copies)
     s = rows.join(places.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.least(F.floor(ratio + 1e-12), F.lit(max_copies)).cast("long")

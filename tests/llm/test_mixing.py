@@ -1,7 +1,10 @@
+import re
+
 import numpy as np
 import pytest
 
 from brightloom.llm import mixing as M
+from brightloom.plans.shared import Scratch
 
 
 def test_water_fill():
@@ -61,3 +64,39 @@ def test_rows_come_as_often_as_planned(spark):
     assert mixed.columns == docs.columns
     assert mixed.count() == M.mixing_plan(docs).agg({"copies": "sum"}).first()[0]
     assert M.mix(docs.limit(0)).collect() == [] and M.mixing_plan(docs.limit(0)).collect() == []
+
+
+def test_targets_of_many_sources(spark):
+    rng = np.random.default_rng(5)
+    names = [f"host{i:04d}" for i in range(3000)] + ["é", "Z", "", None]
+    sizes = [int(x) for x in rng.integers(0, 10, len(names) - 1) ** 4] + [900_000]
+    order = sorted(range(len(names)), key=lambda i: (names[i] is None, (names[i] or "").encode()))
+    want = M.water_fill([sizes[i] for i in order], [1 + k % 3 for k in range(len(order))])
+    table = spark.createDataFrame(list(zip(names, sizes)), "source string, source_size long").repartition(5)
+    got = {r.source: (r.place, r.target) for r in M.source_targets(table, Scratch(spark, "test")).collect()}
+    for place, (i, target) in enumerate(zip(order, want)):
+        assert got[names[i]][0] == place and got[names[i]][1] == pytest.approx(target, rel=1e-9, abs=1e-6)
+    assert M.source_targets(table.limit(0), Scratch(spark, "test")).collect() == []
+
+
+def test_query_against_plain_counts(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: (r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in M.op4_mixing(spark, sf).collect()}
+    assert set(got) == set(docs)
+    totals = {}
+    for source, size in docs.values():
+        totals[source] = totals.get(source, 0) + size
+    order = sorted((s for s in totals if s is not None), key=lambda s: s.encode()) + [None] * (None in totals)
+    # Targets by halving: the unit at which the capped shares come to all words.
+    low, high = 0.0, 3.0 * sum(totals.values())
+    for _ in range(200):
+        unit = (low + high) / 2
+        low, high = (unit, high) if sum(min((1 + i % 3) * unit, 3 * totals[s]) for i, s in enumerate(order)) < sum(totals.values()) else (low, unit)
+    for i, s in enumerate(order):
+        mine = [got[d] for d, (source, _) in docs.items() if source == s]
+        target = min((1 + i % 3) * high, 3 * totals[s])
+        assert all(r.target == pytest.approx(target, rel=1e-6) and r.source_size == totals[s] for r in mine)
+        assert abs(sum(r.taken for r in mine) - target) <= max(r.size for r in mine)
+    for d, (_, size) in docs.items():
+        assert got[d].size == size and got[d].taken <= 3 * size and (got[d].taken % size == 0 if size else got[d].taken == 0)
