@@ -43,20 +43,20 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
 
-    def write(self, df: DataFrame, path: str, compression: str = "snappy", mode: str = "errorifexists") -> None:
+    def write(self, df: DataFrame, path: str, compression: str = "snappy", options: dict[str, str] | None = None) -> None:
         """Write ``df`` as Parquet; its shuffle files go when the files stand."""
         conf = self.spark.conf
         before = conf.get(CLEANUP)
         conf.set(CLEANUP, "true")
         try:
-            df.write.mode(mode).option("compression", compression).parquet(path)
+            df.write.option("compression", compression).options(**(options or {})).parquet(path)
         finally:
             conf.set(CLEANUP, before)
 
-    def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    def keep(self, df: DataFrame, name: str, compression: str = "snappy", options: dict[str, str] | None = None) -> DataFrame:
         """Write ``df`` as Parquet and return a scan of the files."""
         path = self.path(name)
-        self.write(df, path, compression)
+        self.write(df, path, compression, options)
         old, self.paths[name] = self.paths.get(name), path
         if old:
             self.remove(old)
