@@ -30,15 +30,20 @@ from pyspark.sql import functions as F
 from brightloom.plans.shared import Scratch
 
 BLOCK_BYTES = 2048
+PREFIX = 128  # bytes of a block that deal it out to be sorted; a sample of them goes to the driver
+HOT = 1 << 16  # different blocks of one prefix, from which the next bytes deal them out as well
 
 
 def sha256(block: Column) -> Column:
     return F.sha2(block, 256)
 
 
-def _integer_names(distinct: DataFrame, keys: list[str], kept: list[Column], scratch: Scratch, name: str) -> DataFrame:
-    """Sort distinct rows by ``keys``; ``kept`` columns and each row's position in that order as ``name``."""
-    ordered = distinct.repartitionByRange(*keys).sortWithinPartitions(*keys)
+def _integer_names(distinct: DataFrame, keys: list[str], kept: list[Column], scratch: Scratch, name: str, deal: list[Column] | None = None) -> DataFrame:
+    """Sort distinct rows by ``keys``; ``kept`` columns and each row's position in that order as ``name``.
+
+    ``deal`` are what the order of the keys begins with; the keys themselves if not given.
+    """
+    ordered = distinct.repartitionByRange(*(deal or keys)).sortWithinPartitions(*keys)
     part = F.spark_partition_id().cast("long")
     placed = scratch.keep(ordered.select(*kept, part.alias("part"), (F.monotonically_increasing_id() - F.shiftleft(part, 33)).alias("within")), name)
     # One row per partition: their running total is a small window.
@@ -58,15 +63,22 @@ def _named_blocks(rows: DataFrame, digest: Callable[[Column], Column], scratch:
     """``row_no, doc_id, text_sha256, n, pos, name`` of every block of ``rows``."""
     contents = scratch.keep(rows.select("block").distinct().select(digest(F.col("block")).alias("digest"), "block"), "contents", "zstd")
     clash = scratch.keep(contents.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("digest"), "clash")
+    # Blocks are long and would all go to the driver as samples of the order, so their first bytes stand for them.
+    prefix = F.substring("block", 1, PREFIX)
+    deal = [prefix]
+    hot = scratch.keep(contents.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("prefix", F.lit(True).alias("hot")), "hot")
+    if not hot.isEmpty():
+        contents = contents.withColumn("prefix", prefix).join(hot, "prefix", "left")
+        deal = [F.col("prefix"), F.when(F.col("hot"), F.substring("block", PREFIX + 1, 4 * PREFIX)).otherwise(F.unhex(F.lit("")))]
     spine = rows.withColumn("digest", digest(F.col("block")))
     out = ["row_no", "doc_id", "text_sha256", "n", "pos", "name"]
     if clash.isEmpty():
-        names = _integer_names(contents, ["block"], [F.col("digest")], scratch, "names")
+        names = _integer_names(contents, ["block"], [F.col("digest")], scratch, "names", deal)
         return scratch.keep(spine.drop("block").join(names, "digest").select(*out), "level0")
     # Blocks of a shared digest keep their bytes on either side.
     clash = clash.withColumn("shared", F.lit(True))
     bytes_of = F.when(F.col("shared"), F.col("block")).alias("bytes")
-    names = _integer_names(contents.join(clash, "digest", "left"), ["block"], [F.col("digest"), bytes_of], scratch, "names")
+    names = _integer_names(contents.join(clash, "digest", "left"), ["block"], [F.col("digest"), bytes_of], scratch, "names", deal)
     spine = spine.join(clash, "digest", "left").select("row_no", "doc_id", "text_sha256", "n", "pos", "digest", bytes_of).withColumnsRenamed({"digest": "d", "bytes": "b"})
     return scratch.keep(spine.join(names, (F.col("d") == F.col("digest")) & F.col("b").eqNullSafe(F.col("bytes"))).select(*out), "level0")
 
@@ -93,7 +105,7 @@ def exact_groups(
         .select("row_no", "doc_id", F.sha2("raw", 256).alias("text_sha256"), F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block"))
     )
     level = _named_blocks(rows, digest, scratch)
-    scratch.drop("contents", "clash", "names")
+    scratch.drop("contents", "clash", "hot", "names")
     longest = level.agg(F.max("n")).first()[0] or 1
     done: DataFrame | None = None
     height = 0

@@ -4,6 +4,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
+from brightloom.llm import exact_dedup as exact
 from brightloom.llm.exact_dedup import ORACLE_SQL, exact_dedup, exact_groups, op1_exact_dedup
 
 SF = "/root/testdata/sf0.001"
@@ -65,6 +66,16 @@ def test_names_are_sort_positions_however_rows_are_dealt(spark):
     assert {(d, n) for d, h, n in first if h == 0} == {(i, blocks.index(t)) for i, t in enumerate(texts) if len(t) <= 8}
 
 
+def test_blocks_of_a_hot_prefix_keep_their_order(spark, monkeypatch):
+    texts = ["".join(random.Random(i).choice("ab") for _ in range(i % 41)) for i in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    named = lambda: {(r.doc_id, r.height, r.name) for r in exact_groups(docs, block_bytes=16).collect()}
+    first = named()
+    monkeypatch.setattr(exact, "PREFIX", 2)
+    monkeypatch.setattr(exact, "HOT", 3)
+    assert named() == first
+
+
 def test_blocks_that_share_a_digest_stay_apart(spark):
     texts = ["".join(random.Random(i).choice("abc") for _ in range(i % 31)) for i in range(90)] * 2
     docs = list(enumerate(texts))
