@@ -31,6 +31,8 @@ from brightloom.plans.shared import Scratch
 UNIT = 192
 PAD = b" "
 AT_ONCE = 1 << 21  # payload bytes coded together
+#: How a table of streams is written: large pages, so that equal stretches of streams are found.
+WRITE = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
 
 
 def padded(raw: bytes) -> bytes:
@@ -139,7 +141,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
 def op2_media(spark, sf_dir: str) -> DataFrame:
     """Sizes, digests and features of every document as stored in FLAC and read back."""
     media = with_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return read_media(Scratch(spark, "media").keep(media, "media", "zstd"))
+    return read_media(Scratch(spark, "media").keep(media, "media", "zstd", WRITE))
 
 
 QUERIES = {"op2_media": op2_media}
