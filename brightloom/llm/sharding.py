@@ -55,7 +55,7 @@ def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
     every = rows.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot_no")).join(one, "slot_no", "left").fillna(0, ["bytes", "rows", "largest"])
     whole = Window.partitionBy(F.lit(0))  # a row for each slot
     # Long texts alone don't make a slot hot: splitting it would not help.
-    times = F.greatest(F.col("rows") / F.avg("rows").over(whole), F.least(F.col("bytes") / F.avg("bytes").over(whole), F.col("bytes") / F.greatest("largest", F.lit(1))))
+    times = F.greatest(F.try_divide("rows", F.avg("rows").over(whole)), F.least(F.try_divide("bytes", F.avg("bytes").over(whole)), F.try_divide("bytes", "largest")))
     every = every.withColumn("parts", F.when(times > HOT, F.ceil(times / 2)).otherwise(1).cast("int"))
     cut = F.broadcast(every.where("parts > 1").select("slot_no", "parts"))
     split = rows.join(cut, "slot_no").groupBy("slot_no", "parts", F.pmod("mix", F.col("parts")).cast("int").alias("part")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
