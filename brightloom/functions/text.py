@@ -81,3 +81,27 @@ def loose_match(columns: list[Column], terms: list[str]) -> Column:
         for term in terms:
             found = found | F.contains(loose(c), F.lit(f" {term.lower()} "))
     return found
+
+
+#: The pattern of an offer's values, and the words that mark its terms.
+OFFER_VALUE = r"(?:\$\s*)?\d+(?:[,.]\d+)*(?:\.\d+)?\s*(?:%|percent|apr|mo|mos|month|months|day|days|yr|year|years)?"
+OFFER_WORDS = [
+    "apr", "allowance", "bonus", "cash", "discount", "due", "finance", "financing", "free", "lease", "lessee", "lessees",
+    "month", "monthly", "months", "offer", "offers", "payment", "payments", "price", "save", "signing", "tax",
+]
+
+
+def commercial_terms(x: Column, words: Column) -> Column:
+    """What an offer consists of: its values, its marking words, and those words with two neighbours on either side.
+
+    ``words`` are the text's tokens, a column of their own: in a lambda they would be found anew for each member.
+    """
+    plain = F.lower(F.replace(x, F.lit("\n"), F.lit(" ")))
+    values = F.transform(F.regexp_extract_all(plain, F.lit(f"({OFFER_VALUE})"), F.lit(0)), lambda v: F.concat(F.lit("value:"), F.regexp_replace(v, r"\s+", "")))
+    places = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    marked = F.filter(places, lambda p: p["w"].isin(*OFFER_WORDS))
+    terms = F.transform(marked, lambda p: F.concat(F.lit("term:"), p["w"]))
+    start = lambda p: F.greatest(p["i"] - 2, F.lit(0))
+    around = F.filter(F.transform(marked, lambda p: F.slice(words, start(p) + 1, p["i"] + 3 - start(p))), lambda c: F.size(c) >= 2)
+    contexts = F.transform(around, lambda c: F.concat(F.lit("context:"), F.array_join(c, " ")))
+    return F.array_distinct(F.concat(values, terms, contexts))

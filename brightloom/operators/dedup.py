@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions import text as X
 from brightloom.functions import vectors as V
-
+from brightloom.plans.shared import Scratch
 
 AGREE = 3  # bands that a key is made of
 
@@ -53,31 +53,41 @@ def signature(words):
     return F.array_distinct(F.filter(words, lambda w: F.regexp_like(w, F.lit("[0-9]")) | w.isin(*terms)))
 
 
-def text_pairs(docs: DataFrame, block: str, tolerance: int = 20, least: tuple[int, int] = (9, 10)) -> DataFrame:
-    """Pairs in a block whose lengths are close and whose bigrams have a similarity of ``least`` or more.
+def text_classes(docs: DataFrame, block: str, tolerance: int = 20, least: tuple[int, int] = (9, 10)) -> tuple[DataFrame, DataFrame]:
+    """Members ``doc_id, class_id`` and pairs of classes ``left, right, text_similarity, signature_similarity``.
 
-    Two sets that similar have a bigram in common among the first of either, in
-    any one order: as many as may be missing, and one more. So only these meet,
-    by block, length and bigram, instead of all pairs of a block.
+    A class is what is equal in block, length and text; all texts without words
+    are equal. Pairs are of classes in a block whose lengths are close and whose
+    bigrams have a similarity of ``least`` or more. Two sets that similar have a
+    bigram in common among the first of either, in any one order: as many as
+    may be missing, and one more. So only these meet, by block, length and
+    bigram, instead of all pairs of a block.
     """
     over, under = least
-    # Tokens first, as a column: inside a lambda an expression would run for every member.
-    words = docs.select("doc_id", block, "n_chars", X.tokens(F.col("text")).alias("w"))
-    rows = words.select("doc_id", block, "n_chars", X.ngrams(F.col("w")).alias("grams"), signature(F.col("w")).alias("sig"))
+    scratch = Scratch(docs.sparkSession, "texts")
+    words = docs.select("doc_id", block, "n_chars", F.coalesce("text", F.lit("")).alias("text"))
+    words = words.select("doc_id", block, "n_chars", "text", X.tokens(F.col("text")).alias("w"))
+    words = words.withColumn("same", F.sha2(F.when(F.size("w") > 0, F.col("text")).otherwise(F.lit("")), 256))
+    one = [block, "n_chars", "same"]
+    rows = words.groupBy(*one).agg(F.min("doc_id").alias("class_id"), F.first("w").alias("w"))
+    rows = scratch.keep(rows.select("class_id", *one, X.ngrams(F.col("w")).alias("grams"), signature(F.col("w")).alias("sig")), "classes")
     n = F.size("grams")
     first = n - F.ceil(n * over / under).cast("int") + 1
-    ordered = F.array_sort(F.transform("grams", lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    ordered = F.array_sort(F.transform("grams", lambda g: F.xxhash64(g)))
     # No bigrams on either side is a similarity of one.
-    keys = F.when(n == 0, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.slice(ordered, F.lit(1), F.greatest(first, F.lit(1))), lambda x: x["h"]))
-    keyed = rows.select("doc_id", block, "n_chars", F.explode(keys).alias("key"))
+    keys = F.when(n == 0, F.array(F.lit(0).cast("long"))).otherwise(F.slice(ordered, F.lit(1), F.greatest(first, F.lit(1))))
+    keyed = scratch.keep(rows.select("class_id", block, "n_chars", n.alias("n"), F.explode(keys).alias("key")), "keyed")
     # Lengths within the tolerance fall into the same bucket or into neighbouring ones.
     left = keyed.select("*", F.explode(F.array(*[F.floor(F.col("n_chars") / tolerance) + d for d in (-1, 0, 1)])).alias("bucket")).alias("l")
     right = keyed.select("*", F.floor(F.col("n_chars") / tolerance).alias("bucket")).alias("r")
     same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (block, "key", "bucket")]
-    near = (F.col("l.doc_id") < F.col("r.doc_id")) & (F.abs(F.col("l.n_chars") - F.col("r.n_chars")) <= tolerance)
-    met = left.join(right, [*same, near]).select(F.col("l.doc_id").alias("left"), F.col("r.doc_id").alias("right")).distinct()
+    near = (F.col("l.class_id") < F.col("r.class_id")) & (F.abs(F.col("l.n_chars") - F.col("r.n_chars")) <= tolerance)
+    # Sets that similar have close sizes.
+    near = near & (under * F.least("l.n", "r.n") >= over * F.greatest("l.n", "r.n"))
+    met = scratch.keep(left.join(right, [*same, near]).select(F.col("l.class_id").alias("left"), F.col("r.class_id").alias("right")).distinct(), "met")
     # Only pairs that met carry their bigrams.
-    side = lambda p, c: rows.select(F.col("doc_id").alias(c), F.col("grams").alias(f"{p}_grams"), F.col("sig").alias(f"{p}_sig"))
+    side = lambda p, c: rows.select(F.col("class_id").alias(c), F.col("grams").alias(f"{p}_grams"), F.col("sig").alias(f"{p}_sig"))
     pairs = met.join(side("l", "left"), "left").join(side("r", "right"), "right")
     pairs = pairs.select("left", "right", X.jaccard(F.col("l_grams"), F.col("r_grams")).alias("text_similarity"), X.jaccard(F.col("l_sig"), F.col("r_sig")).alias("signature_similarity"))
-    return pairs.where(F.col("text_similarity") >= over / under)
+    members = words.select("doc_id", *one).join(rows.select("class_id", *one), one).select("doc_id", "class_id")
+    return members, pairs.where(F.col("text_similarity") >= over / under)

@@ -11,7 +11,10 @@ from pyspark.sql import types as T
 from brightloom.functions import scoring as S
 from brightloom.functions import text as X
 from brightloom.functions import vectors as V
-from brightloom.operators import cluster, dedup, frames
+from brightloom.functions.text import OFFER_VALUE, OFFER_WORDS
+from brightloom.operators import cluster, dedup, frames, weighted_dup
+from brightloom.operators.fingerprints import hex_bits, majority, word_hashes
+from brightloom.plans.shared import Scratch
 from brightloom.queries.registry import Registry, table
 from brightloom.sources.pages import page_text_links
 
@@ -29,68 +32,118 @@ def exact_dup_hash(spark, sf_dir):
     return rows.join(first, "content_hash").select("doc_id", "content_hash", "first_id")
 
 
-_HAM = "bit_count(xor(('0x' || substr(a.h, 1, 8))::BIGINT, ('0x' || substr(b.h, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr(a.h, 9, 8))::BIGINT, ('0x' || substr(b.h, 9, 8))::BIGINT))"
+_TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 
-_BITS = "substr(md5(text), 1, 15) || lower(hex(xor(('0x' || substr(md5(text), 16, 1))::INTEGER, (doc_id % 8)::INTEGER))[-1:])"
+def _hashed(parts: int, name: str) -> str:
+    """SQL of ``name(doc_id, part, hi, lo)``: the majority bits of the words' MD5 in each of a text's stretches."""
+    sums = ", ".join(f"sum(({x} >> {i}) & 1) AS {x}{i}" for x in ("hi", "lo") for i in range(32))
+    whole = lambda x: " + ".join(f"CASE WHEN 2 * {x}{i} > n THEN {1 << i}::BIGINT ELSE 0 END" for i in range(32))
+    return f"""{name}_words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p, len(w) AS of FROM (SELECT doc_id, {_TOK} AS w FROM documents)),
+    {name}_votes AS (SELECT doc_id, (p * {parts}) // of AS part, count(*) AS n, {sums} FROM (SELECT *, ('0x' || substr(md5(word), 1, 8))::BIGINT AS hi, ('0x' || substr(md5(word), 9, 8))::BIGINT AS lo FROM {name}_words) GROUP BY 1, 2),
+    {name} AS (SELECT doc_id, part, {whole('hi')} AS hi, {whole('lo')} AS lo FROM {name}_votes)"""
 
 
-def _hashes(spark, sf_dir):
-    # 64 bits of the content; the last three also depend on the id, so copies are near and not equal.
-    m = F.md5(F.col("text").cast("binary"))
-    last = F.conv(F.substring(m, 16, 1), 16, 10).cast("int").bitwiseXOR((F.col("doc_id") % 8).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring(m, 1, 15), F.lower(F.hex(last.cast("long")))).alias("h"))
+_HAM = "bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo))"
+NEAR_BITS = 4
 
 
 @registry.query(f"""
-    WITH r AS (SELECT doc_id, {_BITS} AS h FROM documents), d AS (SELECT h, min(doc_id) AS class_id FROM r GROUP BY h),
-    n AS (SELECT a.h, count(*) AS links FROM d a JOIN d b ON substr(a.h, 1, 15) = substr(b.h, 1, 15) AND a.h <> b.h AND {_HAM} <= 4 GROUP BY a.h)
-    SELECT doc_id, class_id, coalesce(links, 0) AS links FROM r JOIN d USING (h) LEFT JOIN n USING (h)""")
+    WITH {_hashed(1, 'r')}, d AS (SELECT hi, lo, min(doc_id) AS class_id FROM r GROUP BY hi, lo),
+    n AS (SELECT a.hi, a.lo, count(*) AS links FROM d a JOIN d b ON (a.hi <> b.hi OR a.lo <> b.lo) AND {_HAM} <= {NEAR_BITS} GROUP BY a.hi, a.lo)
+    SELECT documents.doc_id, class_id, CASE WHEN class_id IS NOT NULL THEN coalesce(links, 0) END AS links FROM documents LEFT JOIN r USING (doc_id) LEFT JOIN d USING (hi, lo) LEFT JOIN n USING (hi, lo)""")
 def near_dup_phash(spark, sf_dir):
     """Each document's class of equal hashes and the number of classes within four differing bits, by bands."""
-    return dedup.hash_classes(_hashes(spark, sf_dir), "doc_id", "h", 4)
+    docs = table(spark, sf_dir, "documents")
+    hashed = Scratch(spark, "hashes").keep(word_hashes(docs, "doc_id", "text").select(F.col("id").alias("doc_id"), "h"), "h")
+    return dedup.hash_classes(docs.select("doc_id").join(hashed, "doc_id", "left"), "doc_id", "h", NEAR_BITS)
 
 
 @registry.query(f"""
-    WITH d AS (SELECT doc_id, substr(md5(text), 1, 16) AS h FROM documents), q AS (SELECT h FROM d WHERE doc_id = 0)
+    WITH {_hashed(1, 'd')}, q AS (SELECT hi, lo FROM d WHERE doc_id = 0)
     SELECT a.doc_id, ({_HAM})::BIGINT AS distance FROM d a, q b WHERE a.doc_id <> 0 ORDER BY 2, 1 LIMIT 1""")
 def nearest_hamming(spark, sf_dir):
-    """The bit string nearest to a given one."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.md5(F.col("text").cast("binary")), 1, 16).alias("h"))
-    q = d.where("doc_id = 0").select(F.col("h").alias("q"))
+    """The document whose hash is nearest to a given one's."""
+    d = word_hashes(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "h")
+    q = word_hashes(table(spark, sf_dir, "documents").where("doc_id = 0"), "doc_id", "text").select(F.col("h").alias("q"))
     rows = d.where("doc_id <> 0").crossJoin(F.broadcast(q)).select("doc_id", V.hamming_hex(F.col("h"), F.col("q")).cast("long").alias("distance"))  # one query row
     return rows.orderBy("distance", "doc_id").limit(1)
 
 
-@registry.query("""
-    WITH b AS (SELECT source, i AS bit, (('0x' || substr(md5(text), 1, 4))::BIGINT >> i) & 1 AS v FROM documents, range(16) r(i))
-    SELECT source, bit::BIGINT AS bit, sum(v) >= count(*) / 2 AS is_set FROM b GROUP BY source, bit""")
+@registry.query(f"""
+    WITH {_hashed(1, 'd')}, b AS (SELECT source, i AS bit, CASE WHEN i >= 32 THEN (hi >> (i - 32)) & 1 ELSE (lo >> i) & 1 END AS v FROM d JOIN documents USING (doc_id), range(64) r(i))
+    SELECT source, bit::BIGINT AS bit, 2 * sum(v) >= count(*) AS is_set FROM b GROUP BY source, bit""")
 def mean_phash_bits(spark, sf_dir):
-    """Majority vote over the bits of a group's hashes."""
-    h = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 4), 16, 10).cast("long")
-    rows = table(spark, sf_dir, "documents").select("source", h.alias("h"))
-    votes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftright("h", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(16)])
-    return votes.select("source", F.posexplode(F.array(*[F.col(f"b{i}") >= F.col("n") / 2 for i in range(16)])).alias("bit", "is_set")).select("source", F.col("bit").cast("long").alias("bit"), "is_set")
+    """Majority vote over all bits of a group's hashes; half of the votes set a bit."""
+    docs = table(spark, sf_dir, "documents")
+    rows = word_hashes(docs, "doc_id", "text").withColumnRenamed("id", "doc_id").join(docs.select("doc_id", "source"), "doc_id")
+    votes = majority(rows.select("source", hex_bits(F.col("h")).alias("bits")), ["source"], "bits", at_least=True)
+    return votes.select("source", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"), hex_bits(F.col("h")).alias("bits")).select("source", F.col("bit").cast("long").alias("bit"), (F.getbit("bits", F.col("bit")) == 1).alias("is_set"))
+
+
+_VALUE = OFFER_VALUE.replace("'", "''")
+_SAID = "replace(lower(concat_ws(' ', text, transcript)), chr(10), ' ')"
+_OFFER = ", ".join(f"'{w}'" for w in OFFER_WORDS)
+_TERMS = f"""list_distinct(list_concat(list_transform(regexp_extract_all({_SAID}, '{_VALUE}'), lambda v: 'value:' || regexp_replace(v, '\\s+', '', 'g')), list_concat(
+    list_transform(list_filter(sw, lambda x: x IN ({_OFFER})), lambda x: 'term:' || x),
+    list_transform(list_filter(list_transform(list_filter(range(1, len(sw) + 1), lambda i: sw[i] IN ({_OFFER})), lambda i: sw[greatest(i - 2, 1):least(i + 2, len(sw))]), lambda c: len(c) >= 2), lambda c: 'context:' || array_to_string(c, ' ')))))"""
+
+
+def _dup_items(spark, sf_dir):
+    """Documents as items: stretches of words as frames, characters as duration, the reply of a conversation as transcript."""
+    docs = table(spark, sf_dir, "documents")
+    frames = word_hashes(docs, "doc_id", "text", 10).groupBy(F.col("id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("part").alias("number"), F.col("h").alias("hash"))).alias("frames"))  # ten at most
+    mean = word_hashes(docs, "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("h").alias("mean_hash"))
+    reply = table(spark, sf_dir, "conversations").where("turn = 1").groupBy(F.col("conv_id").alias("doc_id")).agg(F.max("text").alias("transcript"))
+    rows = docs.select("doc_id", F.col("n_chars").alias("duration"), "text").join(frames, "doc_id", "left").join(mean, "doc_id", "left").join(reply, "doc_id", "left")
+    return rows
+
+
+@registry.query(f"""
+    WITH {_hashed(10, 'f')}, {_hashed(1, 'm')},
+    i AS (SELECT doc_id, n_chars AS duration, coalesce(text, '') AS text, coalesce(reply, '') AS transcript FROM documents LEFT JOIN (SELECT conv_id AS doc_id, max(text) AS reply FROM conversations WHERE turn = 1 GROUP BY 1) USING (doc_id)),
+    c AS (SELECT min(doc_id) AS class_id, count(*) AS copies, duration, text, transcript FROM i GROUP BY duration, text, transcript),
+    x AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) FILTER ({_HAM} <= 6) AS close FROM f a JOIN f b ON a.part = b.part AND a.doc_id < b.doc_id WHERE a.doc_id IN (SELECT class_id FROM c) AND b.doc_id IN (SELECT class_id FROM c) GROUP BY 1, 2),
+    n AS (SELECT doc_id, count(*) AS n FROM f GROUP BY 1),
+    near AS (SELECT l, r, close / least(p.n, q.n) AS frames FROM x JOIN n p ON p.doc_id = l JOIN n q ON q.doc_id = r JOIN m a ON a.doc_id = l JOIN m b ON b.doc_id = r WHERE close / least(p.n, q.n) >= 0.9 AND {_HAM} <= 16),
+    w AS (SELECT class_id, duration, t AS tw, s AS trw, {_TERMS} AS terms, length(regexp_replace(concat_ws(' ', text, transcript), '[[:space:]]+', '', 'g')) AS chars
+          FROM (SELECT *, {_TOK} AS t, {_TOK.replace('text', 'transcript')} AS s, {_TOK.replace('text', "concat_ws(' ', text, transcript)")} AS sw FROM c)),
+    g AS (SELECT *, {{grams_t}} AS gt, {{grams_s}} AS gs FROM w),
+    p AS (SELECT l, r, frames, {{jac_t}} AS text, {{jac_s}} AS transcript, {{jac_c}} AS terms, least(a.chars, b.chars) >= 80 AS enough FROM near JOIN g a ON a.class_id = l JOIN g b ON b.class_id = r WHERE abs(a.duration - b.duration) <= 1500),
+    v AS (SELECT l, r, 0.4::DOUBLE * frames + 0.3::DOUBLE * text + 0.15::DOUBLE * transcript + 0.15::DOUBLE * terms AS score,
+          CASE WHEN enough AND text >= 0.9 AND transcript >= 0.88 AND terms >= 0.82 THEN 'exact_duplicate' WHEN enough AND terms < 0.82 THEN 'same_campaign_different_offer' WHEN enough AND (text >= 0.9 OR transcript >= 0.88) THEN 'near_duplicate' END AS verdict FROM p),
+    e AS (SELECT l AS class_id, r AS other, score, verdict FROM v WHERE verdict IS NOT NULL UNION ALL SELECT r, l, score, verdict FROM v WHERE verdict IS NOT NULL),
+    b AS (SELECT class_id, count(*) OVER (PARTITION BY class_id) AS links, other, score, verdict FROM e QUALIFY row_number() OVER (PARTITION BY class_id ORDER BY verdict <> 'exact_duplicate', round(score, 9) DESC, other) = 1)
+    SELECT i.doc_id, class_id, copies, coalesce(links, 0) AS links, other AS best_id, verdict, round(score, 6) AS score FROM i JOIN c ON i.duration IS NOT DISTINCT FROM c.duration AND i.text = c.text AND i.transcript = c.transcript LEFT JOIN b USING (class_id)""".format(
+    **{f"grams_{k}": f"list_distinct(CASE WHEN len({w}) <= 2 THEN {w} ELSE list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]) END)" for k, w in (("t", "tw"), ("s", "trw"))},
+    **{f"jac_{k}": f"CASE WHEN len(a.{c}) + len(b.{c}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a.{c}, b.{c}))::DOUBLE / len(list_distinct(list_concat(a.{c}, b.{c}))) END" for k, c in (("t", "gt"), ("s", "gs"), ("c", "terms"))},
+))
+def weighted_duplicates(spark, sf_dir):
+    """Each document's class, how many other classes duplicate it on frames, text, transcript and terms, and the best of them."""
+    found = weighted_dup.weighted_duplicates(_dup_items(spark, sf_dir), "doc_id")
+    return found.select(F.col("id").alias("doc_id"), "class_id", "copies", "links", "best_id", "verdict", F.round("score", 6).alias("score"))
 
 
-_TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _GRAMS = "list_distinct(CASE WHEN len(w) <= 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)"
 _JAC = "CASE WHEN len({0}) + len({1}) = 0 THEN 1.0 ELSE len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) END"
 _SIG = "list_distinct(list_filter(w, lambda x: regexp_matches(x, '[0-9]') OR x IN ('free','off','save','apr','month','down','lease','deal','token','password')))"
 
 
 @registry.query(f"""
-    WITH t AS (SELECT doc_id, source, n_chars, {_TOK} AS w FROM documents), g AS (SELECT doc_id, source, n_chars, {_GRAMS} AS grams, {_SIG} AS sig FROM t),
-    p AS (SELECT l.doc_id AS "left", r.doc_id AS "right", {_JAC.format('l.grams', 'r.grams')} AS a, {_JAC.format('l.sig', 'r.sig')} AS b
-          FROM g l JOIN g r ON l.source = r.source AND l.doc_id < r.doc_id AND abs(l.n_chars - r.n_chars) <= 20)
-    SELECT "left", "right", round(a, 6) AS text_similarity, round(b, 6) AS signature_similarity,
-           CASE WHEN b >= 0.82 THEN 'exact_duplicate' ELSE 'same_campaign_different_offer' END AS verdict FROM p WHERE a >= 0.9""")
+    WITH t AS (SELECT doc_id, source, n_chars, coalesce(text, '') AS text, {_TOK} AS w FROM documents),
+    k AS (SELECT *, CASE WHEN len(w) > 0 THEN text ELSE '' END AS same FROM t), c AS (SELECT source, n_chars, same, min(doc_id) AS class_id, any_value(w) AS w FROM k GROUP BY ALL),
+    g AS (SELECT class_id, source, n_chars, {_GRAMS} AS grams, {_SIG} AS sig FROM c),
+    p AS (SELECT l.class_id AS l, r.class_id AS r, {_JAC.format('l.grams', 'r.grams')} AS a, {_JAC.format('l.sig', 'r.sig')} AS b
+          FROM g l JOIN g r ON l.source = r.source AND l.class_id < r.class_id AND abs(l.n_chars - r.n_chars) <= 20),
+    e AS (SELECT l AS class_id, b FROM p WHERE a >= 0.9 UNION ALL SELECT r, b FROM p WHERE a >= 0.9), n AS (SELECT class_id, count(*) AS links, count(*) FILTER (b >= 0.82) AS exact FROM e GROUP BY 1)
+    SELECT doc_id, class_id, coalesce(links, 0) AS links, coalesce(exact, 0) AS exact_links FROM k JOIN c USING (source, n_chars, same) LEFT JOIN n USING (class_id)""")
 def post_text_dup(spark, sf_dir):
-    """Duplicates of close length in a source, by bigrams and by the words that carry terms, with a verdict."""
-    p = dedup.text_pairs(table(spark, sf_dir, "documents"), "source")
-    a, b = F.col("text_similarity"), F.col("signature_similarity")
-    verdict = F.when(b >= 0.82, F.lit("exact_duplicate")).otherwise(F.lit("same_campaign_different_offer"))
-    return p.select("left", "right", F.round(a, 6).alias("text_similarity"), F.round(b, 6).alias("signature_similarity"), verdict.alias("verdict"))
+    """Each document's class of equal texts, and the classes of close length in its source that share nine tenths of its bigrams: how many, and how many with the same terms."""
+    members, p = dedup.text_classes(table(spark, sf_dir, "documents"), "source")
+    p = Scratch(spark, "pairs").keep(p, "pairs")
+    ends = p.select(F.col("left").alias("class_id"), "signature_similarity").unionAll(p.select("right", "signature_similarity"))
+    links = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("signature_similarity") >= 0.82).alias("exact_links"))
+    return members.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("exact_links", F.lit(0)).alias("exact_links"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -101,9 +154,9 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @registry.query()
 def post_text_dup_difflib(spark, sf_dir):
-    """Pairs with four fifths of their bigrams in common, compared by matching sequences of whole texts."""
+    """Pairs of classes with four fifths of their bigrams in common, compared by matching sequences of whole texts."""
     docs = table(spark, sf_dir, "documents")
-    pairs = dedup.text_pairs(docs, "source", least=(4, 5))
+    _, pairs = dedup.text_classes(docs, "source", least=(4, 5))
     text = docs.select("doc_id", "text")
     l, r = text.withColumnsRenamed({"doc_id": "left", "text": "lt"}), text.withColumnsRenamed({"doc_id": "right", "text": "rt"})
     rows = pairs.join(l, "left").join(r, "right")
