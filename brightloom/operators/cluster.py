@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brightloom.operators.linkage import linked_clusters
+from brightloom.plans.shared import Scratch
 
 def average_linkage(vectors: np.ndarray, stop: float = 0.75, min_size: int = 3) -> np.ndarray:
     """Agglomerative clusters by mean cosine; labels in order of the first member, -1 for small clusters."""
@@ -32,11 +34,12 @@ def average_linkage(vectors: np.ndarray, stop: float = 0.75, min_size: int = 3)
     return labels
 
 
-def cluster_groups(rows: DataFrame, group: str, id_col: str = "vec_id", stop: float = 0.75, min_size: int = 3) -> DataFrame:
+def cluster_groups(rows: DataFrame, group: str, id_col: str = "vec_id", stop: float = 0.75, min_size: int = 3, at_once: int = 2048) -> DataFrame:
     """``group, id, cluster`` of every vector, clustered within its group, in id order.
 
-    A group is one brand's creatives: a matter of hundreds, whose all-pairs
-    matrix is the task's memory.
+    Groups of up to ``at_once`` vectors are clustered in one task each, with a
+    matrix of all pairs. Larger ones go through rounds over the cluster, with
+    the same result.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -45,7 +48,15 @@ def cluster_groups(rows: DataFrame, group: str, id_col: str = "vec_id", stop: fl
         return pd.DataFrame({group: pdf[group], id_col: pdf[id_col], "cluster": labels})
 
     kinds = dict(rows.dtypes)
-    return rows.select(group, id_col, "embedding").groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {id_col} {kinds[id_col]}, cluster long")
+    rows = rows.select(group, id_col, "embedding")
+    sizes = Scratch(rows.sparkSession, "groups").keep(rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")), "sizes")
+    large = sizes.where(F.col("__n") > at_once)
+    if large.isEmpty():
+        return rows.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {id_col} {kinds[id_col]}, cluster long")
+    keys = large.select(F.col(group).alias("__large"))
+    small = rows.join(keys, rows[group].eqNullSafe(keys["__large"]), "left_anti")
+    whole = small.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {id_col} {kinds[id_col]}, cluster long")
+    return whole.unionByName(linked_clusters(rows.join(keys, rows[group].eqNullSafe(keys["__large"]), "left_semi"), group, id_col, stop, min_size))
 
 
 def mean_similarity(rows: DataFrame, group: str, dim: int, id_col: str = "vec_id") -> DataFrame:
