@@ -221,11 +221,23 @@ def frame_retention(spark, sf_dir):
     return frames.keep_changed(rows, "item", "frame", "bits", 14)
 
 
+def _moments(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "props", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+
+
 @registry.query()
 def evidence_frame_select(spark, sf_dir):
     """At most five moments of each user, spread over time."""
-    rows = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return frames.select_evidence(rows, "user_id", "at", 5)
+    return frames.choose_frames(_moments(spark, sf_dir), "user_id", "event_id", "at", 5).select("user_id", "at")
+
+
+@registry.query()
+def evidence_by_priority(spark, sf_dir):
+    """At most twelve moments of each user: the ends, great errors, large purchases by the length of their notes, then the widest gaps."""
+    rows = _moments(spark, sf_dir)
+    severity = F.when(F.col("event_type") == "error", F.when(F.col("value") > 120, 0).when(F.col("value") > 60, 1))
+    density = F.when((F.col("event_type") == "purchase") & (F.col("value") > 120), F.length("props"))
+    return frames.choose_frames(rows, "user_id", "event_id", "at", 12, severity, density)
 
 
 @registry.query("""

@@ -72,6 +72,29 @@ def test_evidence_frame_select(spark):
         assert sorted(got[user]) == sorted(chosen)
 
 
+def test_evidence_by_priority(spark):
+    users = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id", "event_id", "event_type", "value", "props", "unix_micros(CAST(ts AS timestamp)) AS at").collect():
+        users.setdefault(r.user_id, []).append(r)
+    got = {}
+    for r in run(spark, "evidence_by_priority"):
+        got.setdefault(r.user_id, {})[r.event_id] = r.reason
+    for user, rows in users.items():
+        rows.sort(key=lambda r: r.event_id)
+        chosen = {rows[0].event_id: "ends", rows[-1].event_id: "ends"}
+        grave = sorted((0 if r.value > 120 else 1, r.event_id) for r in rows if r.event_type == "error" and r.value > 60)
+        long = sorted((-len(r.props), r.event_id) for r in rows if r.event_type == "purchase" and r.value > 120)
+        for reason, of in (("severity", grave), ("density", long)):
+            for _, key in of:
+                if len(chosen) < 12:
+                    chosen.setdefault(key, reason)
+        while len(chosen) < min(12, len(rows)):
+            have = [r["at"] for r in rows if r.event_id in chosen]
+            rest = [r for r in rows if r.event_id not in chosen]
+            chosen[max(rest, key=lambda r: (min(abs(r["at"] - t) for t in have), -r.event_id)).event_id] = "spread"
+        assert got[user] == chosen
+
+
 def test_avg_linkage_clusters(spark):
     groups = {}
     for r in rows_of(spark, "embeddings"):
