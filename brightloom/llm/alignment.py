@@ -29,7 +29,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +43,15 @@ from brightloom.llm.tokens import _byte_letters
 from brightloom.plans.shared import Scratch
 
 BATCH_BYTES = 4 << 20  # of text whose distinct pairs are counted together
-CACHED_UNITS = 1 << 18
+CACHED_UNITS = 1 << 19
 LONGEST_CACHED = 64  # characters
+TOGETHER = 4096  # new units that are labelled as one string
+TEXTS_AT_ONCE = 1 << 18  # characters of texts whose new units are looked for together
 #: White space, and whatever some table of characters takes for it: a space after one of these starts no unit.
 _BLANK = "\\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
 _ODD_SPACE = re.compile(f"(?:^|[{_BLANK}]) ")
 _UNIT_START = re.compile(f"(?<![{_BLANK}])(?= )")
+_BLANK_END = re.compile(f"[{_BLANK}]$")
 _SPAN = re.compile(b"[\x00-\x02]*\x03")
 _PROBE = "a  b\t\n \ufb01 \u00c5 \uff21 a\u0301 "
 
@@ -59,13 +62,12 @@ def default_tokenizers() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def label_string(a: list[bytes], b: list[bytes]) -> bytes:
-    """The labels of each byte; both lists join to the same bytes."""
-    labels = bytearray(sum(map(len, a)))
-    for mark, tokens in ((1, a), (2, b)):
-        for end in accumulate(map(len, tokens)):
-            labels[end - 1] |= mark
-    return bytes(labels)
+def label_string(size: int, ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
+    """The label of each of ``size`` bytes, from where the tokens of A and of B end."""
+    labels = np.zeros(size, np.uint8)
+    labels[ends_a - 1] |= 1
+    labels[ends_b - 1] |= 2
+    return labels
 
 
 def group_counts(labels: bytes) -> list[tuple[int, int]]:
@@ -73,22 +75,14 @@ def group_counts(labels: bytes) -> list[tuple[int, int]]:
     return [(span.count(1) + 1, span.count(2) + 1) for span in _SPAN.findall(labels)]
 
 
-class Unit:
+class Unit(NamedTuple):
     """A unit's groups as text, and its links as one number each."""
 
-    __slots__ = ("groups", "links", "n_a", "n_b", "n_groups")
-
-    def __init__(self, labels: bytes, a: list[int], b: list[int], width: int):
-        told, i, j = [], 0, 0
-        for x, y in group_counts(labels):
-            told.append(",".join(map(str, a[i : i + x])) + "|" + ",".join(map(str, b[j : j + y])))
-            i, j = i + x, j + y
-        links, i, j = [], 0, 0
-        for label in labels.replace(b"\x00", b""):
-            links.append(a[i] * width + b[j])
-            i, j = i + (label & 1), j + (label >> 1)
-        self.groups, self.links = ";".join(told), np.array(links, "<i8").tobytes()
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(told)
+    groups: str
+    links: bytes
+    n_a: int
+    n_b: int
+    n_groups: int
 
 
 class Aligner:
@@ -102,10 +96,15 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = {c: i for i, c in enumerate(_byte_letters())}
-        self.bytes_a = {i: bytes(map(letters.__getitem__, t)) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.bytes_a[i] = bytes(map(letters.__getitem__, t)) if all(c in letters for c in t) else t.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes = [np.array(list(map(len, x))) for x in (self.bytes_a, self.bytes_b)]
         self.width = len(pieces)
+        self.names = list(map(str, range(max(len(self.bytes_a), self.width))))
         self.first = self.b.encode("a")
         with open(path_a, encoding="utf-8") as f:
             spec = json.load(f)
@@ -115,44 +114,65 @@ class Aligner:
         self.in_units = bool(apart and kept and not any(re.search("[^\u2581]\u2581", p) for p in pieces))
         self.met: dict[str, Unit | None] = {}
 
-    def _labelled(self, text: str, b: list[int]) -> Unit | None:
-        """What ``text``, space first, holds; None if tokens don't join to it."""
-        raw = text.encode()
-        a = self.a.encode(text, add_special_tokens=False).ids
-        bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
+    def _labelled(self, units: list[str], b: list[int]) -> list[Unit] | None:
+        """Units that follow each other, each with a space first; None if tokens don't join to them."""
+        raws = [u.encode() for u in units]
+        raw = b"".join(raws)
+        a = self.a.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids  # no offsets
+        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            return None
+        ids_a, ids_b = np.array(a), np.array(b)
+        ends_a, ends_b = np.cumsum(self.sizes[0][ids_a]), np.cumsum(self.sizes[1][ids_b])
+        labels = label_string(len(raw), ends_a, ends_b)
+        ends = np.cumsum(list(map(len, raws)))
+        if (labels[ends - 1] != 3).any():
             return None
-        return Unit(label_string(bytes_a, bytes_b), a, b, self.width)
+        told, i, j = [], 0, 0
+        names_a, names_b = [self.names[x] for x in a], [self.names[x] for x in b]
+        for x, y in group_counts(labels.tobytes()):
+            told.append(f"{names_a[i]}|{names_b[j]}" if x == y == 1 else ",".join(names_a[i : i + x]) + "|" + ",".join(names_b[j : j + y]))
+            i, j = i + x, j + y
+        at = np.flatnonzero(labels)
+        links = (ids_a[np.searchsorted(ends_a, at + 1)] * self.width + ids_b[np.searchsorted(ends_b, at + 1)]).astype("<i8").tobytes()
+        # What each unit has of links, groups and tokens.
+        upto = [np.searchsorted(x, ends, "right").tolist() for x in (at + 1, np.flatnonzero(labels == 3) + 1, ends_a, ends_b)]
+        found, l, g, n, m = [], 0, 0, 0, 0
+        for l2, g2, n2, m2 in zip(*upto):
+            found.append(Unit(";".join(told[g:g2]), links[8 * l : 8 * l2], n2 - n, m2 - m, g2 - g))
+            l, g, n, m = l2, g2, n2, m2
+        return found
 
-    def _unit(self, text: str) -> Unit | None:
+    def _in_a_row(self, units: list[str]) -> list[Unit] | None:
         # Behind a letter, so that the model adds no space of its own.
-        return self._labelled(text, self.b.encode("a" + text)[len(self.first) :])
+        return self._labelled(units, self.b.encode("a" + "".join(units))[len(self.first) :])
+
+    def _meet(self, names: list[str]) -> dict[str, Unit | None]:
+        """Units that were not met before; those that don't end with a blank follow each other."""
+        found: dict[str, Unit | None] = {}
+        solid = [n for n in names if not _BLANK_END.search(n)]
+        for start in range(0, len(solid), TOGETHER):
+            some = solid[start : start + TOGETHER]
+            found |= dict(zip(some, self._in_a_row(some) or ()))
+        for name in names:
+            if name not in found:
+                found[name] = (self._in_a_row([name]) or [None])[0]
+        return found
 
-    def units(self, text: str) -> list[Unit] | None:
-        """The units of a text in order; None if it has no tokens."""
-        if not text:
-            return None
+    def units(self, texts: list[str]) -> list[list[Unit] | None]:
+        """The units of each text in order; None for a text without tokens."""
         if not self.in_units:
-            whole = self._labelled(" " + text, self.b.encode(text))
-            return [whole] if whole else None
-        if _ODD_SPACE.search(text):
-            names = [u for u in _UNIT_START.split(" " + text) if u]
-        else:
-            names = [" " + w for w in text.split(" ")]
+            return [self._labelled([" " + t], self.b.encode(t)) if t else None for t in texts]
         if len(self.met) > CACHED_UNITS:
             self.met.clear()
-        found, met = [], self.met
-        for name in names:
-            if name in met:
-                unit = met[name]
-            else:
-                unit = self._unit(name)
-                if len(name) <= LONGEST_CACHED:
-                    met[name] = unit
-            if unit is None:
-                return None
-            found.append(unit)
-        return found
+        names = [[] if not t else [u for u in _UNIT_START.split(" " + t) if u] if _ODD_SPACE.search(t) else [" " + w for w in t.split(" ")] for t in texts]
+        met = self.met
+        new = self._meet([n for n in dict.fromkeys(n for of in names for n in of) if n not in met])
+        met.update(new)
+        found = [[met[n] for n in of] for of in names]
+        for n in new:
+            if len(n) > LONGEST_CACHED:
+                del met[n]
+        return [None if not of or None in of else of for of in found]
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -175,6 +195,19 @@ def _batch_schema(id_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(*f) for f in fields])
 
 
+def _with_units(coder: Aligner, batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Each row's id and units."""
+    keys, texts, held = [], [], 0
+    for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        keys.append(key)
+        texts.append(text.as_py())
+        held += len(texts[-1])
+        if held >= TEXTS_AT_ONCE:
+            yield from zip(keys, coder.units(texts))
+            keys, texts, held = [], [], 0
+    yield from zip(keys, coder.units(texts))
+
+
 def _batched(paths: tuple[str, str], id_type: T.DataType, batch_bytes: int):
     arrow_id = to_arrow_type(id_type)
 
@@ -194,8 +227,7 @@ def _batched(paths: tuple[str, str], id_type: T.DataType, batch_bytes: int):
 
         ids, counts, shas, links, held = [], [], [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                units = coder.units(text.as_py() or "")
+            for key, units in _with_units(coder, batch):
                 ids.append(key)
                 if units is None:
                     counts.append((0, 0, 0, 0))
@@ -265,9 +297,8 @@ def token_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         coder = aligner(paths)
         for batch in batches:
             found = []
-            for text in batch.column(1):
-                units = coder.units(text.as_py()) or []
-                pairs = [g.split("|") for u in units for g in u.groups.split(";")]
+            for _, units in _with_units(coder, batch):
+                pairs = [g.split("|") for u in units or [] for g in u.groups.split(";")]
                 found.append([{"a": list(map(int, a.split(","))), "b": list(map(int, b.split(",")))} for a, b in pairs])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, to_arrow_type(groups))], ["doc_id", "groups"])
 
