@@ -97,8 +97,12 @@ def is_der_key(raw: bytes) -> bool:
     return len(tags) >= 2 and tags[1] == 0x04 and raw[parts[0][1]] == 1  # SEC 1
 
 
+#: How many fields a public key of a kind has, its name included.
+PUBLIC_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2": 3, b"sk-ssh": 3, b"sk-ecdsa": 4}
+
+
 def is_ssh_key(raw: bytes) -> bool:
-    """Whether the bytes are an OpenSSH container or a key blob."""
+    """Whether the bytes are an OpenSSH container or a private key's fields; a public key has fewer."""
     magic = b"openssh-key-v1\0"
     container = raw.startswith(magic)
     at, fields = len(magic) if container else 0, []
@@ -112,7 +116,8 @@ def is_ssh_key(raw: bytes) -> bool:
         at += 4 + size
     if container:
         return len(fields) >= 5
-    return len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk-ssh|sk-ecdsa)-[a-z0-9@.-]+", fields[0]) is not None
+    kind = re.fullmatch(rb"(ssh-rsa|ssh-dss|ssh-ed25519|ecdsa-sha2|sk-ssh|sk-ecdsa)(-[a-z0-9@.-]+)?", fields[0]) if fields else None
+    return kind is not None and len(fields) > PUBLIC_FIELDS[kind[1]]
 
 
 def is_signed_token(text: str) -> bool:

@@ -52,8 +52,12 @@ def test_structures_are_confirmed_and_noise_is_not():
     token = jwt({"alg": "HS256", "typ": "JWT"}, {"sub": "1"})
     key = base64.b64encode(PKCS8).decode()
     pem = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(key[i : i + 64] for i in range(0, len(key), 64)) + "\n-----END PRIVATE KEY-----"
-    ssh = base64.b64encode(struct.pack(">I", 7) + b"ssh-rsa" + struct.pack(">I", 3) + b"\1\0\1" + struct.pack(">I", 32) + bytes(32)).decode()
-    text = f"é {token}. then {key} and {RSA.hex()} or {ssh}\n{pem}"
+    field = lambda x: struct.pack(">I", len(x)) + x
+    public = b"".join(map(field, (b"ssh-rsa", b"\1\0\1", bytes(32))))
+    ssh = base64.b64encode(public + b"".join(map(field, (bytes(32), bytes(16), bytes(16), bytes(16), b"me")))).decode()
+    assert not S.is_ssh_key(public) and not S.is_ssh_key(field(b"ssh-ed25519") + field(bytes(32))) and S.is_ssh_key(b"".join(map(field, (b"ssh-ed25519", bytes(32), bytes(64)))))
+    assert not S.is_ssh_key(b"".join(map(field, (b"ecdsa-sha2-nistp256", b"nistp256", bytes(65))))) and not S.is_ssh_key(field(b"hello") * 9) and not S.is_ssh_key(b"")
+    text = f"é {token}. then {key} and {RSA.hex()} or {ssh} not {base64.b64encode(public).decode()}\n{pem}"
     found = {k for k, _, _ in S.confirmed_spans(text)}
     assert found == {"jwt", "der", "ssh", "pem"}
     spans = {(k, text[a:b]) for k, a, b in S.confirmed_spans(text)}
