@@ -22,8 +22,9 @@ Both steps find every pair they have to; no bucket is capped.
 Defined cases: null and empty texts, and texts of white space, have
 fingerprint zero and are linked like any other; rows with a null id keep their
 component, whose id is the least id that is not null (null when there is
-none); repeated rows are repeated in the result; an empty table gives an empty
-result; other columns are ignored.
+none); repeated rows are repeated in the result; a very long text is hashed
+whole, a slice of its shingles at a time; an empty table gives an empty result;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brightloom.llm.near_dups import one_of_each
 from brightloom.operators.components import connected_components
 from brightloom.plans.shared import Scratch
 
@@ -152,19 +154,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, the one with the least id, with all its columns.
-
-    Of several rows with that id, the one whose text has the least digest stays.
-    """
-    found = near_groups(docs, id_col, text_col)
-    rows = found.groupBy("component", "doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
-    heads = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_sha256", "n")).alias("h"))
-    heads = heads.select(F.col("h.doc_id").alias("__id"), F.col("h.text_sha256").alias("__sha"), F.col("h.n").alias("__rows"))
-    text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
-    marked = docs.withColumn("__key", F.sha2(text, 256))
-    rows = marked.join(heads, marked[id_col].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")))
-    alone = rows.where("__rows = 1")
-    return alone.unionByName(rows.where("__rows > 1").dropDuplicates([id_col, "__key"])).select(*docs.columns)
+    """One row of each component of close fingerprints."""
+    return one_of_each(docs, near_groups(docs, id_col, text_col), id_col, text_col)
 
 
 def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:
