@@ -9,11 +9,21 @@ queries are asked, ``write_postings`` writes an inverted index once, and
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from brightloom.functions import text as X
 from brightloom.functions import vectors as V
+from brightloom.plans.shared import shared_dir
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -37,23 +47,69 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: st
     return counts.where(hit).crossJoin(F.broadcast(stats)).select(id_col, score.alias("score"))  # stats is one row
 
 
-POSTING_PARTS = 64
+#: A document's own entry: its length stands where occurrences would.
+LENGTH_TERM = ""
+MOST_PARTS = 4096
+ROWS_AT_ONCE = 1 << 17
+_WORD_BYTES = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
+
+
+def _posting_rows(id_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(at: list[int], lengths: list[int], sizes: list[int], terms: list[bytes], counts: list[int], ids: pa.Array) -> pa.RecordBatch:
+            spread = np.repeat(np.arange(len(at)), sizes)
+            columns = [ids.take(pa.array(np.array(at)[spread])), pa.array(np.array(lengths, np.int64)[spread]), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["id", "len", "term", "tf"])
+
+        for batch in batches:
+            at, lengths, sizes, terms, counts = [], [], [], [], []
+            ids = batch.column(0).cast(id_type)
+            for i, text in enumerate(batch.column(1)):
+                words = (text.as_py() or "").lower().encode().translate(_WORD_BYTES).split()
+                found = Counter(words)
+                at.append(i)
+                lengths.append(len(words))
+                sizes.append(len(found) + 1)
+                terms += [b"", *found]
+                counts += [len(words), *found.values()]
+                if len(terms) >= ROWS_AT_ONCE:
+                    yield flush(at, lengths, sizes, terms, counts, ids)
+                    at, lengths, sizes, terms, counts = [], [], [], [], []
+            if at:
+                yield flush(at, lengths, sizes, terms, counts, ids)
+
+    return run
+
+
+def _write_parts(rows: DataFrame, parts: int, spread: int, out: str) -> None:
+    """Postings by part of the term's hash, sorted by term; a part has ``spread`` files, so a term that most documents have is in several."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).withColumn("__file", F.pmod(F.xxhash64("id"), F.lit(spread)))
+    dealt.repartition(parts * spread, "part", "__file").drop("__file").sortWithinPartitions("part", "term", "id").write.partitionBy("part").parquet(f"{out}/postings")
+
+
+def _write_stats(postings: DataFrame, parts: int, spread: int, out: str) -> None:
+    postings.where(F.col("term") != LENGTH_TERM).groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{out}/terms")
+    lengths = postings.where(F.col("term") == LENGTH_TERM)
+    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), F.lit(parts).alias("parts"), F.lit(spread).alias("spread")).write.parquet(f"{out}/stats")
 
 
 def write_postings(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """An inverted index: ``postings`` by part of the term's hash, sorted by term, and one row of ``stats``.
+    """An inverted index: ``postings`` by part of the term's hash, ``terms`` with their frequencies, and one row of ``stats``.
 
-    A posting has the document's length, so a score takes no join. A document's
-    words are counted where its text lies; what is shuffled is its distinct words.
+    A posting has the document's length, so a score takes no join; each document
+    has an entry of its own, under an empty term. A document's words are counted
+    where its text lies; what is shuffled is its distinct words. There are about
+    two parts for each split of the input, and beyond ``MOST_PARTS`` several
+    files a part.
     """
-    spark = docs.sparkSession
-    words = docs.select(F.col(id_col).alias("id"), X.tokens(F.col(text_col)).alias("w"))
-    counted = words.select("id", F.size("w").cast("long").alias("len"), F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    part = F.pmod(F.xxhash64("term"), F.lit(POSTING_PARTS)).cast("int")
-    # A term that most documents have is spread over tasks by id; a part then has several files.
-    spread = counted.withColumn("part", part).repartition("part", F.pmod(F.xxhash64("id"), F.lit(8)))
-    spread.sortWithinPartitions("part", "term", "id").write.partitionBy("part").parquet(f"{out}/postings")
-    words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean")).write.parquet(f"{out}/stats")
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("len", T.LongType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_posting_rows(to_arrow_type(kind)), schema)
+    splits = docs.rdd.getNumPartitions()
+    parts = min(MOST_PARTS, max(8, 2 * splits))
+    spread = max(1, -(-2 * splits // parts))
+    _write_parts(rows, parts, spread, out)
+    _write_stats(docs.sparkSession.read.parquet(f"{out}/postings"), parts, spread, out)
 
 
 def replace_postings(spark: SparkSession, index: str, changed: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -63,26 +119,53 @@ def replace_postings(spark: SparkSession, index: str, changed: DataFrame, out: s
     """
     new = f"{out}/new"
     write_postings(changed.where(F.col(text_col).isNotNull()), new, id_col, text_col)
-    old = spark.read.parquet(f"{index}/postings")
-    ids = changed.select(F.col(id_col).alias("id"))
-    kept = old.join(ids, "id", "left_anti").unionByName(spark.read.parquet(f"{new}/postings"))
-    kept.repartition("part", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("part", "term", "id").write.partitionBy("part").parquet(f"{out}/postings")
-    # Documents without a word have no postings; the statistics come from the old ones and the change.
-    gone = old.join(ids, "id", "left_semi").select("id", "len").distinct().agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("len"))
-    stats = [spark.read.parquet(f"{x}/stats").select("n", (F.col("n") * F.coalesce("mean", F.lit(0.0))).alias("len")) for x in (index, new)]
-    total = stats[0].unionByName(stats[1]).unionByName(gone.select((-F.col("n")).alias("n"), (-F.col("len")).cast("double").alias("len")))
-    total.agg(F.sum("n").alias("n"), F.sum("len").alias("len")).select("n", F.when(F.col("n") > 0, F.col("len") / F.col("n")).alias("mean")).write.parquet(f"{out}/stats")
+    told = spark.read.parquet(f"{index}/stats").first()
+    kept = spark.read.parquet(f"{index}/postings").drop("part").join(changed.select(F.col(id_col).alias("id")), "id", "left_anti")
+    _write_parts(kept.unionByName(spark.read.parquet(f"{new}/postings").drop("part")), told["parts"], told["spread"], out)
+    _write_stats(spark.read.parquet(f"{out}/postings"), told["parts"], told["spread"], out)
+
+
+def table_version(spark: SparkSession, path: str) -> str:
+    """A name for what a table of files holds now: their names, sizes and times, without reading rows."""
+    files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    n, mark = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()
+    return hashlib.sha256(f"{path} {n} {mark}".encode()).hexdigest()[:24]
+
+
+def open_index(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """The index of a table of documents in the shared folder; built once for each version of the table."""
+    found = f"{shared_dir(spark)}/brightloom/indexes/{table_version(spark, path)}"
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(found).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place(found)):
+        own = f"{found}-{uuid.uuid4().hex[:8]}"
+        write_postings(spark.read.parquet(path), own, id_col, text_col)
+        # Another session may have been faster; its index is as good.
+        if files.exists(place(found)) or not files.rename(place(own), place(found)):
+            files.delete(place(own), True)
+    return found
+
+
+def postings_of(spark: SparkSession, index: str, terms: list[str]) -> DataFrame:
+    """The postings of some terms, from their parts alone."""
+    told = spark.read.parquet(f"{index}/stats").first()
+    wanted = spark.createDataFrame([(t,) for t in terms], "term string")
+    parts = [r.p for r in wanted.select(F.pmod(F.xxhash64("term"), F.lit(told["parts"])).cast("int").alias("p")).distinct().collect()]  # one a term
+    return spark.read.parquet(f"{index}/postings").where(F.col("part").isin(parts) & F.col("term").isin(terms))
+
+
+def posting_score(tf: Column, length: Column, df: Column, n: Column, mean: Column) -> Column:
+    """What a posting adds to a document's BM25 score."""
+    idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
 def bm25_indexed(spark: SparkSession, index: str, terms: list[str]) -> DataFrame:
     """``id, score`` of every document that has one of the terms, from the index alone."""
-    parts = [r.p for r in spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(POSTING_PARTS)).cast("int").alias("p")).distinct().collect()]  # one a term
-    hits = spark.read.parquet(f"{index}/postings").where(F.col("part").isin(parts) & F.col("term").isin(terms))
+    hits = postings_of(spark, index, terms)
     frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row a term
     rows = hits.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(spark.read.parquet(f"{index}/stats")))  # one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return rows.groupBy("id").agg(F.sum(score).alias("score"))
+    return rows.groupBy("id").agg(F.sum(posting_score(*[F.col(c) for c in ("tf", "len", "df", "n", "mean")])).alias("score"))
 
 
 def _equals(term: str):

@@ -403,14 +403,3 @@ def resource_view(spark, sf_dir):
         F.col("s_suppkey").alias("resource_id"), F.lower(F.regexp_replace("s_name", "#0*", "-")).alias("external_id"), F.col("n_name").alias("market"), form.alias("format"),
         F.coalesce("variants", F.lit(0)).alias("variants"), F.coalesce("assets", F.lit(0)).alias("assets"), "first_seen", "last_seen",
     )
-
-
-@registry.query("""
-    WITH q(q) AS (VALUES ('a red car'), ('phone price'), ('doctor'), ('two  black dogs'))
-    SELECT q, len(v) AS n, array_to_string(v, '|') AS variants FROM (VALUES ('a red car', ['a red car', 'automobile', 'vehicle', 'sedan', 'red car', 'red colored car']), ('phone price', ['phone price', 'smartphone', 'mobile phone', 'app screen', 'price callout', 'pricing text']),
-      ('doctor', ['doctor', 'medical professional', 'clinic', 'healthcare setting']), ('two  black dogs', ['two black dogs', 'black dogs', 'black colored dogs', 'dogs in black'])) t(q, v) SEMI JOIN q USING (q)""")
-def visual_query_variants(spark, sf_dir):
-    """Ways to say a picture query: aliases of its words and of its colours."""
-    rows = spark.createDataFrame([("a red car",), ("phone price",), ("doctor",), ("two  black dogs",)], "q string")
-    v = R.visual_variants(F.col("q"))
-    return rows.select("q", F.size(v).cast("long").alias("n"), F.array_join(v, "|").alias("variants"))

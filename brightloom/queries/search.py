@@ -30,19 +30,21 @@ _COS = """
     cosines AS (SELECT vec_id, label, list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q, q)) AS similarity FROM embeddings, q)"""
 
 
+def _scores(spark, sf_dir):
+    return R.bm25_indexed(spark, R.open_index(spark, f"{sf_dir}/documents.parquet"), TERMS).withColumnRenamed("id", "doc_id")
+
+
 @registry.query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm WHERE score >= 0.40 * (SELECT max(score) FROM bm) ORDER BY bm.score DESC, doc_id LIMIT 20")
 def keyword_bm25_topk(spark, sf_dir):
     """Best documents for fixed terms, at 0.40 of the best score or more."""
-    hits = R.relative_cut(R.bm25(table(spark, sf_dir, "documents"), TERMS))
+    hits = R.relative_cut(_scores(spark, sf_dir))
     return R.top_k(hits, 20, F.col("score").desc(), "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @registry.query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm")
 def keyword_bm25_indexed(spark, sf_dir):
     """Scores of all documents that have one of the terms, from a written index."""
-    index = Scratch(spark, "postings").path("index")
-    R.write_postings(table(spark, sf_dir, "documents"), index)
-    return R.bm25_indexed(spark, index, TERMS).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return _scores(spark, sf_dir).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @registry.query("""
@@ -130,8 +132,8 @@ _FUSED = f"""{_BM25}, {_COS},
 
 
 def _fused(spark, sf_dir):
-    docs, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    lexical = R.top_k(R.bm25(docs, TERMS), 50, F.col("score").desc(), "doc_id")
+    e = table(spark, sf_dir, "embeddings")
+    lexical = R.top_k(_scores(spark, sf_dir), 50, F.col("score").desc(), "doc_id")
     near = R.nearest(e, R.seed_vector(e, 0), 50, metric="cosine")
     return R.fuse(R.ranked(lexical, F.col("score").desc(), "doc_id"), R.ranked(near, F.col("similarity").desc(), "vec_id"))
 
