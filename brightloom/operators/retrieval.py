@@ -47,6 +47,7 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: st
     return counts.where(hit).crossJoin(F.broadcast(stats)).select(id_col, score.alias("score"))  # stats is one row
 
 
+LAYOUT = "v2"  # of an index; sessions share the folder that indexes are kept in
 #: A document's own entry: its length stands where occurrences would.
 LENGTH_TERM = ""
 MOST_PARTS = 4096
@@ -134,7 +135,7 @@ def table_version(spark: SparkSession, path: str) -> str:
 
 def open_index(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text") -> str:
     """The index of a table of documents in the shared folder; built once for each version of the table."""
-    found = f"{shared_dir(spark)}/brightloom/indexes/{table_version(spark, path)}"
+    found = f"{shared_dir(spark)}/brightloom/indexes/{LAYOUT}-{id_col}-{text_col}-{table_version(spark, path)}"
     place = spark._jvm.org.apache.hadoop.fs.Path
     files = place(found).getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(place(found)):
