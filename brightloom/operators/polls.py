@@ -33,3 +33,12 @@ def prior_count(rows: DataFrame, group: list[str], order: list[str]) -> Column:
     """Rows of the group that came before."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return F.count(F.lit(1)).over(w)
+
+
+def refreshes(observations: DataFrame, resource: list[str], at: str, order: str, content: Column, forget: str) -> DataFrame:
+    """``new`` for a resource not seen for longer than ``forget``, ``refresh`` where its content differs from the last seen; nothing else is told."""
+    w = Window.partitionBy(*resource).orderBy(at, order)
+    rows = observations.withColumn("__now", content).withColumn("__last", F.lag("__now").over(w)).withColumn("__seen", F.lag(at).over(w))
+    fresh = F.col("__seen").isNull() | (F.col(at) - F.col("__seen") > F.expr(f"INTERVAL {forget}"))
+    kind = F.when(fresh, F.lit("new")).when(~F.col("__last").eqNullSafe(F.col("__now")), F.lit("refresh"))
+    return rows.withColumn("kind", kind).where("kind IS NOT NULL").drop("__now", "__last", "__seen")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions import scoring as S
 from brightloom.operators import polls as P
+from brightloom.operators import scans
 from brightloom.queries.registry import Registry, table
 from brightloom.streaming import detect
 
@@ -124,3 +125,74 @@ def backoff_schedule(spark, sf_dir):
     """Hours to the next poll after errors."""
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"))
     return e.select("user_id", "errors", S.backoff_hours(F.lit(6.0), F.col("errors")).alias("hours"))
+
+
+FORGET = "36 HOURS"
+_REFRESH = f"""l AS (SELECT user_id, event_type, event_id, ts, floor(value / 40)::BIGINT AS level, lag(floor(value / 40)::BIGINT) OVER w AS last, lag(ts) OVER w AS seen FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))
+    SELECT user_id, event_type, event_id, CASE WHEN seen IS NULL OR ts - seen > INTERVAL {FORGET} THEN 'new' ELSE 'refresh' END AS kind FROM l WHERE seen IS NULL OR ts - seen > INTERVAL {FORGET} OR last IS DISTINCT FROM level"""
+
+
+@registry.query(f"WITH {_REFRESH}")
+def refresh_feed(spark, sf_dir):
+    """Kinds of activity of each user as resources: new when not seen for a day and a half, refreshed where the level of the value differs."""
+    rows = P.refreshes(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id", F.floor(F.col("value") / 40), FORGET)
+    return rows.select("user_id", "event_type", "event_id", "kind")
+
+
+@registry.query(f"WITH {_REFRESH}")
+def stream_refresh(spark, sf_dir):
+    """The same from a stream whose state forgets what was not seen for that long."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(_folder(sf_dir))
+    return detect.refresh_to_end(detect.refresh_stream(stream, ["user_id", "event_type"], "ts", F.floor(F.col("value") / 40), FORGET), spark)
+
+
+SCAN_AT, SCAN_PAGE = "2024-01-25", 4
+RULES = scans.ScanRules(full_hours=24 * 4, ttl_hours=36, stop_after=2, page_budget=6)
+_SCANS = f"""
+    e AS (SELECT user_id AS source, event_id AS id, event_type || '|' || value::VARCHAR AS signature, event_type, value, ts FROM events),
+    items AS (SELECT source, id, signature, (row_number() OVER (PARTITION BY source ORDER BY ts DESC, id DESC) - 1) // {SCAN_PAGE} AS page FROM e),
+    known AS (SELECT source, id, CASE WHEN event_type = 'error' AND value > 100 THEN NULL ELSE signature END AS signature FROM e WHERE ts < TIMESTAMP '{SCAN_AT}'),
+    fp AS (SELECT DISTINCT source, substr(sha256(source || '|' || source % 4 || '|{SCAN_PAGE}|newest-first'), 1, 24) AS fingerprint, substr(sha256(source || '|' || (source % 4 + CASE WHEN source % 5 = 0 THEN 1 ELSE 0 END) || '|{SCAN_PAGE}|newest-first'), 1, 24) AS token_fingerprint FROM e),
+    state AS (SELECT fp.*, (SELECT count(*) FROM known k WHERE k.source = fp.source) AS known, max(ts) FILTER (event_type = 'purchase') AS last_full_at, max(ts) FILTER (event_type = 'click') AS token_at, arg_max(id % 4, ts) FILTER (event_type = 'click') AS token
+              FROM fp JOIN e USING (source) WHERE ts < TIMESTAMP '{SCAN_AT}' GROUP BY ALL),
+    plans AS (SELECT *, CASE WHEN resume THEN 'resume' WHEN whole THEN 'full' ELSE 'incremental' END AS mode, CASE WHEN resume THEN token ELSE 0 END::INTEGER AS first_page, CASE WHEN resume OR NOT whole THEN 'incremental' ELSE 'full' END AS scan_as FROM
+        (SELECT *, coalesce(token_fingerprint = fingerprint AND TIMESTAMP '{SCAN_AT}' - token_at <= INTERVAL 36 HOURS, false) AS resume, coalesce(known = 0 OR TIMESTAMP '{SCAN_AT}' - last_full_at >= INTERVAL 96 HOURS, true) AS whole FROM state))"""
+
+
+def _scan_plans(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.col("event_id").alias("id"), "event_type", "value", "ts")
+    e = e.withColumn("signature", F.concat_ws("|", "event_type", F.col("value").cast("string")))
+    before = e.where(F.col("ts") < F.lit(SCAN_AT).cast("timestamp_ntz"))
+    known = before.select("source", "id", F.when(~((F.col("event_type") == "error") & (F.col("value") > 100)), F.col("signature")).alias("signature"))
+    click, region = F.when(F.col("event_type") == "click", F.struct("ts", (F.col("id") % 4).alias("token"))), F.col("source") % 4
+    state = before.groupBy("source").agg(F.count(F.lit(1)).alias("known"), F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("last_full_at"), F.max(click).alias("c"))
+    mark = lambda moved: scans.fingerprint(F.col("source"), region + moved, F.lit(SCAN_PAGE))
+    state = state.select("source", "known", "last_full_at", F.col("c.ts").alias("token_at"), F.col("c.token").alias("token"), F.lit("incremental").alias("token_mode"), mark(F.lit(0)).alias("fingerprint"), mark(F.when(F.col("source") % 5 == 0, 1).otherwise(0)).alias("token_fingerprint"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("ts"), F.desc("id")))
+    items = e.select("source", "id", "signature", F.floor((place - 1) / SCAN_PAGE).alias("page"))
+    return scans.plan_scans(state, F.lit(SCAN_AT).cast("timestamp_ntz"), RULES), items, known
+
+
+@registry.query(f"WITH {_SCANS} SELECT source, mode, first_page, scan_as, CASE WHEN scan_as = 'full' THEN 0 ELSE 2 END AS stop_after FROM plans")
+def scan_plans(spark, sf_dir):
+    """What each source is due for: resumed from a valid checkpoint, in full, or incrementally."""
+    return _scan_plans(spark, sf_dir)[0].select("source", "mode", "first_page", "scan_as", "stop_after")
+
+
+@registry.query(f"""WITH RECURSIVE {_SCANS},
+    kinds AS (SELECT i.source, page, count(*) FILTER (k.id IS NULL) AS "new", count(*) FILTER (k.id IS NOT NULL AND k.signature IS DISTINCT FROM i.signature) AS changed, count(*) FILTER (k.id IS NOT NULL AND k.signature IS NOT DISTINCT FROM i.signature) AS unchanged
+              FROM items i LEFT JOIN known k ON k.source = i.source AND k.id = i.id GROUP BY 1, 2),
+    final AS (SELECT source, max(page) AS page FROM kinds GROUP BY 1),
+    steps AS (SELECT p.source, p.scan_as, k.page, k."new", k.changed, k.unchanged, CASE WHEN k."new" + k.changed = 0 THEN 1 ELSE 0 END AS still, 1 AS nth FROM plans p JOIN kinds k ON k.source = p.source AND k.page = p.first_page
+        UNION ALL SELECT s.source, s.scan_as, k.page, k."new", k.changed, k.unchanged, CASE WHEN k."new" + k.changed = 0 THEN s.still + 1 ELSE 0 END, s.nth + 1 FROM steps s JOIN kinds k ON k.source = s.source AND k.page = s.page + 1 WHERE (s.scan_as = 'full' OR s.still < 2) AND s.nth < 6),
+    done AS (SELECT source, count(*) AS pages, sum("new")::BIGINT AS "new", sum(changed)::BIGINT AS changed, sum(unchanged)::BIGINT AS unchanged, max(page) AS upto, arg_max(still, page) AS still FROM steps GROUP BY 1),
+    told AS (SELECT plans.*, pages, "new", changed, unchanged, upto, CASE WHEN pages IS NULL OR upto = final.page THEN 'end' WHEN scan_as <> 'full' AND still >= 2 THEN 'unchanged' ELSE 'budget' END AS ended FROM plans LEFT JOIN done USING (source) LEFT JOIN final USING (source))
+    SELECT source, mode, scan_as, first_page, coalesce(pages, 0) AS pages, coalesce("new", 0) AS "new", coalesce(changed, 0) AS changed, coalesce(unchanged, 0) AS unchanged, ended, CASE WHEN ended = 'budget' THEN upto + 1 END::INTEGER AS token,
+           CASE WHEN ended = 'budget' THEN fingerprint END AS token_fingerprint, CASE WHEN ended = 'budget' THEN scan_as END AS token_mode, CASE WHEN ended = 'budget' THEN TIMESTAMP '{SCAN_AT}' END AS token_at,
+           CASE WHEN ended <> 'budget' THEN TIMESTAMP '{SCAN_AT}' END AS last_success_at, CASE WHEN ended = 'end' OR (ended <> 'budget' AND scan_as = 'full') THEN TIMESTAMP '{SCAN_AT}' ELSE last_full_at END AS last_full_at FROM told""")
+def scan_results(spark, sf_dir):
+    """What each planned scan reads until it ends, and the state it leaves."""
+    plans, items, known = _scan_plans(spark, sf_dir)
+    pages = scans.read_pages(plans, scans.with_kind(items, known), RULES)
+    return scans.scan_results(plans, pages, F.lit(SCAN_AT).cast("timestamp_ntz"))

@@ -5,16 +5,17 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brightloom.plans.shared import shared_dir
 
 
-def run_to_end(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
-    """Write all that a stream has into the shared folder and read it back."""
-    base = f"{shared_dir(spark)}/brightloom/stream-{uuid.uuid4().hex[:12]}"
+def run_to_end(stream: DataFrame, spark: SparkSession, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Write all that a stream has into the shared folder and read it back; with ``base``, go on from the last run there."""
+    base = base or f"{shared_dir(spark)}/brightloom/stream-{uuid.uuid4().hex[:12]}"
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -65,3 +66,70 @@ def change_stream(items: DataFrame) -> DataFrame:
 
     kind = dict(items.dtypes)["ts"]
     return items.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, change_type string", f"last string, at {kind}, seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+class _Refresh(StatefulProcessor):
+    """Last content and time of a resource, until a timer finds that it was not seen for long enough."""
+
+    def __init__(self, forget_ms: int, names: list[str]):
+        self.forget, self.names = forget_ms, names
+
+    def init(self, handle):
+        self.handle = handle
+        self.last = handle.getValueState("last", "content string, seen long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        content, seen = self.last.get() if self.last.exists() else (None, None)
+        out = []
+        for row in sorted((r for batch in rows for r in batch.itertuples(index=False)), key=lambda r: (r.at_ms, r.event_id)):
+            if seen is not None and row.at_ms < seen:
+                continue  # an earlier sight of what was told already
+            if seen is None or row.at_ms - seen > self.forget:
+                out.append((*key, row.event_id, "new"))
+            elif row.content != content:
+                out.append((*key, row.event_id, "refresh"))
+            content, seen = row.content, row.at_ms
+        self.last.update((content, seen))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+        self.handle.registerTimer(int(seen + self.forget + 1))
+        yield pd.DataFrame(out, columns=self.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        return iter([])
+
+    def close(self):
+        pass
+
+
+def refresh_stream(items: DataFrame, resource: list[str], at: str, content: Column, forget: str) -> DataFrame:
+    """``resource, event_id, kind`` as ``polls.refreshes`` tells them, from a stream.
+
+    A resource's state goes once the stream's time is ``forget`` past its last
+    sight; needs the RocksDB state store (``refresh_to_end`` sets it).
+    """
+    clock = items.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", "0 seconds")
+    rows = clock.select(*resource, "event_id", "__at", F.unix_millis("__at").alias("at_ms"), content.cast("string").alias("content"))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*resource, "event_id")) + ", kind string"
+    step = _Refresh(_millis(items.sparkSession, forget), [*resource, "event_id", "kind"])
+    return rows.groupBy(*resource).transformWithStateInPandas(step, schema, "Append", "EventTime")
+
+
+def _millis(spark: SparkSession, span: str) -> int:
+    zero = "TIMESTAMP '1970-01-01 00:00:00Z'"
+    return spark.sql(f"SELECT unix_millis({zero} + INTERVAL {span}) AS ms").first().ms
+
+
+def refresh_to_end(stream: DataFrame, spark: SparkSession, base: str | None = None) -> DataFrame:
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        return run_to_end(stream, spark, base=base)
+    finally:
+        spark.conf.set(STORE, before)
