@@ -107,10 +107,3 @@ def repaired_products(products: Column, brand: Column, makes: list[str]) -> Colu
     bare = F.filter(good, lambda p: ~(key(p).isin(makes) & (specific | F.contains(key(brand), key(p)))))
     first = lambda seen, p: F.when(F.exists(seen, lambda q: key(q) == key(p)), seen).otherwise(F.concat(seen, F.array(p)))
     return F.aggregate(bare, F.array().cast("array<string>"), first)
-
-
-def salvaged_pairs(text: Column) -> Column:
-    """``key, value`` pairs of broken JSON: what reads as a quoted key with a plain value, in order."""
-    pattern = r'"([A-Za-z_]+)"\s*:\s*("[^"]*"|-?[0-9.]+|true|false|null)'
-    keys, values = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2))
-    return F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), F.btrim(v, F.lit('"')).alias("value")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brightloom.functions import repair as R
+from brightloom.functions import salvage
 from brightloom.queries.registry import Registry, table
 
 registry = Registry()
@@ -67,14 +68,23 @@ def campaign_suggestions(spark, sf_dir):
     return found.select("event_id", F.col("name").alias("suggestion"), "k", F.concat(F.lit("partner: "), partner).alias("badge"))
 
 
-@registry.query(r"""
-    WITH r AS (SELECT event_id, 'Sure: {"type": "' || event_type || '", "value": ' || event_id || ', "tags": ["a", "b", "ok": true, "note": "cut' AS said FROM events),
-    k AS (SELECT event_id, regexp_extract_all(said, '"([A-Za-z_]+)"\s*:\s*("[^"]*"|-?[0-9.]+|true|false|null)', 1) AS keys, regexp_extract_all(said, '"([A-Za-z_]+)"\s*:\s*("[^"]*"|-?[0-9.]+|true|false|null)', 2) AS vals FROM r)
-    SELECT event_id, unnest(keys) AS key, trim(unnest(vals), '"') AS value FROM k""")
+def _answers(spark, sf_dir):
+    """Every document with its labels as a model would tell it, broken off at a place of its own."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    words = F.slice(F.split("text", r"\s+"), 1, 6)
+    told = F.to_json(F.struct("doc_id", F.struct("lang", "source", words.alias("words"), F.struct("quality", "toxic").alias("labels")).alias("meta"), "n_chars", F.array("n_chars", "doc_id").alias("numbers"), F.col("text").alias("summary"), F.lit(True).alias("done")))
+    whole = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("Here it is: ```json\n")).otherwise(F.lit("Sure. ")), told, F.when(F.col("doc_id") % 2 == 0, F.lit("\n```")).otherwise(F.lit("")))
+    cut = F.pmod(F.xxhash64("doc_id"), F.length("whole")).cast("int") + 1
+    # Every third answer is whole, but for a comma that is missing.
+    broken = F.when(F.col("doc_id") % 3 == 0, F.replace("whole", F.lit(',"n_chars"'), F.lit('"n_chars"'))).otherwise(F.left("whole", cut))
+    return docs.withColumn("whole", whole).select("doc_id", broken.alias("said"))
+
+
+@registry.query()
 def salvaged_json(spark, sf_dir):
-    """Key and value pairs of JSON that breaks off."""
-    said = F.concat(F.lit('Sure: {"type": "'), "event_type", F.lit('", "value": '), F.col("event_id").cast("string"), F.lit(', "tags": ["a", "b", "ok": true, "note": "cut'))
-    return table(spark, sf_dir, "events").select("event_id", F.inline(R.salvaged_pairs(said)))
+    """What can be read of answers that break off: the object as valid JSON, and fields of it."""
+    rows = _answers(spark, sf_dir).select("doc_id", salvage.salvaged_json(F.col("said")).alias("json"))
+    return rows.select("doc_id", "json", *[salvage.without_placeholder(F.get_json_object("json", f"$.{path}")).alias(path.split(".")[-1]) for path in ("meta.lang", "meta.source", "n_chars", "done")])
 
 
 @registry.query(r"""
