@@ -100,10 +100,16 @@ def test_merge(spark):
         "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT reflect('java.lang.System', 'lineSeparator')", "SELECT input_file_name()",
         "SELECT * FROM parquet.`/tmp`", "SELECT * FROM nowhere", "SELECT * FROM default.t", "SELECT (SELECT max(x) FROM csv.`/etc/passwd`) AS y", "SELECT 1 WHERE EXISTS (SELECT * FROM text.`/etc/passwd`)",
         "SELECT 1 WHERE 1 IN (SELECT id FROM json.`/tmp/x`)", "WITH a AS (SELECT * FROM text.`/etc/passwd`) SELECT * FROM a", "SELECT * FROM range(3) ORDER BY java_method('a', 'b')",
-        "SELECT transform(array(1), x -> reflect('a', 'b', x))", "INSERT INTO t SELECT 1", "SELECT * FROM a_table_function(1)",
+        "SELECT sum(id) OVER w FROM t_five WINDOW w AS (ORDER BY java_method('java.lang.System', 'getProperty', 'user.home'))", "SELECT sum(id) OVER (PARTITION BY reflect('a', 'b')) FROM t_five",
+        "SELECT sum(id) OVER w FROM t_five WINDOW w AS (PARTITION BY (SELECT max(x) FROM csv.`/etc/passwd`))", "WITH `parquet./root/testdata/sf0.001/region.parquet` AS (SELECT 1) SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`",
+        "WITH a AS (SELECT 1), b AS (WITH c AS (SELECT * FROM text.`/etc/passwd`) SELECT * FROM c) SELECT * FROM a", "SELECT * FROM VALUES (java_method('a', 'b')) AS t(x)", "SELECT * FROM t_five PIVOT (max(reflect('a', 'b')) FOR id IN (1, 2))",
+        "SELECT * FROM t_five LATERAL VIEW explode(array(reflect('a', 'b'))) t AS x", "SELECT id FROM t_five GROUP BY GROUPING SETS ((reflect('a', 'b')), ())", "SELECT * FROM t_five JOIN t_five u ON reflect('a', 'b') = 'c'",
+        "SELECT * FROM t_five, LATERAL (SELECT * FROM json.`/tmp/x`)", "SELECT * FROM IDENTIFIER('parquet.`/tmp`')", "SELECT system.builtin.java_method('a', 'b')", "WITH RECURSIVE a AS (SELECT 1 AS x UNION ALL SELECT x + 1 FROM text.`/x`) SELECT * FROM a",
+        "SELECT * FROM t_five TABLESAMPLE (1 ROWS) JOIN orc.`/tmp/x`", "SELECT transform(array(1), x -> reflect('a', 'b', x))", "INSERT INTO t SELECT 1", "SELECT * FROM a_table_function(1)",
     ],
 )
 def test_guard_refuses(spark, bad):
+    spark.range(5).createOrReplaceTempView("t_five")
     with pytest.raises(NotReadOnly):
         check(spark, bad)
 
@@ -113,6 +119,14 @@ def test_guard_allows(spark):
     assert guarded(spark, "SELECT * FROM range(100)", 10).count() == 11
     spark.range(5).createOrReplaceTempView("t_five")
     assert guarded(spark, "SELECT id FROM t_five ORDER BY id DESC -- the last").first().id == 4
+    others = [
+        "SELECT sum(id) OVER w AS s FROM t_five WINDOW w AS (PARTITION BY id % 2 ORDER BY id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)", "SELECT CASE WHEN id BETWEEN 1 AND 2 THEN 'a' WHEN id IN (3, 4) THEN 'b' END AS x, -id, NOT (id = 1 OR id IS NULL), CAST(id AS string) FROM t_five",
+        "SELECT x.a, filter(array(1, 2), y -> y > 1), map['k'] FROM (SELECT named_struct('a', id) AS x, from_json('{}', 'map<string,int>') AS map FROM t_five)", "SELECT id % 2 AS k, count(DISTINCT id) FROM t_five GROUP BY ROLLUP (id % 2) ORDER BY 1",
+        "SELECT * FROM t_five LATERAL VIEW explode(array(1, 2)) t AS x WHERE id LIKE '1%'", "SELECT * FROM VALUES (1, 'a') AS t(x, y)", "SELECT a.id FROM t_five a LEFT JOIN t_five b ON a.id = b.id + 1 WHERE b.id IS NULL",
+        "SELECT * FROM t_five, LATERAL (SELECT id + 1 AS n)", "SELECT id FROM t_five WHERE id > (SELECT avg(id) FROM t_five) EXCEPT SELECT 4", "SELECT trim(both ' ' FROM ' a ') AS t, extract(year FROM date '2020-01-01') AS y, current_date IS NOT NULL AS d",
+    ]
+    for sql in others:
+        guarded(spark, sql).collect()
     nested = "WITH a AS (SELECT id, id % 2 AS k FROM T_Five), b AS (SELECT k, count(*) AS n FROM a GROUP BY k HAVING n > 1) SELECT b.k, n, row_number() OVER (ORDER BY n) AS r FROM b JOIN a USING (k) WHERE n IN (SELECT n FROM b) AND EXISTS (SELECT 1 FROM a) UNION ALL SELECT 1, (SELECT max(id) FROM a), 0"
     assert guarded(spark, nested).count() == 6
 
