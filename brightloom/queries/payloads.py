@@ -30,7 +30,7 @@ def product_repair(spark, sf_dir):
     """Names of products as recognised, repaired and each once."""
     n, brand = F.col("p_name"), F.col("p_brand")
     said = F.array(F.concat(F.lit("20GX4 "), n), F.concat(brand, F.lit(" "), n, F.lit(" ,")), F.concat(F.lit("2024 "), F.upper(n), F.lit(" AWD")), n, F.lit("x"), F.lit("widget"), F.concat(F.lit("ORPHANS "), n))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(R.repaired_products(said, brand, MAKES), "|").alias("products"))
+    return R.repaired_products(table(spark, sf_dir, "part"), "p_partkey", said, brand, MAKES).select("p_partkey", F.array_join("products", "|").alias("products"))
 
 
 @registry.query("""
