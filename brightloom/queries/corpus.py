@@ -318,10 +318,10 @@ def _tagged(kind):
 
 @registry.query("""
     WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+-[0-9]+|[0-9]{3,}')) AS raw FROM documents)
-    SELECT doc_id, raw, try_cast(regexp_replace(raw, '[^0-9]', '', 'g') AS DOUBLE) AS amount, CASE WHEN contains(raw, '-') THEN 'range' ELSE 'plain' END AS family FROM n WHERE length(raw) <= 15""")
+    SELECT doc_id, raw, try_cast(regexp_replace(raw, '[^0-9]', '', 'g') AS DOUBLE) AS amount, CASE WHEN contains(raw, '-') THEN 'range' ELSE 'plain' END AS family FROM n""")
 def extract_prices_offers(spark, sf_dir):
     """Numbers as amounts with their family."""
-    n = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+-[0-9]+|[0-9]{3,}"), F.lit(0))).alias("raw")).where(F.length("raw") <= 15)
+    n = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+-[0-9]+|[0-9]{3,}"), F.lit(0))).alias("raw"))
     amount = F.regexp_replace("raw", "[^0-9]", "").try_cast("double")
     return n.select("doc_id", "raw", amount.alias("amount"), F.when(F.contains("raw", F.lit("-")), F.lit("range")).otherwise(F.lit("plain")).alias("family"))
 

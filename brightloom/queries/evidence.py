@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brightloom.functions import vectors as V
+from brightloom.operators import frontier
 from brightloom.queries.registry import Registry, table
 
 registry = Registry()
@@ -82,6 +83,34 @@ def crawl_targets(spark, sf_dir):
     return best.join(done, "target", "left_anti").select("target", F.col("b.page_id").alias("found_on"), (-F.col("b.p")).alias("priority"))
 
 
+_TITLE = "regexp_extract_all(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[a-z]{{{0},}}')"
+_ROUND = """t{1} AS (SELECT entity, target, min(priority) AS priority FROM (SELECT entity, l.target, l.priority FROM f{0} JOIN links l USING (page)) ANTI JOIN a{0} USING (entity, target) GROUP BY 1, 2),
+    a{1} AS (SELECT entity, target FROM a{0} UNION SELECT entity, target FROM t{1}), r{1} AS (SELECT entity, page FROM r{0} UNION SELECT entity, page FROM f{0}),
+    f{1} AS (SELECT entity, page, {1} AS depth, min(priority) AS priority, arg_min(target, (priority, target)) AS target FROM t{1} JOIN answers USING (target) ANTI JOIN r{1} USING (entity, page) GROUP BY 1, 2)"""
+
+
+@registry.query(f"""
+    WITH answers AS (SELECT DISTINCT page_id AS page, unnest({_TITLE.format(5)}) AS target FROM pages),
+    links AS (SELECT page, target, min(priority) AS priority FROM (SELECT page_id AS page, unnest(regexp_extract_all(html, '<a href="/([A-Za-z]+)"', 1)) AS word, CASE WHEN url LIKE 'https%' THEN 1 ELSE 2 END AS priority FROM pages), LATERAL (SELECT lower(word) AS target) GROUP BY 1, 2),
+    seen AS (SELECT item_id AS entity, item_id AS page FROM benchmark),
+    a1 AS (SELECT entity, target, min(priority) AS priority FROM (SELECT item_id AS entity, unnest(w) AS target, CASE WHEN generate_subscripts(w, 1) <= 3 THEN 0 ELSE 3 END AS priority FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{{5,}}') AS w FROM benchmark)) GROUP BY 1, 2),
+    r1 AS (SELECT * FROM seen), f1 AS (SELECT entity, page, 1 AS depth, min(priority) AS priority, arg_min(target, (priority, target)) AS target FROM a1 JOIN answers USING (target) ANTI JOIN r1 USING (entity, page) GROUP BY 1, 2),
+    {_ROUND.format(1, 2)}, {_ROUND.format(2, 3)}, {_ROUND.format(3, 4)}
+    SELECT entity, page, depth, priority, target FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3 UNION ALL SELECT * FROM f4""")
+def crawl_rounds(spark, sf_dir):
+    """Pages that four rounds reach for each item: words ask for pages by title, and the links of a page ask on."""
+    pages = table(spark, sf_dir, "pages")
+    title = F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    answers = pages.select(F.col("page_id").alias("page"), F.explode(F.regexp_extract_all(title, F.lit("[a-z]{5,}"), F.lit(0))).alias("target"))
+    words = F.explode(F.regexp_extract_all("html", F.lit('<a href="/([A-Za-z]+)"'), F.lit(1)))
+    links = pages.select(F.col("page_id").alias("page"), F.when(F.startswith("url", F.lit("https")), 1).otherwise(2).alias("priority"), words.alias("word")).select("page", F.lower("word").alias("target"), "priority")
+    items = table(spark, sf_dir, "benchmark")
+    asked = items.select(F.col("item_id").alias("entity"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("at", "target"))
+    seeds = asked.select("entity", "target", F.when(F.col("at") < 3, 0).otherwise(3).alias("priority"))
+    seen = items.select(F.col("item_id").alias("entity"), F.col("item_id").alias("page"))
+    return frontier.crawl(seeds, answers, links, 4, seen)
+
+
 @registry.query("""
     SELECT doc_id, instr(lower(text), 'worthless')::BIGINT AS at, substr(text, greatest(instr(lower(text), 'worthless') - 20, 1), 60) AS snippet FROM documents WHERE instr(lower(text), 'worthless') > 0""")
 def mention_snippets(spark, sf_dir):

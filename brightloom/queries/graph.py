@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brightloom.functions import text as X
 from brightloom.functions.identity import digest_id
 from brightloom.operators import merge as M
+from brightloom.operators import variants
 from brightloom.queries.registry import Registry, table
 
 registry = Registry()
@@ -180,6 +181,23 @@ def variant_collapse(spark, sf_dir):
     return best.select("variant", "base")
 
 
+_SPELLED = "string_agg('(?:' || t || CASE WHEN length(t) >= 2 THEN '|' || array_to_string(list_transform(string_split(t, ''), lambda c: c || '[a-z0-9]*'), ' ') ELSE '' END || ')', '(?: [a-z0-9 ]*)? ' ORDER BY i)"
+
+
+@registry.query(rf"""
+    WITH o AS (SELECT p_name || ' ' || lower(p_type) AS name FROM part UNION SELECT p_name FROM part UNION SELECT left(p_name, 1) || left(string_split(p_name, ' ')[2], 1) || ' ' || lower(p_type) FROM part),
+    b AS (SELECT name, '(?:^| )' || {_SPELLED} || '(?: |$)' AS found FROM (SELECT name, unnest(string_split(name, ' ')) AS t, generate_subscripts(string_split(name, ' '), 1) AS i FROM o WHERE length(replace(name, ' ', '')) >= 4) GROUP BY name),
+    j AS (SELECT o.name, b.name AS base FROM o JOIN b ON length(b.name) < length(o.name) AND len(string_split(b.name, ' ')) < len(string_split(o.name, ' ')) AND regexp_matches(o.name, b.found))
+    SELECT name, base FROM j QUALIFY row_number() OVER (PARTITION BY name ORDER BY length(base) DESC, base) = 1""")
+def variant_bases(spark, sf_dir):
+    """Every name with its longest base, whose words it has in order, spelled out or as initials."""
+    part = table(spark, sf_dir, "part")
+    kind = F.lower("p_type")
+    short = F.concat(F.left("p_name", F.lit(1)), F.left(F.split("p_name", " ")[1], F.lit(1)))
+    names = part.select(F.explode(F.array(F.concat_ws(" ", "p_name", kind), F.col("p_name"), F.concat_ws(" ", short, kind))).alias("name"))
+    return variants.base_names(names)
+
+
 @registry.query("""
     WITH e AS (SELECT o_custkey AS node, o_orderkey AS id, 'order' AS kind FROM orders WHERE o_totalprice > 400000 UNION SELECT l_suppkey, l_orderkey, 'line' FROM lineitem WHERE l_quantity >= 50)
     SELECT node, count(*) AS sources FROM e WHERE node < 50 GROUP BY node""")
