@@ -33,26 +33,6 @@ def product_repair(spark, sf_dir):
     return R.repaired_products(table(spark, sf_dir, "part"), "p_partkey", said, brand, MAKES).select("p_partkey", F.array_join("products", "|").alias("products"))
 
 
-@registry.query("""
-    WITH b AS (SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 THEN [] ELSE [lang] END AS offers, CASE WHEN d.doc_id % 2 = 0 THEN source END AS brand, ['low', 'medium', 'high'][d.doc_id % 3 + 1] AS density, quality FROM documents d LEFT JOIN labels USING (doc_id)),
-    x AS (SELECT doc_id, [source, lang] AS offers, lang AS brand, ['high', 'low'][doc_id % 2 + 1] AS density, 1 AS quality FROM documents)
-    SELECT b.doc_id, array_to_string(CASE WHEN len(b.offers) = 0 THEN x.offers ELSE b.offers END, '|') AS offers, coalesce(b.brand, x.brand) AS brand, coalesce(b.quality, x.quality) AS quality,
-           CASE WHEN 'high' IN (b.density, x.density) THEN 'high' WHEN 'medium' IN (b.density, x.density) THEN 'medium' ELSE 'low' END AS density FROM b JOIN x USING (doc_id)""")
-def merged_entities(spark, sf_dir):
-    """What a model found, filled up with what was extracted: empty lists, missing values, the higher density."""
-    key = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    own = F.when(key % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("lang"))
-    rank = lambda c: F.array_position(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), c)
-    a = F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (key % 3 + 1).cast("int"))
-    b = F.element_at(F.array(F.lit("high"), F.lit("low")), (key % 2 + 1).cast("int"))
-    offers = F.when(F.size(own) == 0, F.array("source", "lang")).otherwise(own)
-    return docs.select(
-        "doc_id", F.array_join(offers, "|").alias("offers"), F.coalesce(F.when(key % 2 == 0, F.col("source")), "lang").alias("brand"),
-        F.coalesce("quality", F.lit(1)).alias("quality"), F.when(rank(a) >= rank(b), a).otherwise(b).alias("density"),
-    )
-
-
 @registry.query("""
     WITH r AS (SELECT event_id, '{"campaigns": [{"name": "' || event_type || '", "confidence": ' || (event_id % 10) / 10.0 || '}], "badges": ["In partnership with ' || event_type || ' Co", "New"], cut off "note": "x' AS payload, props FROM events)
     SELECT event_id, event_type AS suggestion, CASE WHEN props LIKE '%"k"%' THEN json_extract_string(props, '$.k')::BIGINT END AS k, 'partner: ' || event_type || ' Co' AS badge
