@@ -15,7 +15,7 @@ from brightloom.functions.text import OFFER_VALUE, OFFER_WORDS
 from brightloom.operators import cluster, dedup, frames, weighted_dup
 from brightloom.operators.fingerprints import hex_bits, majority, word_hashes
 from brightloom.plans.shared import Scratch
-from brightloom.queries.registry import Registry, table
+from brightloom.queries.registry import Registry, hashed_sql, table
 from brightloom.sources.pages import page_text_links
 
 registry = Registry()
@@ -35,21 +35,12 @@ def exact_dup_hash(spark, sf_dir):
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 
-def _hashed(parts: int, name: str) -> str:
-    """SQL of ``name(doc_id, part, hi, lo)``: the majority bits of the words' MD5 in each of a text's stretches."""
-    sums = ", ".join(f"sum(({x} >> {i}) & 1) AS {x}{i}" for x in ("hi", "lo") for i in range(32))
-    whole = lambda x: " + ".join(f"CASE WHEN 2 * {x}{i} > n THEN {1 << i}::BIGINT ELSE 0 END" for i in range(32))
-    return f"""{name}_words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p, len(w) AS of FROM (SELECT doc_id, {_TOK} AS w FROM documents)),
-    {name}_votes AS (SELECT doc_id, (p * {parts}) // of AS part, count(*) AS n, {sums} FROM (SELECT *, ('0x' || substr(md5(word), 1, 8))::BIGINT AS hi, ('0x' || substr(md5(word), 9, 8))::BIGINT AS lo FROM {name}_words) GROUP BY 1, 2),
-    {name} AS (SELECT doc_id, part, {whole('hi')} AS hi, {whole('lo')} AS lo FROM {name}_votes)"""
-
-
 _HAM = "bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo))"
 NEAR_BITS = 4
 
 
 @registry.query(f"""
-    WITH {_hashed(1, 'r')}, d AS (SELECT hi, lo, min(doc_id) AS class_id FROM r GROUP BY hi, lo),
+    WITH {hashed_sql(1, 'r')}, d AS (SELECT hi, lo, min(doc_id) AS class_id FROM r GROUP BY hi, lo),
     n AS (SELECT a.hi, a.lo, count(*) AS links FROM d a JOIN d b ON (a.hi <> b.hi OR a.lo <> b.lo) AND {_HAM} <= {NEAR_BITS} GROUP BY a.hi, a.lo)
     SELECT documents.doc_id, class_id, CASE WHEN class_id IS NOT NULL THEN coalesce(links, 0) END AS links FROM documents LEFT JOIN r USING (doc_id) LEFT JOIN d USING (hi, lo) LEFT JOIN n USING (hi, lo)""")
 def near_dup_phash(spark, sf_dir):
@@ -60,7 +51,7 @@ def near_dup_phash(spark, sf_dir):
 
 
 @registry.query(f"""
-    WITH {_hashed(1, 'd')}, q AS (SELECT hi, lo FROM d WHERE doc_id = 0)
+    WITH {hashed_sql(1, 'd')}, q AS (SELECT hi, lo FROM d WHERE doc_id = 0)
     SELECT a.doc_id, ({_HAM})::BIGINT AS distance FROM d a, q b WHERE a.doc_id <> 0 ORDER BY 2, 1 LIMIT 1""")
 def nearest_hamming(spark, sf_dir):
     """The document whose hash is nearest to a given one's."""
@@ -71,7 +62,7 @@ def nearest_hamming(spark, sf_dir):
 
 
 @registry.query(f"""
-    WITH {_hashed(1, 'd')}, b AS (SELECT source, i AS bit, CASE WHEN i >= 32 THEN (hi >> (i - 32)) & 1 ELSE (lo >> i) & 1 END AS v FROM d JOIN documents USING (doc_id), range(64) r(i))
+    WITH {hashed_sql(1, 'd')}, b AS (SELECT source, i AS bit, CASE WHEN i >= 32 THEN (hi >> (i - 32)) & 1 ELSE (lo >> i) & 1 END AS v FROM d JOIN documents USING (doc_id), range(64) r(i))
     SELECT source, bit::BIGINT AS bit, 2 * sum(v) >= count(*) AS is_set FROM b GROUP BY source, bit""")
 def mean_phash_bits(spark, sf_dir):
     """Majority vote over all bits of a group's hashes; half of the votes set a bit."""
@@ -100,7 +91,7 @@ def _dup_items(spark, sf_dir):
 
 
 @registry.query(f"""
-    WITH {_hashed(10, 'f')}, {_hashed(1, 'm')},
+    WITH {hashed_sql(10, 'f')}, {hashed_sql(1, 'm')},
     i AS (SELECT doc_id, n_chars AS duration, coalesce(text, '') AS text, coalesce(reply, '') AS transcript FROM documents LEFT JOIN (SELECT conv_id AS doc_id, max(text) AS reply FROM conversations WHERE turn = 1 GROUP BY 1) USING (doc_id)),
     c AS (SELECT min(doc_id) AS class_id, count(*) AS copies, duration, text, transcript FROM i GROUP BY duration, text, transcript),
     x AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) FILTER ({_HAM} <= 6) AS close FROM f a JOIN f b ON a.part = b.part AND a.doc_id < b.doc_id WHERE a.doc_id IN (SELECT class_id FROM c) AND b.doc_id IN (SELECT class_id FROM c) GROUP BY 1, 2),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from brightloom.functions import vectors as V
 from brightloom.operators import frontier
-from brightloom.queries.registry import Registry, table
+from brightloom.operators.fingerprints import word_hashes
+from brightloom.queries.registry import Registry, hashed_sql, table
 
 registry = Registry()
 #: The letters on a telephone keypad and their digits.
@@ -129,15 +130,14 @@ def freshness_guard(spark, sf_dir):
     return s.select("user_id", guard.alias("guard"))
 
 
-@registry.query("""
-    WITH h AS (SELECT doc_id // 8 AS item, doc_id % 8 AS frame, substr(md5(text), 1, 16) AS h FROM documents)
-    SELECT a.item AS item, round(avg(CASE WHEN bit_count(xor(('0x' || substr(a.h, 1, 8))::BIGINT, ('0x' || substr(b.h, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr(a.h, 9, 8))::BIGINT, ('0x' || substr(b.h, 9, 8))::BIGINT)) <= 30 THEN 1.0 ELSE 0.0 END), 6) AS ratio
-    FROM h a JOIN h b ON b.item = a.item + 1 AND a.frame = b.frame GROUP BY a.item""")
+@registry.query(f"""
+    WITH {hashed_sql(1, 'f')}, h AS (SELECT doc_id // 8 AS item, doc_id % 8 AS frame, hi, lo FROM f)
+    SELECT a.item AS item, round(avg(CASE WHEN bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 24 THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM h a JOIN h b ON b.item = a.item + 1 AND a.frame = b.frame GROUP BY a.item""")
 def frame_match_ratio(spark, sf_dir):
-    """Share of frames in the same place of two neighbouring items that look alike."""
-    h = table(spark, sf_dir, "documents").select(F.expr("doc_id div 8").alias("item"), (F.col("doc_id") % 8).alias("frame"), F.substring(F.md5(F.col("text").cast("binary")), 1, 16).alias("h"))
+    """Share of frames in the same place of two neighbouring items that look alike; a frame is a document's hash."""
+    h = word_hashes(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.expr("id div 8").alias("item"), (F.col("id") % 8).alias("frame"), "h")
     other = h.select((F.col("item") - 1).alias("item"), "frame", F.col("h").alias("h2"))
-    alike = F.when(V.hamming_hex(F.col("h"), F.col("h2")) <= 30, 1.0).otherwise(0.0)
+    alike = F.when(V.hamming_hex(F.col("h"), F.col("h2")) <= 24, 1.0).otherwise(0.0)
     return h.join(other, ["item", "frame"]).groupBy("item").agg(F.round(F.avg(alike), 6).alias("ratio"))
 
 

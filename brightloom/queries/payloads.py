@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions import repair as R
 from brightloom.functions import salvage
+from brightloom.operators import campaigns
 from brightloom.queries.registry import Registry, table
 
 registry = Registry()
@@ -33,19 +34,49 @@ def product_repair(spark, sf_dir):
     return R.repaired_products(table(spark, sf_dir, "part"), "p_partkey", said, brand, MAKES).select("p_partkey", F.array_join("products", "|").alias("products"))
 
 
-@registry.query("""
-    WITH r AS (SELECT event_id, '{"campaigns": [{"name": "' || event_type || '", "confidence": ' || (event_id % 10) / 10.0 || '}], "badges": ["In partnership with ' || event_type || ' Co", "New"], cut off "note": "x' AS payload, props FROM events)
-    SELECT event_id, event_type AS suggestion, CASE WHEN props LIKE '%"k"%' THEN json_extract_string(props, '$.k')::BIGINT END AS k, 'partner: ' || event_type || ' Co' AS badge
-    FROM r JOIN events USING (event_id, props) WHERE event_id % 10 >= 6""")
+def _campaign_items(spark, sf_dir):
+    """Parts as items: what they suggest as JSON, every seventh of it cut off, and badges."""
+    part = table(spark, sf_dir, "part")
+    named = F.struct(F.concat_ws(" ", "p_brand", "p_name").alias("name"), F.when(F.col("p_size") % 5 > 0, F.col("p_size") / 50).alias("confidence"))
+    days = F.concat(F.lit("The  "), "p_type", F.lit(" Days -"))
+    said = F.concat(F.lit("["), F.to_json(named), F.lit(', "'), days, F.lit('"]'))
+    said = F.when(F.col("p_partkey") % 7 == 0, F.left(said, F.length(said) - 3)).otherwise(said)
+    badges = F.to_json(F.struct(F.array(F.concat(F.lit("Proud official  partner of "), "p_name"), F.concat(F.lit("New "), "p_type")).alias("badges")))
+    return part.select("p_partkey", "p_brand", "p_name", "p_type", "p_size", said.alias("said"), F.when(F.col("p_size") % 3 == 0, badges).alias("badges"))
+
+
+_SIGNALS = """
+    named AS (SELECT p_partkey AS id, p_brand AS brand, p_name AS key, p_brand || ' ' || p_name AS name, CASE WHEN p_size % 5 > 0 THEN p_size / 50 ELSE 1.0 END::DOUBLE AS confidence FROM part WHERE p_partkey % 7 <> 0),
+    sure AS (SELECT * FROM named WHERE confidence >= 0.5),
+    signals AS (SELECT * FROM sure UNION ALL SELECT p_partkey, p_brand, lower(p_type) || ' days', 'The ' || p_type || ' Days', 1.0 FROM part WHERE p_partkey % 7 <> 0
+        UNION ALL SELECT p_partkey, p_brand, p_name, p_name, 0.9 FROM part WHERE p_size % 3 = 0 AND p_partkey NOT IN (SELECT id FROM sure))"""
+
+
+@registry.query(f"WITH {_SIGNALS} SELECT id, brand, key, name, round(confidence, 6) AS confidence FROM signals")
 def campaign_suggestions(spark, sf_dir):
-    """Campaigns that a payload suggests with enough confidence, and the partner that a badge names."""
-    e = table(spark, sf_dir, "events")
-    body = F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("name"), ((F.col("event_id") % 10) / 10).alias("confidence"))).alias("campaigns"), F.array(F.concat(F.lit("In partnership with "), "event_type", F.lit(" Co")), F.lit("New")).alias("badges")))
-    read = F.from_json(body, "struct<campaigns:array<struct<name:string,confidence:double>>,badges:array<string>>")
-    rows = e.select("event_id", "props", read.alias("r"))
-    found = rows.select("event_id", F.inline(F.filter("r.campaigns", lambda c: c["confidence"] >= 0.6)), F.get_json_object("props", "$.k").cast("bigint").alias("k"), "r.badges")
-    partner = F.regexp_extract(F.filter("badges", lambda b: F.regexp_like(b, F.lit("^In partnership with ")))[0], "^In partnership with (.*)$", 1)
-    return found.select("event_id", F.col("name").alias("suggestion"), "k", F.concat(F.lit("partner: "), partner).alias("badge"))
+    """Campaigns that an item's JSON suggests with enough confidence, and those that its badges name."""
+    found = campaigns.signals(_campaign_items(spark, sf_dir), "p_partkey", "p_brand", F.col("said"), F.col("badges"))
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
+@registry.query(f"""
+    WITH {_SIGNALS}, sold AS (SELECT l_partkey AS id, min(l_shipdate) AS sold_at FROM lineitem GROUP BY 1),
+    items AS (SELECT p_partkey AS id, sold_at, p_type AS offer, p_name AS product FROM part LEFT JOIN sold ON id = p_partkey WHERE p_size <> 13),
+    r AS (SELECT * FROM signals JOIN items USING (id)), once AS (SELECT DISTINCT brand, key, id, sold_at, offer, product FROM r),
+    g AS (SELECT brand, key, count(*) AS n, min(sold_at) AS start, max(sold_at) AS "end", sum(('0x' || substr(md5(id::VARCHAR), 1, 12))::BIGINT) AS mark FROM once GROUP BY 1, 2 HAVING count(*) >= 2),
+    k AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY brand, n, mark ORDER BY key) = 1),
+    called AS (SELECT brand, key, name FROM (SELECT brand, key, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS words, count(*) AS n, round(sum(confidence), 9) AS sure, min(name) AS name FROM r GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY brand, key ORDER BY n DESC, sure DESC, lower(name), name) = 1),
+    offers AS (SELECT brand, key, offer FROM once GROUP BY brand, key, offer QUALIFY row_number() OVER (PARTITION BY brand, key ORDER BY count(*) DESC, offer) = 1),
+    goods AS (SELECT brand, key, string_agg(product, '|' ORDER BY nth) AS products FROM (SELECT brand, key, product, row_number() OVER (PARTITION BY brand, key ORDER BY count(*) DESC, product) AS nth FROM once GROUP BY brand, key, product) WHERE nth <= 5 GROUP BY 1, 2)
+    SELECT brand, key, CASE WHEN starts_with(name, brand) THEN name ELSE brand || ' ' || name END AS name, CASE WHEN starts_with(name, brand) THEN trim(substr(name, length(brand) + 1)) ELSE name END AS theme, n, start, "end", offer, products, mark::VARCHAR AS mark
+    FROM k JOIN called USING (brand, key) LEFT JOIN offers USING (brand, key) LEFT JOIN goods USING (brand, key)""")
+def campaign_candidates(spark, sf_dir):
+    """Campaigns proposed from items that share a signal: names, dates, offer and products in common; assigned items left out."""
+    parts = _campaign_items(spark, sf_dir)
+    sold = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.min("l_shipdate").alias("at"))
+    items = parts.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("offer"), F.col("p_name").alias("product"), (F.col("p_size") == 13).alias("assigned")).join(sold, "id", "left")
+    found = campaigns.candidates(campaigns.signals(parts, "p_partkey", "p_brand", F.col("said"), F.col("badges")), items)
+    return found.select("brand", "key", "name", "theme", "n", "start", "end", "offer", F.array_join("products", "|").alias("products"), F.col("items_mark").cast("string").alias("mark"))
 
 
 def _answers(spark, sf_dir):
