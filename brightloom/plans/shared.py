@@ -20,14 +20,17 @@ _own: dict[str, str] = {}  # folders made for applications that name none
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set, a temporary one in local mode and one in the warehouse elsewhere."""
+    """The cluster's shared folder; where none is set, a temporary one in local mode and one in a shared warehouse elsewhere."""
     root = spark.conf.get(SETTING, None)
     if not root:
         context = spark.sparkContext
         app = context.applicationId
         if app not in _own:
             local = context.master.startswith("local") and not context.master.startswith("local-cluster")
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="brightloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+            warehouse = spark.conf.get("spark.sql.warehouse.dir")
+            if not local and warehouse.startswith("file:"):
+                raise RuntimeError(f"{SETTING} names no folder that all executors share, and the warehouse is local to a machine")
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="brightloom-") if local else f"{warehouse.rstrip('/')}/_scratch"
         root = _own[app]
     return root.rstrip("/")
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.operators import retrieval as R
+from brightloom.operators.search_engine import Knobs, SearchEngine
 from brightloom.plans.sqlguard import guarded
+from brightloom.sources.snapshots import KeyedTable
 
 MAX_ROWS = 50
 
@@ -38,6 +41,31 @@ def similar(spark: SparkSession, view: str, seed: int, k: int = 10, floor: float
     return R.nearest(rows.where(F.col("vec_id") != seed), R.seed_vector(rows, seed), min(k, MAX_ROWS), metric="cosine").where(F.col("similarity") >= floor)
 
 
+def hybrid(spark: SparkSession, documents: str, query: str, vectors: DataFrame | None = None, vector: list[float] | None = None, k: int = 10) -> DataFrame:
+    """Best documents of a table of files for a query, by its index and, where a vector is given, by vectors; words alone otherwise."""
+    if not query.strip():
+        raise ValueError("a query is required")
+    asked = spark.createDataFrame([(0, 0, query, None, vector)], "qid int, nth int, text string, seed long, vector array<double>")
+    none = spark.createDataFrame([], "id long, embedding array<double>")
+    engine = SearchEngine(spark, R.open_index(spark, documents), none if vectors is None else vectors, knobs=Knobs(k=min(k, MAX_ROWS)))
+    return engine.search(asked, "tool").drop("qid")
+
+
+def time_vectors(spark: SparkSession, vectors: DataFrame, path: str, k: int = 10, queries: int = 5) -> DataFrame:
+    """``vectors, dim, k, insert_ms, search_ms``: how long it takes to put ``vectors(id, embedding)`` into a keyed table and to find the ``k`` nearest of some of them."""
+    table = KeyedTable(spark, path)
+    start = time.perf_counter()
+    table.create(vectors.select("id", "embedding"), ["id"])
+    insert, rows = time.perf_counter() - start, table.read()
+    n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    seeds = [r.id for r in rows.orderBy("id").limit(queries).collect()]
+    start = time.perf_counter()
+    for seed in seeds:
+        R.nearest(rows, rows.where(F.col("id") == seed).select(F.col("embedding").alias("q")), k, "id").collect()
+    each = (time.perf_counter() - start) / max(1, len(seeds))
+    return spark.createDataFrame([(n, dim, k, round(1000 * insert, 3), round(1000 * each, 3))], "vectors long, dim int, k int, insert_ms double, search_ms double")
+
+
 def sql(spark: SparkSession, statement: str, limit: int = MAX_ROWS) -> DataFrame:
     """A read-only statement."""
     return guarded(spark, statement, min(limit, MAX_ROWS))
@@ -49,4 +77,4 @@ def schema_summary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "view string, column string, type string")
 
 
-TOOLS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (count_rows, aggregate, search_text, similar, sql, schema_summary)}
+TOOLS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (count_rows, aggregate, search_text, similar, hybrid, time_vectors, sql, schema_summary)}

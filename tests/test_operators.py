@@ -143,6 +143,19 @@ def test_tools_and_embeddings(spark):
     assert HashEmbedder(16).embed(["tree"])[0] == pytest.approx(same[2].embedding, abs=1e-6)
 
 
+def test_hybrid_tool_and_vector_timing(spark, tmp_path):
+    path = str(tmp_path / "docs.parquet")
+    spark.createDataFrame([(1, "red car"), (2, "blue car car"), (3, "tree")], "doc_id long, text string").write.parquet(path)
+    assert [(r.id, r.source) for r in tools.TOOLS["hybrid"](spark, path, "tree car").collect()][0] == (3, "keyword")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 30)], "id long, embedding array<double>")
+    both = tools.TOOLS["hybrid"](spark, path, "tree", vectors, [3.0, 1.0], 4).collect()
+    assert both[0].source == "keyword+vector" and both[0].id == 3 and len(both) == 4
+    with pytest.raises(ValueError):
+        tools.TOOLS["hybrid"](spark, path, " ")
+    told = tools.TOOLS["time_vectors"](spark, vectors, f"file://{tmp_path}/v", 5).first()
+    assert (told.vectors, told.dim, told.k) == (29, 2, 5) and told.insert_ms > 0 and told.search_ms > 0
+
+
 def test_an_index_that_documents_changed_in(spark, tmp_path):
     docs = [(1, "red car car"), (2, "blue car"), (3, "red red tree"), (4, "")]
     table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
