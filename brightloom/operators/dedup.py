@@ -76,14 +76,15 @@ def text_classes(docs: DataFrame, block: str, tolerance: int = 20, least: tuple[
     ordered = F.array_sort(F.transform("grams", lambda g: F.xxhash64(g)))
     # No bigrams on either side is a similarity of one.
     keys = F.when(n == 0, F.array(F.lit(0).cast("long"))).otherwise(F.slice(ordered, F.lit(1), F.greatest(first, F.lit(1))))
-    keyed = scratch.keep(rows.select("class_id", block, "n_chars", n.alias("n"), F.explode(keys).alias("key")), "keyed")
+    keyed = scratch.keep(rows.select("class_id", block, "n_chars", n.alias("n"), F.posexplode(keys).alias("p", "key")), "keyed")
     # Lengths within the tolerance fall into the same bucket or into neighbouring ones.
     left = keyed.select("*", F.explode(F.array(*[F.floor(F.col("n_chars") / tolerance) + d for d in (-1, 0, 1)])).alias("bucket")).alias("l")
     right = keyed.select("*", F.floor(F.col("n_chars") / tolerance).alias("bucket")).alias("r")
     same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (block, "key", "bucket")]
     near = (F.col("l.class_id") < F.col("r.class_id")) & (F.abs(F.col("l.n_chars") - F.col("r.n_chars")) <= tolerance)
-    # Sets that similar have close sizes.
+    # Sets that similar have close sizes, and enough bigrams from their first common one on.
     near = near & (under * F.least("l.n", "r.n") >= over * F.greatest("l.n", "r.n"))
+    near = near & ((over + under) * F.least(F.col("l.n") - F.col("l.p"), F.col("r.n") - F.col("r.p")) >= over * (F.col("l.n") + F.col("r.n")))
     met = scratch.keep(left.join(right, [*same, near]).select(F.col("l.class_id").alias("left"), F.col("r.class_id").alias("right")).distinct(), "met")
     # Only pairs that met carry their bigrams.
     side = lambda p, c: rows.select(F.col("class_id").alias(c), F.col("grams").alias(f"{p}_grams"), F.col("sig").alias(f"{p}_sig"))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brightloom.functions import repair as R
-from brightloom.functions import text as X
 from brightloom.operators import merge
 from brightloom.queries.registry import Registry, table
 

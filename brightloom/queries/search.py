@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from brightloom.functions import text as X
 from brightloom.functions import vectors as V
 from brightloom.operators import retrieval as R
-from brightloom.plans.shared import Scratch
 from brightloom.queries.registry import Registry, table
 
 registry = Registry()
