@@ -15,7 +15,8 @@ blocks themselves.
 
 Defined cases: a null text counts as empty, and all empty texts are equal; a
 null id sorts below every other; of rows with the same text and the same id,
-one stays; an empty table gives an empty result; further columns, whatever
+one stays; a very long text is cut into more blocks and takes more levels; an
+empty table gives an empty result; further columns, whatever
 their names, are left out of the result of ``exact_groups`` and untouched by
 ``exact_dedup``.
 """

@@ -10,7 +10,8 @@ stream's blocks together where they are decoded and takes digests and features.
 
 Defined cases: a null text counts as empty, which is stored as 192 blanks; a
 null stream has no samples and null features; repeated rows give equal
-streams; an empty table gives an empty result; other columns are ignored.
+streams; a very long text is one stream of many frames; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -23,8 +23,8 @@ descending order of size. A source with a third of all rows fills more buckets,
 
 Defined cases: a null text has size 0; documents of size 0 take no words and
 count no copy beyond the whole part; a null source is a source of its own,
-last in order; rows with a null or repeated id are rounded separately; an
-empty table gives an empty result; clashing columns are left out of the plan
+last in order; rows with a null or repeated id are rounded separately; a
+very long text is a large document, rounded before smaller ones; an empty table gives an empty result; clashing columns are left out of the plan
 and untouched in the mixed rows.
 """
 

@@ -15,8 +15,9 @@ is left at a shard's end is cut into powers of two, which need no padding.
 
 Defined cases: a null text counts as empty; an empty text has the closing id
 alone and is packed; null and repeated ids are packed row by row; equal scores
-are ranked by arrival; an empty table gives no pieces; other columns are
-ignored.
+are ranked by arrival; a very long text fills windows of its own and goes on in
+further ones; an empty table gives no pieces; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations

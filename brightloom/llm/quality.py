@@ -18,8 +18,10 @@ ASCII marks, word and line shapes, and repetition.
 Defined cases: null and empty texts have the features of an empty text and get
 a score; labels that are null, or that name no document, are ignored; without
 labels of both kinds nothing can be preferred and every document scores
-``NO_PREFERENCE``; repeated rows score alike; an empty table gives an empty
-result.
+``NO_PREFERENCE``; repeated rows score alike; a very long text is read whole;
+labelled rows of equal hash, and scores that equal the cut, count on the same
+side; an empty table gives an empty result; further columns, whatever their
+names, are untouched by ``keep_good`` and are no inputs of a score.
 """
 
 from __future__ import annotations

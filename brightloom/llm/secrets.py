@@ -15,8 +15,8 @@ Offsets are code points, the end exclusive. Spans of one kind do not overlap.
 
 Defined cases: a null text counts as empty and has no spans; candidates that
 do not decode, or decode to no such structure, are not reported; repeated rows
-report alike; an empty table gives an empty result; columns other than id and
-text are ignored.
+report alike; a very long text is searched whole; an empty table gives an empty
+result; columns other than id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -37,8 +37,9 @@ Order is by id, then row, then place; a null id comes first. Every byte that a
 repeated string covers goes; strings are judged on the input.
 
 Defined cases: null and empty texts, and texts of less than 100 bytes, lose
-nothing; of repeated rows the first in the scan's order keeps its bytes; an
-empty table gives an empty result; other columns are ignored.
+nothing; of repeated rows the first in the scan's order keeps its bytes; a very
+long text is read in pieces that overlap; an empty table gives an empty result;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

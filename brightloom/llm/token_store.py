@@ -19,7 +19,8 @@ that root. Anything that doesn't match raises.
 
 Defined cases: a null text counts as empty; an empty text has the closing id
 alone; null ids come first in order; rows with the same id are ordered by root
-and stored each; an empty table gives empty tables; other columns are ignored.
+and stored each; a very long text is a recipe of many chunks; an empty table
+gives empty tables; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
