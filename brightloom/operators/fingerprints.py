@@ -28,28 +28,42 @@ def _half(count: Column, high: bool, at_least: bool) -> Column:
     return whole
 
 
-def majority(rows: DataFrame, keys: list[str], bits: str, name: str = "h", at_least: bool = False) -> DataFrame:
-    """``keys, n`` and the bits that more than half (or at least half) of a group's 64-bit numbers have, as hex.
+def votes(rows: DataFrame, keys: list[str], bits: str) -> DataFrame:
+    """``keys, n`` and the sums that count a group's ones; each task sends one row a group."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *_votes(F.col(bits)))
+
+
+def votes_together(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """The votes of larger groups out of those of smaller ones."""
+    return counted.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(f"v{i}").alias(f"v{i}") for i in range(LANES)])
 
-    Each task sends one row of 32 sums a group.
-    """
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *_votes(F.col(bits)))
+
+def decided(counted: DataFrame, keys: list[str], name: str = "h", at_least: bool = False) -> DataFrame:
+    """``keys, n`` and the bits that more than half (or at least half) of a group's numbers have, as hex."""
     digits = [F.lpad(F.lower(F.hex(_half(F.col("n"), high, at_least))), 8, "0") for high in (True, False)]
     return counted.select(*keys, "n", F.concat(*digits).alias(name))
 
 
+def majority(rows: DataFrame, keys: list[str], bits: str, name: str = "h", at_least: bool = False) -> DataFrame:
+    """The majority bits of each group's 64-bit numbers."""
+    return decided(votes(rows, keys, bits), keys, name, at_least)
+
+
 def hex_bits(h: Column) -> Column:
     """16 hex digits as a signed 64-bit number; null for any other string."""
     halves = [F.conv(F.substring(h, at, 8), 16, 10).cast("long") for at in (1, 9)]
     return F.when(F.regexp_like(h, F.lit("^[0-9a-fA-F]{16}$")), F.shiftleft(halves[0], 32).bitwiseOR(halves[1]))
 
 
-def word_hashes(rows: DataFrame, id_col: str, text_col: str, parts: int = 1) -> DataFrame:
-    """``id, part, n, h``: a hash for each of ``parts`` equal stretches of a text's words, none for an empty one.
-
-    A bit is set when most words of the stretch have it in their MD5.
-    """
+def word_votes(rows: DataFrame, id_col: str, text_col: str, parts: int = 1) -> DataFrame:
+    """``id, part, n`` and the votes of the words' MD5 in each of ``parts`` equal stretches of a text's words, none for an empty one."""
     words = rows.select(F.col(id_col).alias("id"), X.tokens(F.col(text_col)).alias("w"))
     each = words.select("id", F.size("w").alias("of"), F.posexplode("w").alias("at", "word"))
-    digest = F.md5(F.col("word").cast("binary"))
-    return majority(each.select("id", F.expr(f"(at * {parts}L) div of").cast("int").alias("part"), hex_bits(F.substring(digest, 1, 16)).alias("bits")), ["id", "part"], "bits")
+    half = lambda at: F.conv(F.substring("digest", at, 8), 16, 10).cast("long")
+    each = each.select("id", F.expr(f"(at * {parts}L) div of").cast("int").alias("part"), F.md5(F.col("word").cast("binary")).alias("digest"))
+    return votes(each.select("id", "part", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("bits")), ["id", "part"], "bits")
+
+
+def word_hashes(rows: DataFrame, id_col: str, text_col: str, parts: int = 1) -> DataFrame:
+    """``id, part, n, h``: a hash for each stretch; a bit is set when most words of the stretch have it in their MD5."""
+    return decided(word_votes(rows, id_col, text_col, parts), ["id", "part"])

@@ -13,7 +13,7 @@ from brightloom.functions import text as X
 from brightloom.functions import vectors as V
 from brightloom.functions.text import OFFER_VALUE, OFFER_WORDS
 from brightloom.operators import cluster, dedup, frames, weighted_dup
-from brightloom.operators.fingerprints import hex_bits, majority, word_hashes
+from brightloom.operators.fingerprints import decided, hex_bits, majority, votes_together, word_hashes, word_votes
 from brightloom.plans.shared import Scratch
 from brightloom.queries.registry import Registry, hashed_sql, table
 from brightloom.sources.pages import page_text_links
@@ -83,8 +83,10 @@ _TERMS = f"""list_distinct(list_concat(list_transform(regexp_extract_all({_SAID}
 def _dup_items(spark, sf_dir):
     """Documents as items: stretches of words as frames, characters as duration, the reply of a conversation as transcript."""
     docs = table(spark, sf_dir, "documents")
-    frames = word_hashes(docs, "doc_id", "text", 10).groupBy(F.col("id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("part").alias("number"), F.col("h").alias("hash"))).alias("frames"))  # ten at most
-    mean = word_hashes(docs, "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("h").alias("mean_hash"))
+    # Counted once: the votes of the stretches together are those of the text.
+    counted = Scratch(spark, "votes").keep(word_votes(docs, "doc_id", "text", 10), "votes")
+    frames = decided(counted, ["id", "part"]).groupBy(F.col("id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("part").alias("number"), F.col("h").alias("hash"))).alias("frames"))  # ten at most
+    mean = decided(votes_together(counted, ["id"]), ["id"]).select(F.col("id").alias("doc_id"), F.col("h").alias("mean_hash"))
     reply = table(spark, sf_dir, "conversations").where("turn = 1").groupBy(F.col("conv_id").alias("doc_id")).agg(F.max("text").alias("transcript"))
     rows = docs.select("doc_id", F.col("n_chars").alias("duration"), "text").join(frames, "doc_id", "left").join(mean, "doc_id", "left").join(reply, "doc_id", "left")
     return rows
