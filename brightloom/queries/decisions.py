@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brightloom.functions import merging as M
-from brightloom.operators import decide
+from brightloom.operators import decide, entities
 from brightloom.queries.registry import Registry, table
 
 registry = Registry()
@@ -97,3 +97,27 @@ def merged_entities(spark, sf_dir):
     other = F.struct(F.lit("other").alias("text"), F.col("apr").alias("apr"))
     rows = rows.select("key", "a", "b", stated.alias("stated"), seen.alias("seen"), M.filled_struct(own, other, "text", ["apr"]).alias("f")).withColumn("offers", M.upgraded_list(F.col("a"), F.col("b")))
     return rows.select(F.col("key").alias("id"), F.array_join(M.once_by_key(F.col("offers")), "|").alias("offers"), M.denser(F.col("stated"), F.col("seen")).alias("density"), F.col("f.text").alias("financing"), F.col("f.apr").alias("apr"))
+
+
+@registry.query("""
+    WITH r AS (SELECT o_orderkey AS id, o_orderkey % 5 = 0 AS cut, o_orderstatus, o_totalprice, o_custkey % 60 AS months, o_orderpriority, c_name, c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey)
+    SELECT id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Builders Inc.' ELSE upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) END AS brand,
+           CASE WHEN o_orderstatus <> 'F' THEN 'Deal ' || o_orderpriority END AS promotion,
+           CASE WHEN id % 2 = 0 THEN '$' ELSE 'CHF ' END || format('{:,.2f}', o_totalprice) AS prices,
+           CASE WHEN id % 3 = 0 THEN c_mktsegment ELSE 'save on ' || c_name END || CASE WHEN NOT cut THEN '|€' || format('{:,.2f}', o_totalprice / 10) || '/mo' || CASE WHEN months > 0 THEN ' ' || months || '-mo' ELSE '' END || CASE WHEN id % 4 > 0 THEN ' ' || (id % 4) || '.5% APR' ELSE '' END ELSE '' END AS offers,
+           CASE WHEN cut THEN 0 ELSE 1 END AS evidence FROM r""")
+def mapped_entities(spark, sf_dir):
+    """Answers about orders read into brand, promotion, prices and offers; every fifth answer breaks off before its terms."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    prices = F.array(F.struct(F.when(key % 2 == 0, "usd").otherwise("CHF").alias("currency"), price.alias("amount")), F.struct(F.lit("USD").alias("currency"), F.lit(0.0).alias("amount")))
+    offers = F.array(F.struct(F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("save on "), "c_name")).alias("value"), F.col("c_mktsegment").alias("type")))
+    front = F.to_json(F.struct(F.struct(F.concat(F.lit(" "), F.lower("c_mktsegment"), F.lit("®")).alias("name")).alias("brand"), F.when(F.col("o_orderstatus") == "F", "n/a").otherwise(F.concat(F.lit("Deal   "), "o_orderpriority")).alias("promotion"), prices.alias("prices"), offers.alias("offers")))
+    terms = F.struct(F.lit("EUR").alias("currency"), (price / 10).alias("monthly"), (F.col("o_custkey") % 60).cast("int").alias("months"), F.when(key % 4 > 0, key % 4 + 0.5).alias("apr"))
+    back = F.to_json(F.struct(terms.alias("financing"), F.array(F.struct(F.lit(" ").alias("text"), F.col("o_orderpriority").alias("reason")), F.struct(F.lit("").alias("text"), F.lit(None).cast("string").alias("reason"))).alias("evidence")))
+    whole = F.concat(F.left(front, F.length(front) - 1), F.lit(","), F.substr(back, F.lit(2)))
+    said = F.when(key % 5 == 0, F.left(whole, F.length(front) + 8)).otherwise(whole)
+    aliases = spark.createDataFrame([("building", "Builders Inc.")], "name string, brand string")
+    found = entities.mapped(rows.select(key.alias("id"), said.alias("said")), "id", "said", aliases)
+    return found.select("id", "brand", "promotion", F.array_join("prices", "|").alias("prices"), F.array_join("offers", "|").alias("offers"), F.size("evidence").alias("evidence"))

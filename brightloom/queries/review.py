@@ -373,14 +373,13 @@ _POLLS = [("429", "rate limit", "rate_limited", True), ("401", "unauthorized", "
 
 
 @registry.query("""
-    WITH e AS (SELECT event_id, [429, 401, 403, 408, 500, 200][event_id % 6 + 1] AS status, CASE WHEN event_id % 7 = 0 THEN 'Rate limit reached' WHEN event_id % 11 = 0 THEN 'connection timed out' ELSE event_type END AS message FROM events)
+    WITH e AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 400 + json_extract_string(props, '$.k')::INTEGER % 30 ELSE 200 END AS status, CASE WHEN value > 150 THEN 'Rate limit reached' WHEN value > 100 THEN 'connection timed out' ELSE event_type END AS message FROM events)
     SELECT event_id, CASE WHEN status = 200 THEN 'ok' """ + " ".join(f"WHEN status = {s} OR contains(lower(message), '{w}') THEN '{c}'" for s, w, c, _ in _POLLS) + """ ELSE 'unknown' END AS category,
            CASE WHEN status = 200 THEN false """ + " ".join(f"WHEN status = {s} OR contains(lower(message), '{w}') THEN {str(r).lower()}" for s, w, _, r in _POLLS) + """ ELSE false END AS retryable FROM e""")
 def poll_diagnostics(spark, sf_dir):
     """The class of a poll's outcome by status and message, and whether to try again."""
-    key = F.col("event_id")
-    status = F.element_at(F.array(*map(F.lit, [429, 401, 403, 408, 500, 200])), (key % 6 + 1).cast("int"))
-    message = F.when(key % 7 == 0, "Rate limit reached").when(key % 11 == 0, "connection timed out").otherwise(F.col("event_type"))
+    status = F.when(F.col("event_type") == "error", 400 + F.get_json_object("props", "$.k").cast("int") % 30).otherwise(200)
+    message = F.when(F.col("value") > 150, "Rate limit reached").when(F.col("value") > 100, "connection timed out").otherwise(F.col("event_type"))
     rows = table(spark, sf_dir, "events").select("event_id", status.alias("status"), F.lower(message).alias("message"))
     category, retryable = F.when(F.col("status") == 200, "ok"), F.when(F.col("status") == 200, False)
     for s, w, c, r in _POLLS:
