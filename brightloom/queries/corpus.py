@@ -124,7 +124,7 @@ _SIG = "list_distinct(list_filter(w, lambda x: regexp_matches(x, '[0-9]') OR x I
 
 @registry.query(f"""
     WITH t AS (SELECT doc_id, source, n_chars, coalesce(text, '') AS text, {_TOK} AS w FROM documents),
-    k AS (SELECT *, CASE WHEN len(w) > 0 THEN text ELSE '' END AS same FROM t), c AS (SELECT source, n_chars, same, min(doc_id) AS class_id, any_value(w) AS w FROM k GROUP BY ALL),
+    k AS (SELECT *, text AS same FROM t), c AS (SELECT source, n_chars, same, min(doc_id) AS class_id, any_value(w) AS w FROM k GROUP BY ALL),
     g AS (SELECT class_id, source, n_chars, {_GRAMS} AS grams, {_SIG} AS sig FROM c),
     p AS (SELECT l.class_id AS l, r.class_id AS r, {_JAC.format('l.grams', 'r.grams')} AS a, {_JAC.format('l.sig', 'r.sig')} AS b
           FROM g l JOIN g r ON l.source = r.source AND l.class_id < r.class_id AND abs(l.n_chars - r.n_chars) <= 20),
@@ -132,10 +132,12 @@ _SIG = "list_distinct(list_filter(w, lambda x: regexp_matches(x, '[0-9]') OR x I
     SELECT doc_id, class_id, coalesce(links, 0) AS links, coalesce(exact, 0) AS exact_links FROM k JOIN c USING (source, n_chars, same) LEFT JOIN n USING (class_id)""")
 def post_text_dup(spark, sf_dir):
     """Each document's class of equal texts, and the classes of close length in its source that share nine tenths of its bigrams: how many, and how many with the same terms."""
-    members, p = dedup.text_classes(table(spark, sf_dir, "documents"), "source")
+    members, p = dedup.text_classes(table(spark, sf_dir, "documents"), "source", fold=False)
     p = Scratch(spark, "pairs").keep(p, "pairs")
     ends = p.select(F.col("left").alias("class_id"), "signature_similarity").unionAll(p.select("right", "signature_similarity"))
     links = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("signature_similarity") >= 0.82).alias("exact_links"))
+    # Texts without words are alike in both.
+    links = links.unionByName(dedup.wordless_links(members).select("class_id", "links", F.col("links").alias("exact_links")))
     return members.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("exact_links", F.lit(0)).alias("exact_links"))
 
 

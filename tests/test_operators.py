@@ -194,3 +194,11 @@ def test_texts_meet_at_rare_bigrams_only(spark, tmp_path, monkeypatch):
     _, pairs = dedup.text_classes(_texts(spark, rows), "source")
     assert [(r.left, r.right) for r in pairs.collect()] == [(7, 200)]
     assert met == [1]
+
+
+def test_texts_without_words_link_without_pairs(spark):
+    texts = ["!?", "??", "!?", "-" * 10, "-" * 40, "", "a"]
+    members, pairs = dedup.text_classes(_texts(spark, texts), "source", fold=False)
+    assert {r.doc_id: r.class_id for r in members.collect()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6}
+    assert pairs.count() == 0
+    assert {r.class_id: r.links for r in dedup.wordless_links(members).collect()} == {0: 3, 1: 3, 3: 3, 4: 0, 5: 3}
