@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brightloom import tools
+from brightloom import catalog, tools
 from brightloom.functions import scoring as S
 from brightloom.functions import text as X
 from brightloom.functions import vectors as V
@@ -202,3 +202,8 @@ def test_texts_without_words_link_without_pairs(spark):
     assert {r.doc_id: r.class_id for r in members.collect()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6}
     assert pairs.count() == 0
     assert {r.class_id: r.links for r in dedup.wordless_links(members).collect()} == {0: 3, 1: 3, 3: 3, 4: 0, 5: 3}
+
+
+def test_suggestions_are_reviewed_without_rows_of_their_own(spark):
+    plan = catalog.QUERIES["suggestion_review"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
