@@ -12,9 +12,11 @@ written-out mail addresses. The trees see format and context, so a number that
 keeps the rule but stands where such numbers never do scores low. A kind's
 threshold is the least score from which the share of positives among held-out
 candidates reaches ``precision``; a kind with fewer than ``least_held`` held-out
-candidates can't be calibrated and is not reported. The fit uses at most
-``max_examples`` candidates of either label (those with the least hash), half of
-them of the base kinds; statistics, candidates and decisions cover everything.
+candidates can't be calibrated and is not reported. The fit and the thresholds
+use every different candidate that a rule tells about: features are small whole
+numbers, so candidates alike in all of them are one row with their number as its
+weight, and the trees take the values as categories, for which Spark draws no
+sample to find its splits. All base kinds weigh no more than all further ones.
 
 A further span that overlaps one of a base kind says nothing new and is left
 out: ``(301) 555-0346`` in ``+1 (301) 555-0346`` is the phone number's.
@@ -44,10 +46,10 @@ from brightloom.plans.shared import Scratch
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("national", "ssn", "iban", "masked_email")
 KINDS = (*BASE_KINDS, *MORE_KINDS)
-MAX_EXAMPLES = 10_000
 LEAST_HELD = 20  # held-out candidates of a kind, from which its threshold is its own
 PRECISION = 0.95
 TREES, DEPTH, SEED = 16, 4, 7
+STEPS = 64  # of a share or a length, as a feature
 LEFT, RIGHT = 24, 12  # characters of context
 
 # Repetitions of a group run 500 at a time inside an atomic group: the matches are the
@@ -158,28 +160,28 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _features(rows: DataFrame) -> DataFrame:
-    """Format and context of a candidate as numbers."""
+    """Format and context of a candidate as whole numbers from 0 to ``STEPS``."""
     m, before, after = F.coalesce("match", F.lit("")), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))
     n = F.greatest(F.length(m), F.lit(1))
 
     def share(pattern: str) -> Column:
-        return F.regexp_count(m, F.lit(pattern)) / n
+        return F.round(F.regexp_count(m, F.lit(pattern)) * STEPS / n)
 
     low = F.lower(before)
-    number = lambda pattern: F.coalesce(F.regexp_extract(m, pattern, 1).try_cast("int"), F.lit(-1))
+    number = lambda pattern: F.coalesce(F.regexp_extract(m, pattern, 1).try_cast("int") + 1, F.lit(0))
     values = {f"is_{k}": F.coalesce(F.col("kind") == k, F.lit(False)) for k in MORE_KINDS} | {
         "first_digit": number("^[^0-9]*([0-9])"),
         "first_repeats": F.regexp_like(m, F.lit(r"^[^0-9]*([0-9])\1\1")),
         "middle_digit": number("^[^0-9]*[0-9]+[^0-9]+([0-9])"),
         "remainder": F.when(F.col("kind") == "iban", _remainder(m) == 1).otherwise(False),
         "ending": _ending(m).isin(ENDINGS),
-        "length": F.least(n, F.lit(64)),
+        "length": F.least(n, F.lit(STEPS)),
         "digits": share("[0-9]"),
         "letters": share("[A-Za-z]"),
         "upper": share("[A-Z]"),
         "spaces": share(r"\x20"),
         "marks": share(r"[^A-Za-z0-9\x20]"),
-        "distinct": F.size(F.array_distinct(F.split(F.left(m, F.lit(64)), ""))) / F.least(n, F.lit(64)),
+        "distinct": F.round(F.size(F.array_distinct(F.split(F.left(m, F.lit(STEPS)), ""))) * STEPS / F.least(n, F.lit(STEPS))),
         "opens_plus": m.startswith("+"),
         "opens_mark": F.regexp_like(m, F.lit("^[^A-Za-z0-9]")),
         "cue_contact": F.regexp_like(low, F.lit("phone|tel|call|fax|mobile|mail|contact|reach")),
@@ -193,23 +195,29 @@ def _features(rows: DataFrame) -> DataFrame:
     return rows.select("*", *[values[f].cast("double").alias(f) for f in FEATURES])
 
 
-def fit_trees(found: DataFrame, scratch: Scratch, max_examples: int = MAX_EXAMPLES, precision: float = PRECISION, least_held: int = LEAST_HELD) -> tuple[PipelineModel | None, dict[str, float]]:
+def fit_trees(found: DataFrame, scratch: Scratch, precision: float = PRECISION, least_held: int = LEAST_HELD) -> tuple[PipelineModel | None, dict[str, float]]:
     """Trees over candidates that a rule tells about, and for each further kind the score from which it is reported."""
     told = F.coalesce("passes", _keeps_rule(F.col("kind"), F.col("match")))
     known = _features(found.withColumn("told", told).where("told IS NOT NULL"))
-    # Equal examples are one example; the bound holds for either label.
+    # Equal examples are one example; a third of them is held out.
     known = known.select(F.col("told").cast("double").alias("label"), "kind", F.xxhash64("match", "told", "kind", *FEATURES).alias("h"), *FEATURES).dropDuplicates(["h"])
-    more = F.col("kind").isin(*MORE_KINDS)
-    examples = [known.where((F.col("label") == v) & of).orderBy("h").limit(max_examples // 2) for v in (0.0, 1.0) for of in (more, ~more)]
-    known = scratch.keep(examples[0].unionByName(examples[1]).unionByName(examples[2]).unionByName(examples[3]), "examples")
-    fit, held = known.where(F.pmod("h", F.lit(3)) != 0), known.where(F.pmod("h", F.lit(3)) == 0)
-    if fit.select("label").distinct().count() < 2:
+    known = known.groupBy("label", "kind", (F.pmod("h", F.lit(3)) == 0).alias("held"), *FEATURES).agg(F.count(F.lit(1)).alias("n"))
+    known = scratch.keep(known, "examples")
+    fit, held = known.where("NOT held").withColumn("more", F.col("kind").isin(*MORE_KINDS)), known.where("held")
+    n_more, n_base = fit.agg(F.sum(F.when(F.col("more"), F.col("n"))), F.sum(F.when(~F.col("more"), F.col("n")))).first()
+    share = min(1.0, n_more / n_base) if n_more and n_base else 1.0
+    fit = fit.withColumn("weight", F.col("n") * F.when(F.col("more"), 1.0).otherwise(share))
+    labels = fit.groupBy("label").count().collect()  # two rows at most
+    if len(labels) < 2:
         return None, {}
-    trees = GBTClassifier(labelCol="label", featuresCol="x", maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=SEED)
+    if sum(r["count"] for r in labels) > STEPS:  # Spark takes no more values of a category than rows; of so few it takes no sample
+        category = {"ml_attr": {"type": "nominal", "num_vals": STEPS + 1}}
+        fit = fit.withColumns({f: F.col(f).alias(f, metadata=category) for f in FEATURES})
+    trees = GBTClassifier(labelCol="label", featuresCol="x", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, maxBins=STEPS + 1, seed=SEED)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="x")
     model = PipelineModel([assembler, trees.fit(assembler.transform(fit))])
     # At most 101 rows a kind: positives and candidates from each hundredth of the score.
-    bins = score(model, held).groupBy("kind", F.floor(F.col("score") * 100).alias("bin")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("all")).collect()
+    bins = score(model, held).groupBy("kind", F.floor(F.col("score") * 100).alias("bin")).agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("all")).collect()
 
     def least_score(rows: list) -> float:
         threshold, good, all_ = 2.0, 0.0, 0
@@ -228,11 +236,11 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_examples: int = MAX_EXAMPLES, precision: float = PRECISION, least_held: int = LEAST_HELD) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION, least_held: int = LEAST_HELD) -> DataFrame:
     """``doc_id, text_sha256, spans`` for every row: spans is an array of kind number, start, end and kind, in that order."""
     scratch = Scratch(docs.sparkSession, "pii")
     found = scratch.keep(candidates(docs, id_col, text_col), "candidates")
-    model, thresholds = fit_trees(found, scratch, max_examples, precision, least_held)
+    model, thresholds = fit_trees(found, scratch, precision, least_held)
     base = found.where(F.col("kind").isNull() | F.col("passes"))
     more = found.where(F.col("kind").isNotNull() & F.col("passes").isNull())
     if model is None:

@@ -3,6 +3,7 @@ import random
 import re
 
 from brightloom.llm import pii as P
+from brightloom.plans.shared import Scratch
 
 
 def luhn(d):
@@ -130,3 +131,13 @@ def test_a_kind_with_few_candidates_is_not_reported(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kinds = {s.kind for r in P.find_personal_data(docs).collect() for s in r.spans}
     assert "masked_email" not in kinds and "ssn" in kinds and "iban" in kinds
+
+
+def test_a_rare_kind_is_calibrated_on_all_its_candidates(spark):
+    """15,000 candidates of one kind and 120 of another: no bound on the examples leaves the other one too few."""
+    ssn = [f"{100 + i % 500}-{1 + i // 500:02d}-{1 + i % 9000:04d}" for i in range(15_000)]
+    texts = [f"ssn {x} now" for x in ssn] + [f"ssn 000-12-{i:04d} now" for i in range(1, 200)] + [f"mail ann{i} [at] host{i} [dot] com now" for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scratch = Scratch(spark, "pii_test")
+    model, thresholds = P.fit_trees(scratch.keep(P.candidates(docs), "candidates"), scratch)
+    assert model is not None and set(thresholds) == {"ssn", "masked_email"}
