@@ -47,10 +47,12 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: st
     return counts.where(hit).crossJoin(F.broadcast(stats)).select(id_col, score.alias("score"))  # stats is one row
 
 
-LAYOUT = "v2"  # of an index; sessions share the folder that indexes are kept in
+LAYOUT = "v3"  # of an index; sessions share the folder that indexes are kept in
 #: A document's own entry: its length stands where occurrences would.
 LENGTH_TERM = ""
 MOST_PARTS = 4096
+FILES = 6  # for each split of the input
+LEAST_SPREAD = 4  # files of a part, at least
 ROWS_AT_ONCE = 1 << 17
 _WORD_BYTES = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
 
@@ -83,9 +85,13 @@ def _posting_rows(id_type: pa.DataType):
 
 
 def _write_parts(rows: DataFrame, parts: int, spread: int, out: str) -> None:
-    """Postings by part of the term's hash, sorted by term; a part has ``spread`` files, so a term that most documents have is in several."""
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).withColumn("__file", F.pmod(F.xxhash64("id"), F.lit(spread)))
-    dealt.repartition(parts * spread, "part", "__file").drop("__file").sortWithinPartitions("part", "term", "id").write.partitionBy("part").parquet(f"{out}/postings")
+    """Postings by part of the term's hash, sorted by term; a part has ``spread`` files, so a term that most documents have is in several.
+
+    A file is one task's: hashed once more, some tasks would have several and some none.
+    """
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+    file = F.col("part") * spread + F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")
+    dealt.repartitionById(parts * spread, file).sortWithinPartitions("part", "term", "id").write.partitionBy("part").parquet(f"{out}/postings")
 
 
 def _write_stats(postings: DataFrame, parts: int, spread: int, out: str) -> None:
@@ -99,16 +105,15 @@ def write_postings(docs: DataFrame, out: str, id_col: str = "doc_id", text_col:
 
     A posting has the document's length, so a score takes no join; each document
     has an entry of its own, under an empty term. A document's words are counted
-    where its text lies; what is shuffled is its distinct words. There are about
-    two parts for each split of the input, and beyond ``MOST_PARTS`` several
-    files a part.
+    where its text lies; what is shuffled is its distinct words. There are
+    ``FILES`` files for each split of the input, ``LEAST_SPREAD`` a part or more.
     """
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("len", T.LongType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_posting_rows(to_arrow_type(kind)), schema)
-    splits = docs.rdd.getNumPartitions()
-    parts = min(MOST_PARTS, max(8, 2 * splits))
-    spread = max(1, -(-2 * splits // parts))
+    files = FILES * docs.rdd.getNumPartitions()
+    parts = min(MOST_PARTS, max(2, -(-files // LEAST_SPREAD)))
+    spread = max(LEAST_SPREAD, -(-files // parts))
     _write_parts(rows, parts, spread, out)
     _write_stats(docs.sparkSession.read.parquet(f"{out}/postings"), parts, spread, out)
 
