@@ -28,14 +28,15 @@ def _variants(spark, sf_dir):
     return own.withColumn("key", key).join(vectors, F.col("key") == F.col("vec_id"), "left").select("qid", "nth", "text", F.when(F.col("nth") == 0, F.col("vec_id")).alias("seed"), F.col("embedding").alias("vector"))
 
 
-def _engine(spark, sf_dir):
+def _engine(spark, sf_dir, mode):
     e = table(spark, sf_dir, "embeddings")
     frames = e.where("vec_id % 3 < 2").select(F.expr("vec_id div 8").alias("id"), (F.col("vec_id") % 8).alias("frame"), "embedding")
-    return S.SearchEngine(spark, R.open_index(spark, f"{sf_dir}/documents.parquet"), e.select(F.col("vec_id").alias("id"), "embedding"), frames, S.Knobs(visual_least=40))
+    index = None if mode in S.BY_VECTORS else R.open_index(spark, f"{sf_dir}/documents.parquet")
+    return S.SearchEngine(spark, index, e.select(F.col("vec_id").alias("id"), "embedding"), frames, S.Knobs(visual_least=40))
 
 
 def _run(spark, sf_dir, mode, allowed=None):
-    hits = _engine(spark, sf_dir).search(_variants(spark, sf_dir), mode, allowed)
+    hits = _engine(spark, sf_dir, mode).search(_variants(spark, sf_dir), mode, allowed)
     return hits.select(*[F.round(c, 6).alias(c) if c in ("score", "rrf", "fts_score", "vec_distance") else F.col(c) for c in hits.columns])
 
 
