@@ -51,3 +51,11 @@ def test_products(spark):
         (["Grand .Tour", None], None),
     )
     assert got == {0: ["Bronco Sport", "2024 F-150 LE AWD"], 1: ["Ford", "Mustang"], 2: ["Mustang 5"], 4: ["2024 Jeep", "2025"], 7: ["Grand.Tour"]}
+
+
+def test_products_are_repaired_once(spark):
+    rows = spark.createDataFrame([(1, "Acme", ["Acme bolt ,", "2024 RED GEAR AWD"])], "id long, brand string, said array<string>")
+    found = R.repaired_products(rows, "id", F.col("said"), F.col("brand"), ["gear"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "BELOW MSRP" not in plan and plan.count("regexp_replace") < 20
+    assert [r.products for r in found.collect()] == [["bolt", "2024 Red Gear AWD"]]
