@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.operators.linkage import linked_clusters
+from brightloom.operators.linkage import agglomerate, linked_clusters
 from brightloom.plans.shared import Scratch
 
 def average_linkage(vectors: np.ndarray, stop: float = 0.75, min_size: int = 3) -> np.ndarray:
@@ -15,19 +15,7 @@ def average_linkage(vectors: np.ndarray, stop: float = 0.75, min_size: int = 3)
     n = len(vectors)
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     sim = unit @ unit.T
-    np.fill_diagonal(sim, -np.inf)
-    members, size = [[i] for i in range(n)], np.ones(n)
-    while n > 1:
-        i, j = sorted(divmod(int(sim.argmax()), n))
-        if sim[i, j] < stop:
-            break
-        merged = (size[i] * sim[i] + size[j] * sim[j]) / (size[i] + size[j])
-        sim[i], sim[:, i] = merged, merged
-        sim[i, i] = -np.inf
-        sim[j], sim[:, j] = -np.inf, -np.inf
-        members[i] += members[j]
-        size[i] += size[j]
-        members[j] = []
+    members = agglomerate(sim, np.ones(n), stop)
     labels = np.full(n, -1)
     for label, group in enumerate(sorted((sorted(m) for m in members if len(m) >= min_size), key=lambda m: m[0])):
         labels[group] = label
@@ -38,8 +26,8 @@ def cluster_groups(rows: DataFrame, group: str, id_col: str = "vec_id", stop: fl
     """``group, id, cluster`` of every vector, clustered within its group, in id order.
 
     Groups of up to ``at_once`` vectors are clustered in one task each, with a
-    matrix of all pairs. Larger ones go through rounds over the cluster, with
-    the same result.
+    matrix of all pairs. Larger ones go through rounds over the cluster until
+    so few clusters are left, with the same result.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -56,7 +44,7 @@ def cluster_groups(rows: DataFrame, group: str, id_col: str = "vec_id", stop: fl
     keys = large.select(F.col(group).alias("__large"))
     small = rows.join(keys, rows[group].eqNullSafe(keys["__large"]), "left_anti")
     whole = small.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {id_col} {kinds[id_col]}, cluster long")
-    return whole.unionByName(linked_clusters(rows.join(keys, rows[group].eqNullSafe(keys["__large"]), "left_semi"), group, id_col, stop, min_size))
+    return whole.unionByName(linked_clusters(rows.join(keys, rows[group].eqNullSafe(keys["__large"]), "left_semi"), group, id_col, stop, min_size, at_once=at_once))
 
 
 def mean_similarity(rows: DataFrame, group: str, dim: int, id_col: str = "vec_id") -> DataFrame:

@@ -55,3 +55,16 @@ def test_places_in_groups(spark):
     rows = spark.createDataFrame([(k % 3, k) for k in range(50)], "g int, k long").repartition(7)
     found = {(r.g, r.k): r.number for r in L.numbered(rows, "g", "k", L.Scratch(spark, "t"), "n").collect()}
     assert found == {(k % 3, k): k // 3 for k in range(50)}
+
+
+def test_rounds_end_in_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(90, 16))
+    rows = table(spark, vectors).unionByName(table(spark, vectors[:70], "b"))
+    seen = []
+    best = L._best
+    monkeypatch.setattr(L, "_best", lambda seeking, live, block: seen.append(1) or best(seeking, live, block))
+    got = {(r.label, r.vec_id): r.cluster for r in L.linked_clusters(rows, "label", "vec_id", 0.1, 3, 16, at_once=60).collect()}
+    for label, own in (("a", vectors), ("b", vectors[:70])):
+        assert [got[label, i] for i in range(len(own))] == plain(own, 0.1)
+    assert len(seen) <= 4
