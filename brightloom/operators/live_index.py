@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.functions import text as X
-from brightloom.operators.retrieval import posting_score
+from brightloom.operators import retrieval as R
+from brightloom.plans.shared import Scratch
 from brightloom.sources.snapshots import KeyedTable
 
 
 class LiveIndex:
-    """Postings by term and, for each document, the terms that it has there."""
+    """Postings by term and, for each document, the terms that it has there, as one string."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
@@ -20,9 +21,8 @@ class LiveIndex:
     @staticmethod
     def _told(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
         words = docs.select(F.col(id_col).alias("id"), X.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-        rows = words.select("id", F.size("w").cast("long").alias("len"), F.array_distinct("w").alias("terms"))
-        each = words.select("id", F.size("w").cast("long").alias("len"), F.explode("w").alias("term"))
-        return rows, each.groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+        rows = words.select("id", F.size("w").cast("long").alias("len"), F.array_join(F.array_distinct("w"), " ").alias("terms"))
+        return rows, R.word_counts(docs, id_col, text_col).where(F.col("term") != R.LENGTH_TERM)
 
     def create(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 64) -> None:
         rows, postings = self._told(docs, id_col, text_col)
@@ -39,8 +39,10 @@ class LiveIndex:
         ids = changed.select(F.col(id_col).alias("id"))
         here = changed.where(F.col(text_col).isNotNull())
         rows, postings = self._told(here, id_col, text_col)
-        before = self.documents.read().join(ids, "id", "left_semi").select("id", F.explode("terms").alias("term"))
-        self.postings.apply(postings, before, ["term", "id"])
+        before = self.documents.read().join(ids, "id", "left_semi").select("id", F.explode(F.split("terms", " ")).alias("term")).where("term <> ''")
+        scratch = Scratch(self.spark, "before")
+        self.postings.apply(postings, scratch.keep(before, "terms"), ["term", "id"])
+        scratch.drop_all_but()
         self.documents.apply(rows, ids, ["id"])
 
     def scores(self, terms: list[str]) -> DataFrame:
@@ -49,4 +51,4 @@ class LiveIndex:
         hits = self.postings.read().where(F.col("term").isin(terms))
         often = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row a term
         rows = hits.join(F.broadcast(often), "term").crossJoin(F.broadcast(stats))
-        return rows.groupBy("id").agg(F.sum(posting_score(*[F.col(c) for c in ("tf", "len", "df", "n", "mean")])).alias("score"))
+        return rows.groupBy("id").agg(F.sum(R.posting_score(*[F.col(c) for c in ("tf", "len", "df", "n", "mean")])).alias("score"))

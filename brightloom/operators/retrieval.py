@@ -84,6 +84,13 @@ def _posting_rows(id_type: pa.DataType):
     return run
 
 
+def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, len, term, tf`` of a document's words, counted where its text lies, and its own entry."""
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("len", T.LongType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_posting_rows(to_arrow_type(kind)), schema)
+
+
 def _write_parts(rows: DataFrame, parts: int, spread: int, out: str) -> None:
     """Postings by part of the term's hash, sorted by term; a part has ``spread`` files, so a term that most documents have is in several.
 
@@ -108,9 +115,7 @@ def write_postings(docs: DataFrame, out: str, id_col: str = "doc_id", text_col:
     where its text lies; what is shuffled is its distinct words. There are
     ``FILES`` files for each split of the input, ``LEAST_SPREAD`` a part or more.
     """
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("len", T.LongType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_posting_rows(to_arrow_type(kind)), schema)
+    rows = word_counts(docs, id_col, text_col)
     files = FILES * docs.rdd.getNumPartitions()
     parts = min(MOST_PARTS, max(2, -(-files // LEAST_SPREAD)))
     spread = max(LEAST_SPREAD, -(-files // parts))

@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+OLD, GONE, NEW = range(3)  # of rows of a key the last of these is what becomes of it
+FILES_A_TASK = 4  # files of all buckets that a task writes, about
+
+
 class TakenVersion(RuntimeError):
     """Another writer has made the next version; read again and try again."""
 
@@ -83,27 +87,37 @@ class KeyedTable:
     def _dealt(self, rows: DataFrame, manifest: dict) -> DataFrame:
         return rows.withColumn("__bucket", F.pmod(F.xxhash64(*manifest["bucket_by"]), F.lit(manifest["buckets"])).cast("int"))
 
-    def _once(self, rows: DataFrame, manifest: dict) -> DataFrame:
-        """One row a key, with the table's columns."""
+    def _shaped(self, rows: DataFrame, manifest: dict, rank: int) -> DataFrame:
+        """``rows`` with the table's columns; of rows of a key those with the greatest rank count."""
         schema = StructType.fromJson(manifest["schema"])
-        shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
-        rest = [f.name for f in schema if f.name not in manifest["keys"]]
-        if not rest:
-            return shaped.distinct()
-        last = shaped.groupBy(*manifest["keys"]).agg(F.max(F.struct(*rest)).alias("__r"))
-        return last.select(*[F.col(f"__r.{f.name}").alias(f.name) if f.name in rest else F.col(f.name) for f in schema])
-
-    def _write(self, dealt: DataFrame) -> dict[str, str]:
-        """Write rows into new folders, one a bucket; the folders by bucket."""
+        shaped = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+        return rows.select(*shaped, F.lit(rank).alias("__rank"))
+
+    def _write(self, ranked: DataFrame, manifest: dict) -> dict[str, str]:
+        """Write the last row of each key into new folders, one a bucket; the folders by bucket.
+
+        One shuffle deals rows out by bucket and key, so that keys meet where
+        their bucket's files are written; a bucket has several.
+        """
         out = f"{self.path}/data/{uuid.uuid4().hex}"
+        keys, names = manifest["keys"], [f["name"] for f in manifest["schema"]["fields"]]
+        rest = [n for n in names if n not in keys]
+        spread = -(-FILES_A_TASK * int(self.spark.conf.get("spark.sql.shuffle.partitions")) // manifest["buckets"])
+        dealt = self._dealt(ranked, manifest).withColumn("__file", F.pmod(F.xxhash64(F.lit(1), *keys), F.lit(spread)).cast("int"))
+        last = dealt.repartition("__bucket", "__file").groupBy("__bucket", "__file", *keys).agg(F.max(F.struct("__rank", *rest)).alias("__r")).where(F.col("__r.__rank") != GONE)
+        last = last.select("__bucket", *[F.col(f"__r.{n}").alias(n) if n in rest else F.col(n) for n in names])
         try:
-            dealt.repartition("__bucket").write.partitionBy("__bucket").parquet(out)
+            last.write.partitionBy("__bucket").parquet(out)
         except Exception:
             self.files.delete(self._place(out), True)
             raise
         names = [s.getPath().getName() for s in self.files.listStatus(self._place(out)) if s.isDirectory()]
         return {n.split("=")[1]: f"{out}/{n}" for n in names}
 
+    def _named(self, rows: DataFrame, keys: list[str], manifest: dict) -> DataFrame:
+        """The columns of ``rows`` that name the table's rows, in the table's types, so that equal keys have one bucket."""
+        return self._shaped(rows.select(*keys), manifest, NEW).select(*keys)
+
     def create(self, rows: DataFrame, keys: list[str], bucket_by: list[str] | None = None, buckets: int = 16) -> int:
         """The first version of the table, from rows of one key each or more."""
         bucket_by = bucket_by or keys
@@ -112,7 +126,7 @@ class KeyedTable:
         manifest = {"version": 0, "keys": keys, "bucket_by": bucket_by, "buckets": buckets, "schema": rows.schema.jsonValue(), "folders": {}}
         if self.versions():
             raise TakenVersion(f"there is a table at {self.path}")
-        manifest["folders"] = self._write(self._dealt(self._once(rows, manifest), manifest))
+        manifest["folders"] = self._write(self._shaped(rows, manifest, NEW), manifest)
         return self._commit(manifest)
 
     def _scan(self, manifest: dict, buckets: list[str] | None = None) -> DataFrame:
@@ -140,22 +154,20 @@ class KeyedTable:
         by = by or manifest["keys"]
         if not set(manifest["bucket_by"]) <= set(by):
             raise ValueError("deletes must name what buckets are dealt by")
-        sides = []
-        if upserts is not None:
-            upserts = self._once(upserts, manifest)
-            sides.append((upserts, manifest["keys"]))
-        if deletes is not None:
-            sides.append((deletes.select(*by).distinct(), by))
-        touched = reduce(lambda a, b: a | b, ({str(r[0]) for r in self._dealt(rows, manifest).select("__bucket").distinct().collect()} for rows, _ in sides), set())  # at most the number of buckets
+        sides = [(rows, keys) for rows, keys in ((upserts, manifest["keys"]), (deletes, by)) if rows is not None]
+        touched = reduce(lambda a, b: a | b, ({str(r[0]) for r in self._dealt(self._named(rows, keys, manifest), manifest).select("__bucket").distinct().collect()} for rows, keys in sides), set())  # at most the number of buckets
         if not touched:
             return manifest["version"]
         kept = self._scan(manifest, sorted(touched))
-        for rows, keys in sides:
-            own = rows.select(*[F.col(k).alias(f"__{k}") for k in keys])
-            kept = kept.join(own, reduce(lambda a, b: a & b, (kept[k].eqNullSafe(own[f"__{k}"]) for k in keys)), "left_anti")
+        ranked = []
+        if deletes is not None and set(by) == set(manifest["keys"]):
+            ranked.append(self._shaped(deletes.select(*by), manifest, GONE))
+        elif deletes is not None:
+            own = deletes.select(*[F.col(k).alias(f"__{k}") for k in by]).distinct()
+            kept = kept.join(own, reduce(lambda a, b: a & b, (kept[k].eqNullSafe(own[f"__{k}"]) for k in by)), "left_anti")
         if upserts is not None:
-            kept = kept.unionByName(upserts)
-        folders = self._write(self._dealt(kept, manifest))
+            ranked.append(self._shaped(upserts, manifest, NEW))
+        folders = self._write(reduce(DataFrame.unionByName, ranked, self._shaped(kept, manifest, OLD)), manifest)
         stay = {b: f for b, f in manifest["folders"].items() if b not in touched}
         return self._commit({**manifest, "version": manifest["version"] + 1, "folders": {**stay, **folders}})
 

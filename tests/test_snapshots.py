@@ -123,3 +123,19 @@ def test_an_index_that_follows(spark, tmp_path):
     for terms in (["w1", "w3"], ["brand"], ["none"]):
         want = {r.id: pytest.approx(r.score) for r in fresh.scores(terms).collect()}
         assert {r.id: r.score for r in index.scores(terms).collect()} == want
+
+
+def test_a_large_bucket_is_several_tasks(spark, tmp_path):
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        table = KeyedTable(spark, f"file://{tmp_path}/hot")
+        many = spark.range(1000).select(F.lit(7).cast("long").alias("item"), F.col("id").cast("int").alias("frame"), F.lit("old").alias("v"))
+        table.create(many, ["item", "frame"], ["item"], 8)
+        table.apply(many.where("frame < 10").withColumn("v", F.lit("new")), many.where("frame BETWEEN 5 AND 19"))
+    finally:
+        spark.conf.set(setting, before)
+    (folder,) = table.manifest()["folders"].values()
+    assert len([s for s in table.files.listStatus(table._place(folder)) if s.getPath().getName().endswith(".parquet")]) > 1
+    assert [(r.frame, r.v) for r in table.read().orderBy("frame").collect()] == [(f, "new" if f < 10 else "old") for f in range(1000) if f < 10 or f > 19]
