@@ -57,6 +57,14 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9]+)"), F.lit(0))
 
 
+_WORD_BYTES = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
+
+
+def ascii_words(text: str | None) -> list[bytes]:
+    """What ``tokens`` finds, inside a task; none in a null."""
+    return (text or "").lower().encode().translate(_WORD_BYTES).split()
+
+
 def ngrams(words: Column, n: int = 2) -> Column:
     """Distinct n-grams, or the words themselves where there are no more than ``n``."""
     grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brightloom.functions import text as X
 
+WORDS_KEPT = 1 << 18
+WORDS_AT_ONCE = 1 << 14
 LANES = 32  # bits counted by one sum each; a sum counts two of them, 32 bits apart
 
 
@@ -55,13 +63,53 @@ def hex_bits(h: Column) -> Column:
     return F.when(F.regexp_like(h, F.lit("^[0-9a-fA-F]{16}$")), F.shiftleft(halves[0], 32).bitwiseOR(halves[1]))
 
 
+class _Digests(dict):
+    """First 8 bytes of the MD5 of words met so far."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        self[word] = digest = hashlib.md5(word, usedforsecurity=False).digest()[:8]
+        return digest
+
+
+def _ones(digests: bytes) -> np.ndarray:
+    """How many of the 8-byte digests have each of 64 bits, the highest first."""
+    rows = np.frombuffer(digests, np.uint8).reshape(-1, 8)
+    return sum((np.unpackbits(rows[at : at + WORDS_AT_ONCE], axis=1).sum(axis=0, dtype=np.int64) for at in range(0, len(rows), WORDS_AT_ONCE)), np.zeros(64, np.int64))
+
+
+def _text_votes(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests = _Digests()
+        for batch in batches:
+            at, part, n, ones = [], [], [], []
+            for i, text in enumerate(batch.column(1)):
+                words = X.ascii_words(text.as_py())
+                edges = [-(-p * len(words) // parts) for p in range(parts + 1)]
+                for p, (begin, end) in enumerate(zip(edges, edges[1:])):
+                    if end > begin:
+                        at.append(i)
+                        part.append(p)
+                        n.append(end - begin)
+                        ones.append(_ones(b"".join(map(digests.__getitem__, words[begin:end]))))
+            if at:
+                ones = np.array(ones)
+                lanes = [pa.array(ones[:, 63 - i] + (ones[:, 31 - i] << 32)) for i in range(LANES)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(part, pa.int32()), pa.array(n, pa.int64()), *lanes], ["id", "part", "n", *(f"v{i}" for i in range(LANES))])
+
+    return run
+
+
 def word_votes(rows: DataFrame, id_col: str, text_col: str, parts: int = 1) -> DataFrame:
-    """``id, part, n`` and the votes of the words' MD5 in each of ``parts`` equal stretches of a text's words, none for an empty one."""
-    words = rows.select(F.col(id_col).alias("id"), X.tokens(F.col(text_col)).alias("w"))
-    each = words.select("id", F.size("w").alias("of"), F.posexplode("w").alias("at", "word"))
-    half = lambda at: F.conv(F.substring("digest", at, 8), 16, 10).cast("long")
-    each = each.select("id", F.expr(f"(at * {parts}L) div of").cast("int").alias("part"), F.md5(F.col("word").cast("binary")).alias("digest"))
-    return votes(each.select("id", "part", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("bits")), ["id", "part"], "bits")
+    """``id, part, n`` and the votes of the words' MD5 in each of ``parts`` equal stretches of a text's words, none for an empty one.
+
+    Words vote in the task that reads their text; rows of one id vote together.
+    """
+    told = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    fields = [("part", T.IntegerType()), *((c, T.LongType()) for c in ("n", *(f"v{i}" for i in range(LANES))))]
+    schema = T.StructType([T.StructField("id", told.schema["id"].dataType), *(T.StructField(*f) for f in fields)])
+    return votes_together(told.mapInArrow(_text_votes(parts), schema), ["id", "part"])
 
 
 def word_hashes(rows: DataFrame, id_col: str, text_col: str, parts: int = 1) -> DataFrame:

@@ -54,7 +54,6 @@ MOST_PARTS = 4096
 FILES = 6  # for each split of the input
 LEAST_SPREAD = 4  # files of a part, at least
 ROWS_AT_ONCE = 1 << 17
-_WORD_BYTES = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
 
 
 def _posting_rows(id_type: pa.DataType):
@@ -68,7 +67,7 @@ def _posting_rows(id_type: pa.DataType):
             at, lengths, sizes, terms, counts = [], [], [], [], []
             ids = batch.column(0).cast(id_type)
             for i, text in enumerate(batch.column(1)):
-                words = (text.as_py() or "").lower().encode().translate(_WORD_BYTES).split()
+                words = X.ascii_words(text.as_py())
                 found = Counter(words)
                 at.append(i)
                 lengths.append(len(words))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brightloom.functions import vectors as V
 from brightloom.operators import frontier
 from brightloom.operators.fingerprints import word_hashes
+from brightloom.plans.shared import Scratch
 from brightloom.queries.registry import Registry, hashed_sql, table
 
 registry = Registry()
@@ -136,6 +137,7 @@ def freshness_guard(spark, sf_dir):
 def frame_match_ratio(spark, sf_dir):
     """Share of frames in the same place of two neighbouring items that look alike; a frame is a document's hash."""
     h = word_hashes(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.expr("id div 8").alias("item"), (F.col("id") % 8).alias("frame"), "h")
+    h = Scratch(spark, "frames").keep(h, "h")  # both sides are the same hashes
     other = h.select((F.col("item") - 1).alias("item"), "frame", F.col("h").alias("h2"))
     alike = F.when(V.hamming_hex(F.col("h"), F.col("h2")) <= 24, 1.0).otherwise(0.0)
     return h.join(other, ["item", "frame"]).groupBy("item").agg(F.round(F.avg(alike), 6).alias("ratio"))

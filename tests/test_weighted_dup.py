@@ -1,5 +1,6 @@
 """The weighted duplicate: its verdicts, its candidates and its classes."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -9,7 +10,7 @@ import pytest
 
 from brightloom.functions import text as X
 from brightloom.operators import weighted_dup as W
-from brightloom.operators.fingerprints import majority, word_hashes
+from brightloom.operators.fingerprints import majority, word_hashes, word_votes
 from pyspark.sql import functions as F
 
 SCHEMA = "id long, duration long, mean_hash string, frames array<struct<number:int,hash:string>>, text string, transcript string"
@@ -161,3 +162,22 @@ def test_blocks_of_any_size_find_the_same_pairs(spark):
     for block in (4, 1000):
         got = W.framed_pairs(classes, W.Limits(), W.Scratch(spark, "test"), block).collect()
         assert len(got) == len(want) > 100 and {(r.a, r.b) for r in got} == want
+
+
+def test_words_vote_where_their_text_lies(spark):
+    texts = {1: "One two, TWO; three 4 Één two", 2: "", 3: None, 4: "a " * 40_000 + "b " * 30_000}
+    rows = [*texts.items(), (1, "three one")]  # rows of one id vote together
+    counted = word_votes(spark.createDataFrame(rows, "id long, t string"), "id", "t", 2)
+    assert "Generate explode" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in counted._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for key, text in rows:
+        words = re.findall("[a-z0-9]+", (text or "").lower())
+        for at, word in enumerate(words):
+            bits = int(hashlib.md5(word.encode()).hexdigest()[:16], 16)
+            own = want.setdefault((key, at * 2 // len(words)), [0] * 65)
+            own[64] += 1
+            for i in range(64):
+                own[i] += bits >> i & 1
+    got = {(r.id, r.part): [r[f"v{i % 32}"] >> (32 * (i // 32)) & (1 << 32) - 1 for i in range(64)] + [r.n] for r in counted.collect()}
+    assert got == want
