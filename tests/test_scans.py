@@ -2,6 +2,7 @@
 
 import json
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +148,42 @@ def test_refresh_state_shrinks_when_resources_are_not_seen(spark, tmp_path):
         kept.append({r.key.user_id for r in spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "run/checkpoint")).collect()})
     assert told == {1: "new", 4: "refresh", 3: "new", 5: "new", 7: "refresh", 9: "new", 10: "new", 12: "new"}
     assert kept[0] == {1, 2, 3} and kept[-1] == {3, 4, 2}
+
+
+class _Store:
+    """A resource's state and timers, and what was asked of them."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+def test_a_resource_has_one_timer_that_follows_its_last_sight():
+    store, step = _Store(), detect._Refresh(100, ["user_id", "event_id", "kind"])
+    step.init(store)
+    sight = lambda n, at, what: SimpleNamespace(event_id=n, at_ms=at, content=what)
+    clock = lambda now: SimpleNamespace(getCurrentWatermarkInMs=lambda: now)
+    told = [tuple(r) for rows in ([sight(2, 5, "a"), sight(1, 0, "a")], [sight(3, 50, "b")], [sight(4, 50, "b")]) for r in step.handleInputRows((7,), iter(rows), clock(0))]
+    assert told == [(7, 1, "new"), (7, 3, "refresh")]
+    assert store.timers == [106] and store.calls == 6  # three looks, two changes, one timer
+    list(step.handleExpiredTimer((7,), clock(120), None))
+    assert store.value == ("b", 50) and store.timers == [106, 151]
+    list(step.handleExpiredTimer((7,), clock(151), None))
+    assert store.value is None
