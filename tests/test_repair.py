@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from brightloom.functions import repair as R
+from brightloom.queries import review
 
 
 def told(spark, f, texts):
@@ -59,3 +60,8 @@ def test_products_are_repaired_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "BELOW MSRP" not in plan and plan.count("regexp_replace") < 20
     assert [r.products for r in found.collect()] == [["bolt", "2024 Red Gear AWD"]]
+
+
+def test_terms_share_one_repair_of_their_text(spark):
+    plan = review.financing_terms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == len(R.OCR_RULES)
