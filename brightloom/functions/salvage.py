@@ -39,12 +39,16 @@ def _closers(open_: Column) -> Column:
     return F.translate(F.reverse(open_), "{[", "}]")
 
 
-def _step(s: Column, t: Column) -> Column:
-    """One token. ``open`` are the open brackets; ``at`` what may come: a ``key``, its ``colon``, a ``value``, the ``next`` pair, an ``item``, or nothing more (``done``)."""
+def _kind(t: Column) -> Column:
+    return F.when(F.startswith(t, F.lit('"')), F.lit("string")).when(t.isin("{", "["), F.lit("opens")).when(t.isin("}", "]"), F.lit("closes")).when(t == ",", F.lit("comma")).when(t == ":", F.lit("colon")).otherwise(F.lit("plain"))
+
+
+def _step(s: Column, token: Column) -> Column:
+    """One token and its kind. ``open`` are the open brackets; ``at`` what may come: a ``key``, its ``colon``, a ``value``, the ``next`` pair, an ``item``, or nothing more (``done``)."""
     none, out, open_ = F.lit(None), s["out"], s["open"]
     inner = F.right(open_, F.lit(1))
     more = F.when(F.right(out, F.lit(1)).isin("{", "["), out).otherwise(F.concat(out, F.lit(",")))
-    kind = F.when(F.startswith(t, F.lit('"')), F.lit("string")).when(t.isin("{", "["), F.lit("opens")).when(t.isin("}", "]"), F.lit("closes")).when(t == ",", F.lit("comma")).when(t == ":", F.lit("colon")).otherwise(F.lit("plain"))
+    t, kind = token["t"], token["kind"]
     # A closing bracket and everything that was opened since its opening one.
     own = F.translate(t, "}]", "{[")
     depth = F.length(open_) - F.instr(F.reverse(open_), own)  # brackets that stay open
@@ -74,8 +78,10 @@ def salvaged_json(text: Column) -> Column:
     begin = F.instr(body, "{")
     tokens = F.regexp_extract_all(F.substr(body, F.greatest(begin, F.lit(1))), F.lit(TOKEN), F.lit(1))
     first = _state(F.lit(""), F.lit(""), F.lit(None), F.lit("start"))
-    folded = F.aggregate(tokens, first, _step, lambda s: F.concat(s["out"], _closers(s["open"])))
-    return F.when(begin > 0, F.nullif(F.regexp_replace(folded, ESCAPE, "$1"), F.lit("")))
+    # Kinds are told once a token; what is null for nothing is told at the fold's end, so that there is one fold.
+    tokens = F.transform(tokens, lambda t: F.struct(t.alias("t"), _kind(t).alias("kind")))
+    folded = F.aggregate(tokens, first, _step, lambda s: F.when(s["out"] != "", F.concat(s["out"], _closers(s["open"]))))
+    return F.when(begin > 0, F.regexp_replace(folded, ESCAPE, "$1"))
 
 
 def without_placeholder(x: Column) -> Column:

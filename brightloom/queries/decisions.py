@@ -109,7 +109,8 @@ def merged_entities(spark, sf_dir):
 def mapped_entities(spark, sf_dir):
     """Answers about orders read into brand, promotion, prices and offers; every fifth answer breaks off before its terms."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    # Reading an answer costs much more than its row, so orders are dealt out evenly, however few splits their files have.
+    rows = orders.repartition("o_orderkey").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     key, price = F.col("o_orderkey"), F.col("o_totalprice")
     prices = F.array(F.struct(F.when(key % 2 == 0, "usd").otherwise("CHF").alias("currency"), price.alias("amount")), F.struct(F.lit("USD").alias("currency"), F.lit(0.0).alias("amount")))
     offers = F.array(F.struct(F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("save on "), "c_name")).alias("value"), F.col("c_mktsegment").alias("type")))

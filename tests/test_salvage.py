@@ -192,3 +192,9 @@ def test_long_strings(spark):
 def test_placeholders(spark):
     rows = spark.createDataFrame([(x,) for x in ["null", " None ", "n/a", "string", "strings", None, ""]], "x string")
     assert [r.y for r in rows.select(salvage.without_placeholder(F.col("x")).alias("y")).collect()] == [None, None, None, None, "strings", None, ""]
+
+
+def test_a_text_is_folded_once(spark):
+    rows = spark.range(1).select(salvage.salvaged_json(F.concat(F.lit('{"a": '), F.col("id").cast("string"))).alias("x"))
+    rows.collect()
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
