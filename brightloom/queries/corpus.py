@@ -128,17 +128,23 @@ _SIG = "list_distinct(list_filter(w, lambda x: regexp_matches(x, '[0-9]') OR x I
     g AS (SELECT class_id, source, n_chars, {_GRAMS} AS grams, {_SIG} AS sig FROM c),
     p AS (SELECT l.class_id AS l, r.class_id AS r, {_JAC.format('l.grams', 'r.grams')} AS a, {_JAC.format('l.sig', 'r.sig')} AS b
           FROM g l JOIN g r ON l.source = r.source AND l.class_id < r.class_id AND abs(l.n_chars - r.n_chars) <= 20),
-    e AS (SELECT l AS class_id, b FROM p WHERE a >= 0.9 UNION ALL SELECT r, b FROM p WHERE a >= 0.9), n AS (SELECT class_id, count(*) AS links, count(*) FILTER (b >= 0.82) AS exact FROM e GROUP BY 1)
-    SELECT doc_id, class_id, coalesce(links, 0) AS links, coalesce(exact, 0) AS exact_links FROM k JOIN c USING (source, n_chars, same) LEFT JOIN n USING (class_id)""")
+    e AS (SELECT l AS class_id, a, b FROM p UNION ALL SELECT r, a, b FROM p),
+    n AS (SELECT class_id, count(*) FILTER (a >= 0.9) AS links, count(*) FILTER (a >= 0.9 AND b >= 0.82) AS exact, count(*) FILTER (a < 0.9) AS different FROM e GROUP BY 1)
+    SELECT k.doc_id, class_id, coalesce(links, 0) AS links, coalesce(exact, 0) AS exact_links, coalesce(different, 0) AS different_links
+    FROM k JOIN c ON k.source IS NOT DISTINCT FROM c.source AND k.n_chars IS NOT DISTINCT FROM c.n_chars AND k.same = c.same LEFT JOIN n USING (class_id)""")
 def post_text_dup(spark, sf_dir):
-    """Each document's class of equal texts, and the classes of close length in its source that share nine tenths of its bigrams: how many, and how many with the same terms."""
+    """Each document's class of equal texts, and the classes of close length in its source by verdict: how many share nine tenths of its bigrams, how many of these have the same terms, and how many are different."""
     members, p = dedup.text_classes(table(spark, sf_dir, "documents"), "source", fold=False)
-    p = Scratch(spark, "pairs").keep(p, "pairs")
+    scratch = Scratch(spark, "pairs")
+    members, p = scratch.keep(members, "members"), scratch.keep(p, "pairs")
     ends = p.select(F.col("left").alias("class_id"), "signature_similarity").unionAll(p.select("right", "signature_similarity"))
     links = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("signature_similarity") >= 0.82).alias("exact_links"))
     # Texts without words are alike in both.
     links = links.unionByName(dedup.wordless_links(members).select("class_id", "links", F.col("links").alias("exact_links")))
-    return members.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("exact_links", F.lit(0)).alias("exact_links"))
+    # What is compared and not linked is different, so those pairs need not be made.
+    links = dedup.close_classes(members).join(links, "class_id", "left")
+    counted = [F.coalesce(c, F.lit(0)).alias(c) for c in ("links", "exact_links")] + [(F.coalesce("others", F.lit(0)) - F.coalesce("links", F.lit(0))).alias("different_links")]
+    return members.join(links, "class_id", "left").select("doc_id", "class_id", *counted)
 
 
 @F.pandas_udf(T.DoubleType())

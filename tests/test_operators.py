@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -220,3 +221,19 @@ def test_close_hashes_are_counted_in_their_buckets(spark, monkeypatch):
     assert "Join" not in counted._jdf.queryExecution().optimizedPlan().toString()
     want = {h: sum(0 < (h ^ o).bit_count() <= 4 for o in hashes) for h in hashes}
     assert {r.bits % (1 << 64): r.links for r in counted.collect()} == {h: n for h, n in want.items() if n}
+
+
+def test_texts_are_counted_by_verdict(spark, tmp_path):
+    words = [f"w{k}" for k in range(40)]
+    near, other = " ".join([*words[:39], "w99"]), " ".join(f"v{k}" for k in range(40))
+    texts = [" ".join(words), near, " ".join(words), near.replace("w99", "w9999999"), other, "!?", "??", "a b", other, other, other, None]
+    rows = [(i, None if i == 8 else "s", None if i == 9 else 3 * len(t or "") if i == 10 else len(t or ""), t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, source string, n_chars long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["post_text_dup"](spark, str(tmp_path))
+    # Those of unknown source or length have a row, and nothing to be compared with.
+    want = {0: (0, 2, 2, 1), 1: (1, 2, 2, 1), 2: (0, 2, 2, 1), 3: (3, 2, 2, 1), 4: (4, 0, 0, 3), 5: (5, 2, 2, 1), 6: (6, 2, 2, 1), 7: (7, 0, 0, 3), 8: (8, 0, 0, 0), 9: (9, 0, 0, 0), 10: (10, 0, 0, 0), 11: (11, 2, 2, 1)}
+    assert {r.doc_id: (r.class_id, r.links, r.exact_links, r.different_links) for r in got.collect()} == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    told = con.execute(catalog.ORACLE_SQL["post_text_dup"]).fetchall()
+    assert {r[0]: r[1:] for r in told} == want
