@@ -1,9 +1,11 @@
 import math
+import pathlib
 import random
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from brightloom.llm import lexical_search as L
@@ -122,3 +124,33 @@ def test_terms():
     for t in ["", "a-b_c", "É x", "ÀB 9\x7fz", "\x00q r"]:
         assert [x.decode() for x in L.terms_of(t.encode())] == plain_terms(t)
     assert L.terms_of(None) == []
+
+
+def test_memory_does_not_grow_with_the_shards_of_a_file(spark, tmp_path, monkeypatch):
+    """A file of many shards has row groups of a few, and a worker gets one shard at a time."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setitem(L.INDEX_OPTIONS, "parquet.block.size", str(1 << 16))
+    searched_by = L._searched
+
+    def watched(*how):
+        run = searched_by(*how)
+
+        def one_at_a_time(batches):
+            def counted():
+                for batch in batches:
+                    assert batch.num_rows == 1
+                    yield batch
+
+            return run(counted())
+
+        return one_at_a_time
+
+    monkeypatch.setattr(L, "_searched", watched)
+    path = str(tmp_path / "index")
+    L.write_index(docs, path, shard_bytes=10_000)
+    groups = [f.metadata for f in map(pq.ParquetFile, pathlib.Path(path).glob("*.parquet"))]
+    assert sum(g.num_rows for g in groups) == 60 and sum(g.num_row_groups for g in groups) > 10
+    items = spark.createDataFrame([(1, docs.first().text[:50])], "item_id long, text string")
+    assert Counter(map(tuple, L.search(spark, path, items).collect())) == brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
+    assert spark.conf.get(L.BATCH_ROWS) == "10000"
