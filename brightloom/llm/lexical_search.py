@@ -40,7 +40,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from brightloom.plans.shared import Scratch
+from brightloom.plans.shared import Scratch, rows_at_once
 
 TOP_K = 20
 SHARD_BYTES = 4 << 20  # of text in a shard
@@ -59,7 +58,6 @@ SHARD_DOCS = 1 << 16
 ITEMS_AT_ONCE = 1000
 DOCS_AT_ONCE = 1024  # documents that go to a worker at a time
 SHARDS_AT_ONCE = 1
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 # A file of the index can be read by several tasks. Sizes are looked at after each row: by default after 100, which are hundreds of MB here.
 INDEX_OPTIONS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 
@@ -126,23 +124,12 @@ def _indexed(id_type: T.DataType, shard_bytes: int):
     return run
 
 
-@contextmanager
-def _rows_at_once(spark, rows: int):
-    """What runs inside sends workers ``rows`` rows at a time."""
-    before = spark.conf.get(BATCH_ROWS)
-    spark.conf.set(BATCH_ROWS, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH_ROWS, before)
-
-
 def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
     """Index every document of ``docs`` as Parquet at ``path``, one row a shard."""
     id_type = docs.schema[id_col].dataType
     raw = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     rows = docs.select(F.col(id_col).alias("id"), raw.alias("raw")).mapInArrow(_indexed(id_type, shard_bytes), _index_schema(id_type))
-    with _rows_at_once(docs.sparkSession, DOCS_AT_ONCE):
+    with rows_at_once(docs.sparkSession, DOCS_AT_ONCE):
         Scratch(docs.sparkSession, "index").write(rows, path, "zstd", INDEX_OPTIONS)
 
 
@@ -254,7 +241,7 @@ def search(spark, path: str, items: DataFrame, item_col: str = "item_id", text_c
         best = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
         ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         named = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(rows)], T.StructType([T.StructField("item", T.LongType()), out_schema.fields[0]]))
-        with _rows_at_once(spark, SHARDS_AT_ONCE):
+        with rows_at_once(spark, SHARDS_AT_ONCE):
             ranked.join(F.broadcast(named), "item").select("item_id", "rank", "doc_id", "score").write.mode("append").parquet(out)
     scratch.drop("items")
     return spark.read.schema(out_schema).parquet(out)

@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from brightloom.llm import lexical_search as L
+from brightloom.plans.shared import BATCH_ROWS
 
 SF = "/root/testdata/sf0.001"
 
@@ -153,4 +154,4 @@ def test_memory_does_not_grow_with_the_shards_of_a_file(spark, tmp_path, monkeyp
     assert sum(g.num_rows for g in groups) == 60 and sum(g.num_row_groups for g in groups) > 10
     items = spark.createDataFrame([(1, docs.first().text[:50])], "item_id long, text string")
     assert Counter(map(tuple, L.search(spark, path, items).collect())) == brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
-    assert spark.conf.get(L.BATCH_ROWS) == "10000"
+    assert spark.conf.get(BATCH_ROWS) == "10000"

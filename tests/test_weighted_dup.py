@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 
 from brightloom.functions import text as X
@@ -181,3 +182,45 @@ def test_words_vote_where_their_text_lies(spark):
                 own[i] += bits >> i & 1
     got = {(r.id, r.part): [r[f"v{i % 32}"] >> (32 * (i // 32)) & (1 << 32) - 1 for i in range(64)] + [r.n] for r in counted.collect()}
     assert got == want
+
+
+def test_close_hashes_are_looked_up_not_compared_with_all(monkeypatch):
+    rng = np.random.default_rng(7)
+    flipped = lambda v, n: v ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, replace=False).astype(np.uint64))
+    some = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
+    close = np.array([flipped(v, n) for v, n in zip(some[:700], [1, 2, 3, 4, 5, 6, 7] * 100)])
+    alike = np.array([flipped(some[0], n) for n in (1, 2, 3) * 100])
+    for x, y in ((some, np.concatenate([some[:50], close])), (alike, alike), (some, close[:0])):
+        want = set(zip(*(v.tolist() for v in np.nonzero(np.bitwise_count(x[:, None] ^ y[None]) <= 6))))
+        for at_once in (W.AT_ONCE, 50):
+            monkeypatch.setattr(W, "AT_ONCE", at_once)
+            assert {p for i, j in W._close(x, y, 6) for p in zip(i.tolist(), j.tolist())} == want
+    seen = []
+    monkeypatch.setattr(W.np, "bitwise_count", lambda v, count=np.bitwise_count: seen.append(v.size) or count(v))
+    list(W._close(some, close, 6))
+    assert sum(seen) < len(some) * len(close) // 50
+
+
+def test_sets_of_a_class_go_to_a_cell_once(spark, monkeypatch):
+    """A hundred classes alike, all paired, are scored with a row of words each, in one cell as in many."""
+    sets = {i: (set(range(i % 7, 40)), set(range(i % 3)), set(range(i % 5, 9))) for i in range(100)} | {200: (set(), set(), set())}
+    words = spark.createDataFrame([(i, *map(sorted, s), 70 + i) for i, s in sets.items()], "class_id long, text_grams array<long>, transcript_grams array<long>, terms array<long>, chars int")
+    numbers = spark.createDataFrame([(a, b, 1.0) for a in sets for b in sets if a < b], "a long, b long, frames double")
+    scored = W._scored
+
+    def counted(*how):
+        run = scored(*how)
+
+        def one(pairs, texts):
+            if cell == W.CELL:
+                assert (pairs.num_rows, texts.num_rows) == (5050, 101)
+            return run(pairs, texts)
+
+        return one
+
+    monkeypatch.setattr(W, "_scored", counted)
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want = {(a, b): (*map(share, sets[a], sets[b]), 70 + min(a, b) >= 80) for a in sets for b in sets if a < b}
+    for cell in (W.CELL, 500):
+        rows = W.scored_pairs(numbers, words, W.Limits(), False, W.Scratch(spark, "test"), cell).collect()
+        assert len(rows) == len(want) and {(r.a, r.b): (r.text, r.transcript, r.terms, r.enough) for r in rows} == want
