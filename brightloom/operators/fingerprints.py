@@ -27,13 +27,21 @@ def _votes(bits: Column) -> list[Column]:
     return [F.sum(F.shiftrightunsigned(bits, i).bitwiseAND(_lane_mask())).alias(f"v{i}") for i in range(LANES)]
 
 
-def _half(count: Column, high: bool, at_least: bool) -> Column:
-    """The majority bits of one half as a number."""
-    whole = F.lit(0).cast("long")
-    for i in range(LANES):
-        ones = F.shiftrightunsigned(F.col(f"v{i}"), 32) if high else F.col(f"v{i}").bitwiseAND(F.lit((1 << 32) - 1))
-        whole = whole + F.when(2 * ones >= count if at_least else 2 * ones > count, F.lit(1 << i)).otherwise(F.lit(0))
-    return whole
+def _decisions(at_least: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            bits = np.zeros(len(n), np.uint64)
+            for i in range(LANES):
+                votes = batch.column(f"v{i}").fill_null(0).to_numpy()
+                for ones, at in ((votes >> 32, i + 32), (votes & ((1 << 32) - 1), i)):
+                    bits |= (2 * ones >= n if at_least else 2 * ones > n).astype(np.uint64) << np.uint64(at)
+            digits = bits.astype(">u8").tobytes().hex().encode()
+            told = pa.StringArray.from_buffers(len(n), pa.py_buffer(np.arange(0, 16 * len(n) + 1, 16, dtype=np.int32)), pa.py_buffer(digits))
+            keys = batch.schema.names[: -LANES - 1]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), batch.column("n"), told], [*keys, "n", "h"])
+
+    return run
 
 
 def votes(rows: DataFrame, keys: list[str], bits: str) -> DataFrame:
@@ -48,8 +56,10 @@ def votes_together(counted: DataFrame, keys: list[str]) -> DataFrame:
 
 def decided(counted: DataFrame, keys: list[str], name: str = "h", at_least: bool = False) -> DataFrame:
     """``keys, n`` and the bits that more than half (or at least half) of a group's numbers have, as hex."""
-    digits = [F.lpad(F.lower(F.hex(_half(F.col("n"), high, at_least))), 8, "0") for high in (True, False)]
-    return counted.select(*keys, "n", F.concat(*digits).alias(name))
+    # In Python, since the code that Spark makes of 64 comparisons in one expression is too long to be compiled.
+    rows = counted.select(*keys, "n", *[f"v{i}" for i in range(LANES)])
+    schema = T.StructType([*rows.schema.fields[: len(keys) + 1], T.StructField("h", T.StringType())])
+    return rows.mapInArrow(_decisions(at_least), schema).withColumnRenamed("h", name)
 
 
 def majority(rows: DataFrame, keys: list[str], bits: str, name: str = "h", at_least: bool = False) -> DataFrame:
@@ -79,6 +89,14 @@ def _ones(digests: bytes) -> np.ndarray:
     return sum((np.unpackbits(rows[at : at + WORDS_AT_ONCE], axis=1).sum(axis=0, dtype=np.int64) for at in range(0, len(rows), WORDS_AT_ONCE)), np.zeros(64, np.int64))
 
 
+def _ones_of_stretches(digests: list[bytes], begins: list[int]) -> np.ndarray:
+    """The same for each stretch of the digests, by where it begins; none is empty."""
+    if len(digests) > WORDS_AT_ONCE:
+        return np.array([_ones(b"".join(digests[begin:end])) for begin, end in zip(begins, [*begins[1:], len(digests)])])
+    rows = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8)
+    return np.add.reduceat(np.unpackbits(rows, axis=1), begins, axis=0, dtype=np.int64)
+
+
 def _text_votes(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = _Digests()
@@ -87,14 +105,14 @@ def _text_votes(parts: int):
             for i, text in enumerate(batch.column(1)):
                 words = X.ascii_words(text.as_py())
                 edges = [-(-p * len(words) // parts) for p in range(parts + 1)]
-                for p, (begin, end) in enumerate(zip(edges, edges[1:])):
-                    if end > begin:
-                        at.append(i)
-                        part.append(p)
-                        n.append(end - begin)
-                        ones.append(_ones(b"".join(map(digests.__getitem__, words[begin:end]))))
+                some = [p for p in range(parts) if edges[p + 1] > edges[p]]
+                at += [i] * len(some)
+                part += some
+                n += [edges[p + 1] - edges[p] for p in some]
+                if some:
+                    ones.append(_ones_of_stretches(list(map(digests.__getitem__, words)), [edges[p] for p in some]))
             if at:
-                ones = np.array(ones)
+                ones = np.concatenate(ones)
                 lanes = [pa.array(ones[:, 63 - i] + (ones[:, 31 - i] << 32)) for i in range(LANES)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(part, pa.int32()), pa.array(n, pa.int64()), *lanes], ["id", "part", "n", *(f"v{i}" for i in range(LANES))])
 

@@ -224,3 +224,30 @@ def test_sets_of_a_class_go_to_a_cell_once(spark, monkeypatch):
     for cell in (W.CELL, 500):
         rows = W.scored_pairs(numbers, words, W.Limits(), False, W.Scratch(spark, "test"), cell).collect()
         assert len(rows) == len(want) and {(r.a, r.b): (r.text, r.transcript, r.terms, r.enough) for r in rows} == want
+
+
+def test_hashes_of_stretches_equal_plain_votes(spark, monkeypatch):
+    """Stretches of a text are counted together, long texts in slices; a hash is decided in one pass over rows."""
+    from brightloom.operators import fingerprints as G
+
+    rng = random.Random(2)
+    texts = {1: "", 2: "!", 3: "a", 4: "a b c", **{i: " ".join(f"w{rng.randrange(50)}" for _ in range(i * 7)) for i in range(5, 12)}, 12: None}
+    digest = lambda w: int.from_bytes(hashlib.md5(w.encode()).digest()[:8])
+    want = {}
+    for i, t in texts.items():
+        words = re.findall("[a-z0-9]+", t or "")
+        for p in range(4):
+            some = [digest(w) for k, w in enumerate(words) if k * 4 // len(words) == p]
+            if some:
+                want[i, p] = "%016x" % sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in some) > len(some))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {(r.id, r.part): r.h for r in word_hashes(rows, "doc_id", "text", 4).collect()} == want
+    many = [rng.choices("abcdefgh", k=k) for k in (40, 3)]
+    for at_once in (1 << 14, 16):
+        monkeypatch.setattr(G, "WORDS_AT_ONCE", at_once)
+        for words in many:
+            parts = [w.encode() * 8 for w in words]
+            got = G._ones_of_stretches(parts, [0, 2])
+            assert got.tolist() == [G._ones(b"".join(parts[:2])).tolist(), G._ones(b"".join(parts[2:])).tolist()]
+    plan = G.decided(G.word_votes(rows, "doc_id", "text", 4), ["id", "part"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") < 10
